@@ -35,7 +35,8 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _grow(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0..n-1 of the hash base and of its inverse."""
     if len(_powers[0]) < n:
         size = max(n, CHUNK_BYTES + 1)
         for k, base in enumerate((_BASE, _BASE_INV)):
@@ -52,7 +53,7 @@ def _grow(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
     """A 64-bit hash of each data[start:end]; fold ignores the case of A-Z."""
-    up, down = _grow(len(data) + 1)
+    up, down = powers(len(data) + 1)
     values = _BYTE_VALUES[_FOLDED] if fold else _BYTE_VALUES
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(values[data] * up[: len(data)], out=sums[1:])
