@@ -6,12 +6,13 @@ hash: two bytes instead of eight. Bands of registers propose candidates, a colli
 estimate drops hopeless ones, and every link is confirmed on the full sets.
 
 1. Equal sets are folded into one representative; only representatives go on.
-2. Each band value with several representatives has a leader (its smallest doc_id). Every
-   representative is verified against the smallest leader it meets: one pair a row at most.
-3. Components are formed. Pairs that share a band but still lie in different components (few, as
-   most copies met in step 2) pass the estimate and are verified too, all of them: links inside a
-   component can't change it, so no link between different texts is lost and no group is expanded
-   into all its pairs.
+2. A band value that several representatives share is a bucket; its leader is the row that meets most
+   others over all bands. Every representative is verified against the most central leader it
+   meets, then against the other leaders of buckets that still hold several components.
+3. Rows that share a bucket and still lie in different components are compared inside groups of
+   bounded size, registers first, and their promising pairs are verified in place: links inside a
+   component can't change it, so no link between different texts is lost, and neither pairs nor
+   whole groups are written out.
 
 Defined results: null, empty and wordless texts have an empty set and stand alone; fewer than k
 words make one shingle of the whole sequence; repeated doc_ids collapse to one row; null doc_ids
@@ -36,7 +37,9 @@ BANDS = 32
 ROWS = 5
 MANTISSA_BITS = 10
 #: Standard errors of the register estimate that a candidate may lie under the threshold.
-SLACK = 6.0
+SLACK = 4.5
+#: Rows of a bucket that meet in one group; larger buckets are dealt into pairs of blocks.
+BLOCK = 1024
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -121,35 +124,109 @@ def _band_keys(regs: DataFrame) -> DataFrame:
     return regs.select("doc_id", "regs").mapInArrow(run, "key long, doc_id long")
 
 
-def _verify(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets meet the threshold exactly."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _sets(documents: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(doc_id, s): the sorted full set of each wanted document, as bytes."""
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, sets in shingle_sets(batch.column("text"), k):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "s"])
 
+    text = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return text.join(ids, "doc_id", "left_semi").mapInArrow(to_sets, "doc_id long, s binary")
+
+
+def _linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([p, q])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(p) + len(q) - shared)
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets meet the threshold exactly."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([p, q])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(p) + len(q) - shared))
+            both = zip(batch.column("sa"), batch.column("sb"), strict=True)
+            keep = [_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in both]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    text = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = text.join(ids, "doc_id", "left_semi").mapInArrow(to_sets, "doc_id long, s binary")
     joined = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
     return joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").distinct()
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Deal each bucket's rows into pairs of blocks of about BLOCK rows, so that no group is larger.
+
+    A bucket of up to BLOCK rows is one group; a larger one has a group for each pair of its blocks,
+    and each of its rows goes to as many groups as the bucket has blocks.
+    """
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
+    dealt = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
+    spread = dealt.select("*", other)
+    return spread.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other")
+
+
+def _cross_links(rows: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between rows of one bucket with different labels, found inside bounded groups.
+
+    rows: key, doc_id, label. Registers first single out the rows with a promising partner; only
+    their full sets travel, and only confirmed links come back.
+    """
+    least = _least(percent)
+
+    def candidates(own: np.ndarray, label: np.ndarray, n: np.ndarray, regs: np.ndarray, low: bool) -> Iterator[tuple[int, np.ndarray]]:
+        for i in range(len(label)):
+            fits = (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            if not low:  # pairs inside a block belong to that block's own group
+                fits &= own != own[i]
+            fits[: i + 1] = False
+            at = np.flatnonzero(fits)
+            if len(at):
+                at = at[estimate(regs[at], regs[i], n[at], n[i]) >= least]
+                if len(at):
+                    yield i, at
+
+    def arrays(table: pa.Table) -> tuple:
+        regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(table.num_rows, -1)
+        own, label, n = (table.column(c).to_numpy() for c in ("own", "label", "n"))
+        same = table.column("low")[0].as_py() == table.column("high")[0].as_py()
+        return own, label, n, regs, same
+
+    def mark(table: pa.Table) -> pa.Table:
+        hit = np.zeros(table.num_rows, bool)
+        for i, at in candidates(*arrays(table)):
+            hit[i] = True
+            hit[at] = True
+        return table.select(["key", "doc_id", "own", "low", "high", "label", "n", "regs"]).filter(pa.array(hit))
+
+    def confirm(table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("s")]
+        ids, found = table.column("doc_id").to_numpy(), []
+        own, label, n, regs, same = arrays(table)
+        label = label.copy()
+        for i, at in candidates(own, label, n, regs, same):
+            for j in at:
+                if label[i] != label[j] and _linked(sets[i], sets[j], percent):
+                    found.append((ids[i], ids[j]))
+                    label[label == label[j]] = label[i]  # one link joins two labels
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    named = _blocks(rows).join(sigs.select("doc_id", "regs", F.col("n_shingles").alias("n")), "doc_id").select("key", "doc_id", "own", "low", "high", "label", "n", "regs")
+    marked = named.groupBy("key", "low", "high").applyInArrow(mark, "key long, doc_id long, own int, low int, high int, label long, n long, regs binary")
+    full = staged(marked, "marked").join(sets, "doc_id").select("key", "doc_id", "own", "low", "high", "label", "n", "regs", "s")
+    return full.groupBy("key", "low", "high").applyInArrow(confirm, "a long, b long").distinct()
+
+
+def _least(percent: int) -> float:
+    return percent / 100 - SLACK * np.sqrt(percent / 100 * (1 - percent / 100) / (BANDS * ROWS))
+
+
 def _promising(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """Pairs whose estimate is not hopeless: under the threshold by SLACK standard errors at most."""
-    least = percent / 100 - SLACK * np.sqrt(percent / 100 * (1 - percent / 100) / (BANDS * ROWS))
+    least = _least(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,6 +241,13 @@ def _promising(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
+def _label(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    labels = connected_components(links, "a", "b").withColumnRenamed("vertex", "doc_id")
+    named = buckets.join(labels, "doc_id", "left").select("key", "doc_id", "leader", F.coalesce("component", "doc_id").alias("label"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+    return staged(named.join(mixed, "key", "left_semi"), "mixed")
+
+
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id linked), kept."""
     sigs = staged(signatures(documents, k), "minhash")
@@ -172,27 +256,28 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     reps = sigs.join(members.where("doc_id = head").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
     keys = _band_keys(reps)
-    leaders = keys.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").select("key", "leader")
-    buckets = staged(keys.join(leaders, "key").select("key", "doc_id", "leader"), "bands")
-    texts = documents.where("doc_id is not null")
-    stars = buckets.where("doc_id > leader").groupBy("doc_id").agg(F.min("leader").alias("a")).select("a", F.col("doc_id").alias("b"))
-    links = staged(_verify(_promising(stars, reps, percent), texts, k, percent), "links")
-
-    labels = connected_components(links, "a", "b")
-    named = buckets.join(labels.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    left = staged(named.join(mixed, "key", "left_semi"), "mixed")
-    cross = (
-        left.select("key", F.col("doc_id").alias("a"), F.col("label").alias("la"))
-        .join(left.select("key", F.col("doc_id").alias("b"), F.col("label").alias("lb")), "key")
-        .where("a < b and la <> lb")
-        .select("a", "b")
-        .distinct()
+    shared = keys.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
+    shared = staged(keys.join(shared, "key").select("key", "doc_id", "rows"), "bands")
+    weight = shared.groupBy("doc_id").agg(F.sum("rows").alias("weight"))
+    leaders = shared.join(weight, "doc_id").groupBy("key").agg(F.max(F.struct("weight", F.negative("doc_id").alias("least"))).alias("top"))
+    buckets = staged(
+        shared.join(leaders, "key").select("key", "doc_id", F.negative("top.least").alias("leader"), F.col("top.weight").alias("weight")), "buckets"
     )
-    more = staged(_verify(_promising(cross, reps, percent), texts, k, percent), "links")
-    final = connected_components(links.union(more), "a", "b")
-    for used in (buckets, left):
-        unstage(used)
+    unstage(shared)
+    sets = staged(_sets(documents.where("doc_id is not null"), buckets.select("doc_id").distinct(), k), "sets")
+
+    # the most central leader that a document meets, then every other leader it meets, then what is left
+    best = buckets.where("doc_id <> leader").groupBy("doc_id").agg(F.max(F.struct("weight", "leader")).alias("top"))
+    stars = best.select(F.col("top.leader").alias("a"), F.col("doc_id").alias("b"))
+    links = staged(_verify(_promising(stars, reps, percent), sets, percent), "links")
+    left = _label(buckets, links)
+    led = left.select("key", F.col("doc_id").alias("leader"), F.col("label").alias("own"))
+    stars = left.join(led, ["key", "leader"]).where("label <> own").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+    links = staged(links.union(_verify(_promising(stars, reps, percent), sets, percent)), "links")
+    left = _label(buckets, links)
+    links = staged(links.union(_cross_links(left.select("key", "doc_id", "label").distinct(), reps, sets, percent)), "links")
+
+    final = connected_components(links, "a", "b")
     groups = members.join(final, members["head"] == final["vertex"], "left").select("doc_id", F.coalesce("component", "head").alias("component_id"))
     out = sigs.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).join(groups.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
