@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import minhash_dedup, packing, quality_rules, suffix_dedup, token_files
+from lorekeep.llm import byte_bpe, minhash_dedup, packing, quality_rules, suffix_dedup, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of all documents and of what they decode to."""
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 4-word shingles, Jaccard of 0.8 or more."""
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
@@ -42,6 +47,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op5_token_files": op5_token_files,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_minhash": op7_minhash,
     "op9_suffix_array": op9_suffix_array,
     "op10_quality_rules": op10_quality_rules,

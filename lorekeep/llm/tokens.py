@@ -40,8 +40,8 @@ class PieceEncoder:
         self._kind = "words" if self._tokenizer.normalizer is not None else "bytes"
         self._parts = _PARTS[self._kind]
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._pieces = _Remembered()
-        self._atoms = _Remembered()
+        self._pieces = Remembered()
+        self._atoms = Remembered()
 
     def _split(self, piece: str) -> list[str]:
         """The parts of a piece whose ids are sure to be the ids of the piece."""
@@ -77,7 +77,7 @@ class PieceEncoder:
         return [b"".join(g) for g in got]
 
 
-class _Remembered:
+class Remembered:
     """A dictionary of the last CACHE_ENTRIES entries or more, twice as many at most."""
 
     def __init__(self) -> None:
