@@ -7,13 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import byte_bpe, exact_search, minhash_dedup, packing, quality_rules, suffix_dedup, token_files
+from lorekeep.llm import byte_bpe, cotraining, exact_search, minhash_dedup, packing, quality_rules, suffix_dedup, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated views, combined score and verdict for all documents."""
+    return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 4096 ids."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -50,6 +55,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_cotraining": op2_cotraining,
     "op3_packing": op3_packing,
     "op4_exact_search": op4_exact_search,
     "op5_token_files": op5_token_files,
