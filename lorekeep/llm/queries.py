@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import byte_bpe, cotraining, exact_search, minhash_dedup, packing, quality_rules, suffix_dedup, token_files
+from lorekeep.llm import byte_bpe, context_tree, cotraining, exact_search, minhash_dedup, packing, quality_rules, suffix_dedup, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,11 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and context-tree scores of all documents; every tenth is held out."""
+    return context_tree.score_texts(table(spark, sf_dir, "documents"), modulus=10, held_out=0)
+
+
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without 200-byte strings that start twice."""
     return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_minhash": op7_minhash,
+    "op8_context_tree": op8_context_tree,
     "op9_suffix_array": op9_suffix_array,
     "op10_quality_rules": op10_quality_rules,
 }
