@@ -38,6 +38,8 @@ LENGTH = 200
 GRAM = 40
 #: Slices of one anchor in one shard; more are spread over several shards.
 RUN_SLICES = 1500
+#: Ranges that the digests of one anchor are merged in, at most; an anchor has one a run up to that.
+MOST_RANGES = 4096
 #: Bytes of slices in one suffix array.
 SHARD_BYTES = 1 << 20
 PIECE = 4 << 20
@@ -268,11 +270,11 @@ def _shards(parts: DataFrame) -> DataFrame:
             if r[5] > 1:
                 body = np.frombuffer(r[3], np.uint8)
                 at = np.arange(r[2])
-                digests.append(span_hashes(body, at, at + LENGTH).view(np.int64).tolist())
+                digests.append(span_hashes(body, at, at + LENGTH).astype("<u8").tobytes())
             else:
                 digests.append(None)
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[5] for r in rows], pa.int32()), pa.array([r[6] for r in rows], pa.int32()), pa.array(spans, pa.binary()), pa.array(digests, pa.list_(pa.int64()))],
+            [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[5] for r in rows], pa.int32()), pa.array([r[6] for r in rows], pa.int32()), pa.array(spans, pa.binary()), pa.array(digests, pa.binary())],
             names=["akey", "skey", "runs", "run", "spans", "digests"],
         )
 
@@ -290,32 +292,50 @@ def _shards(parts: DataFrame) -> DataFrame:
             yield flush(rows)
 
     dealt = parts.repartition("akey", "run").sortWithinPartitions("akey", "run")
-    return dealt.select("akey", "skey", "n", "body", "copies", "runs", "run").mapInArrow(run, "akey long, skey long, runs int, run int, spans binary, digests array<long>")
+    return dealt.select("akey", "skey", "n", "body", "copies", "runs", "run").mapInArrow(run, "akey long, skey long, runs int, run int, spans binary, digests binary")
+
+
+def _digests(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8")
 
 
 def _merge_runs(shards: DataFrame) -> DataFrame:
-    """Windows of anchors that have several runs, found in two runs or more: (akey, digest).
+    """(akey, skey, spans) of windows that another run of the same anchor holds as well.
 
-    Groups are ranges of digests of one anchor, sized by its number of runs; inside a group each
-    run's sorted digests are looked up in those of the runs before it by binary search.
+    Each run deals its sorted digests into ranges; a range of one anchor meets in one group, where
+    each run's digests are looked up in those of all runs by binary search. What a run shares goes
+    back to it, packed, and is matched with the windows of its slices.
     """
-    windows = shards.where("runs > 1").select("akey", "run", "runs", F.explode("digests").alias("digest")).distinct()
+    several = shards.where("runs > 1")
+
+    def deal(table: pa.Table) -> pa.Table:
+        own = np.unique(_digests(table.column("digests")))
+        ranges = min(table.column("runs")[0].as_py(), MOST_RANGES)
+        of = own % np.uint64(ranges)
+        key = [table.column(c)[0].as_py() for c in ("akey", "run")]
+        rows = [(*key, r, own[of == r].tobytes()) for r in range(ranges) if (of == r).any()]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["akey", "run", "range", "packed"])
 
     def merge(table: pa.Table) -> pa.Table:
-        run, digest = table.column("run").to_numpy(), table.column("digest").to_numpy()
-        seen, twice = np.zeros(0, np.int64), [np.zeros(0, np.int64)]
-        for r in np.unique(run):
-            own = np.unique(digest[run == r])
-            at = np.searchsorted(seen, own)
-            found = (at < len(seen)) & (seen[np.minimum(at, max(len(seen) - 1, 0))] == own) if len(seen) else np.zeros(len(own), bool)
-            twice.append(own[found])
-            fresh = own[~found]
-            seen = np.insert(seen, np.searchsorted(seen, fresh), fresh)
-        hit = np.unique(np.concatenate(twice))
-        return pa.table({"akey": pa.array(np.full(len(hit), table.column("akey")[0].as_py(), np.int64)), "digest": pa.array(hit)})
-
-    dealt = windows.withColumn("range", F.pmod(F.col("digest"), F.col("runs") * 8))
-    return dealt.select("akey", "run", "digest", "range").groupBy("akey", "range").applyInArrow(merge, "akey long, digest long")
+        packed = [np.frombuffer(x, "<u8") for x in table.column("packed").to_pylist()]
+        every = np.sort(np.concatenate(packed))
+        hits = [own[np.searchsorted(every, own, "right") - np.searchsorted(every, own, "left") > 1].tobytes() for own in packed]
+        return table.select(["akey", "run"]).append_column("hits", pa.array(hits, pa.binary()))
+
+    def flag(slices: pa.Table, hits: pa.Table) -> pa.Table:
+        shared = np.sort(_digests(hits.column("hits"))) if hits.num_rows else np.zeros(0, "<u8")
+        out = []
+        for akey, skey, packed in zip(*(slices.column(c).to_pylist() for c in ("akey", "skey", "digests")), strict=True):
+            own = np.frombuffer(packed, "<u8")
+            at = np.minimum(np.searchsorted(shared, own), max(len(shared) - 1, 0))
+            found = shared[at] == own if len(shared) else np.zeros(len(own), bool)
+            if found.any():
+                out.append((akey, skey, np.stack(_spans(found), 1).astype(np.int64).tobytes()))
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["akey", "skey", "spans"])
+
+    dealt = several.select("akey", "run", "runs", "digests").groupBy("akey", "run").applyInArrow(deal, "akey long, run int, range int, packed binary")
+    met = dealt.groupBy("akey", "range").applyInArrow(merge, "akey long, run int, hits binary")
+    return several.select("akey", "run", "skey", "digests").groupBy("akey", "run").cogroup(met.groupBy("akey", "run")).applyInArrow(flag, "akey long, skey long, spans binary")
 
 
 def _spans_of(documents: DataFrame, keep_text: bool) -> DataFrame:
@@ -340,9 +360,6 @@ def _spans_of(documents: DataFrame, keep_text: bool) -> DataFrame:
     per_anchor = firsts.groupBy("akey").agg(F.ceil(F.count("*") / RUN_SLICES).cast("int").alias("runs"))
     parts = parts.join(firsts.select("akey", "skey", "copies"), ["akey", "skey"]).join(per_anchor, "akey").withColumn("run", F.pmod(F.xxhash64("skey"), F.col("runs")).cast("int"))
     shards = staged(_shards(parts), "shards")
-    across = _merge_runs(shards)
-    windows = shards.where("runs > 1").select("akey", "skey", F.posexplode("digests").alias("w", "digest")).join(across, ["akey", "digest"]).select("akey", "skey", F.col("w").cast("long").alias("a"), (F.col("w") + 1).cast("long").alias("b"))
-
     def to_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in batch.column("spans").to_pylist()]
@@ -352,8 +369,8 @@ def _spans_of(documents: DataFrame, keep_text: bool) -> DataFrame:
                 [pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in ("akey", "skey")] + [pa.array(both[:, 0]), pa.array(both[:, 1])], names=["akey", "skey", "a", "b"]
             )
 
-    local = shards.select("akey", "skey", "spans").mapInArrow(to_spans, "akey long, skey long, a long, b long")
-    hits = flagged.where("mixed").join(local.union(windows), ["akey", "skey"]).select("row_key", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b") - 1 + LENGTH).alias("b"))
+    spans = shards.select("akey", "skey", "spans").union(_merge_runs(shards)).mapInArrow(to_spans, "akey long, skey long, a long, b long")
+    hits = flagged.where("mixed").join(spans, ["akey", "skey"]).select("row_key", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b") - 1 + LENGTH).alias("b"))
     more = hits.groupBy("row_key").agg(F.collect_set(F.struct("a", "b")).alias("more"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
