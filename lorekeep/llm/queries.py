@@ -7,13 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import byte_bpe, context_tree, cotraining, exact_search, minhash_dedup, packing, quality_rules, suffix_dedup, token_files
+from lorekeep.llm import byte_bpe, compact_windows, context_tree, cotraining, exact_search, minhash_dedup, packing, quality_rules, suffix_dedup, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that occur again, exactly or nearly, in all documents."""
+    return compact_windows.near_duplicate_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated views, combined score and verdict for all documents."""
     return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -60,6 +65,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_compact_windows": op1_compact_windows,
     "op2_cotraining": op2_cotraining,
     "op3_packing": op3_packing,
     "op4_exact_search": op4_exact_search,
