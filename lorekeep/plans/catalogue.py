@@ -1,6 +1,6 @@
-"""The query catalogue: name -> plan, and name -> oracle SQL."""
+"""All registered plans."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lorekeep.plans import access, aggregates, facts, joins, ranking, resolution, retrieval, scalars, scans, segments, streams  # noqa: F401
+from lorekeep.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
