@@ -76,7 +76,7 @@ def in_order(short: Column, long: Column) -> Column:
     """Whether the letters of short occur in long in that order."""
     letters = F.filter(F.split(F.regexp_replace(F.lower(short), "[^a-z0-9]", ""), ""), lambda x: x != "")
     pattern = F.concat(F.lit(".*"), F.array_join(letters, ".*"), F.lit(".*"))
-    return F.regexp_replace(F.lower(long), "[^a-z0-9]", "").rlike(pattern)
+    return F.regexp_like(F.regexp_replace(F.lower(long), "[^a-z0-9]", ""), pattern)
 
 
 def says_value(value: Column, text: Column) -> Column:
