@@ -1 +1,82 @@
-"""Plans."""
+"""Passages out of tables, texts and transcripts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lorekeep.functions import text
+from lorekeep.operators import segments
+from lorekeep.plans.registry import query, table
+
+
+@query(
+    "table_passages",
+    """WITH l AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS r FROM orders)
+    SELECT o_custkey, r // 12 AS n, min(r) AS row_start, max(r) AS row_end, string_agg(concat('order ', o_orderkey), chr(10) ORDER BY r) AS content FROM l GROUP BY ALL""",
+)
+def table_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """Twelve-row windows of each customer's orders."""
+    return segments.table_windows(table(spark, sf, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], F.concat(F.lit("order "), "o_orderkey"))
+
+
+@query("text_passages")
+def text_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents in passages of about a thousand characters."""
+    return segments.text_passages(table(spark, sf, "documents"))
+
+
+@query("transcript_windows")
+def transcript_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations in windows of whole turns."""
+    return segments.transcript_windows(table(spark, sf, "conversations"))
+
+
+@query(
+    "speech_segments",
+    """WITH t AS (SELECT conv_id, turn, role, lag(role) OVER w AS prev, lag(turn) OVER w AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), f AS (SELECT *, CASE WHEN prev IS NULL OR prev <> role OR turn - before > 1 THEN 1 ELSE 0 END AS fresh FROM t)
+    SELECT conv_id, CAST(segment AS BIGINT) AS segment, any_value(role) AS role, count(*) AS turns FROM (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn) AS segment FROM f) GROUP BY conv_id, segment""",
+)
+def speech_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """A new segment at each change of speaker or gap: flags, then a running sum."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    prev, before = F.lag("role").over(w), F.lag("turn").over(w)
+    t = table(spark, sf, "conversations").withColumn("fresh", F.when(prev.isNull() | (prev != F.col("role")) | (F.col("turn") - before > 1), 1).otherwise(0))
+    t = t.withColumn("segment", F.sum("fresh").over(w))
+    return t.groupBy("conv_id", "segment").agg(F.first("role").alias("role"), F.count("*").alias("turns"))
+
+
+@query(
+    "speech_overlap",
+    """WITH p AS (SELECT conv_id, turn, turn * 4000 AS a, turn * 4000 + 3000 + conv_id % 3000 AS b FROM conversations), s AS (SELECT DISTINCT conv_id, k * 5000 AS a, k * 5000 + 5000 AS b FROM conversations, (SELECT unnest([0, 1, 2, 3]) AS k))
+    SELECT s.conv_id, s.a AS s_start, p.turn FROM s JOIN p ON s.conv_id = p.conv_id AND p.b > s.a AND p.a < greatest(s.b, s.a + 1)""",
+)
+def speech_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """Scenes with the speech that falls into them."""
+    c = table(spark, sf, "conversations")
+    speech = c.select("conv_id", "turn", (F.col("turn") * 4000).alias("p_start"), (F.col("turn") * 4000 + 3000 + F.col("conv_id") % 3000).alias("p_end"))
+    scenes = c.select("conv_id").distinct().select("conv_id", F.explode(F.array(*[F.lit(5000 * k).cast("long") for k in range(4)])).alias("s_start")).withColumn("s_end", F.col("s_start") + 5000)
+    return segments.overlaps(scenes, speech, "conv_id", 10_000).select("conv_id", "s_start", "turn")
+
+
+@query(
+    "quoted_replies",
+    """SELECT conv_id, turn, trim(regexp_replace(concat(text, chr(10), 'On Mon wrote:', chr(10), '> old'), '(?s)\\n?On [^\\n]* wrote:.*$', '')) AS fresh FROM conversations""",
+)
+def quoted_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """The fresh part of a reply, without what it quotes."""
+    body = F.concat("text", F.lit("\nOn Mon wrote:\n> old"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.trim(F.regexp_replace(body, r"(?s)\n?On [^\n]* wrote:.*$", "")).alias("fresh"))
+
+
+@query(
+    "version_families",
+    r"""WITH f AS (SELECT doc_id, doc_id // 4 AS fam, doc_id % 4 AS rev FROM documents) SELECT a.doc_id, b.doc_id AS replaced_by FROM f a JOIN f b ON a.fam = b.fam AND b.rev > a.rev""",
+)
+def version_families(spark: SparkSession, sf: str) -> DataFrame:
+    """File names taken apart into family and revision; a later revision replaces an earlier one."""
+    d = table(spark, sf, "documents")
+    name = F.concat(F.lit("policies/Rate sheet x"), F.floor(F.col("doc_id") / 4), F.lit("y v"), F.col("doc_id") % 4, F.lit(" FINAL (2) March 2024.pdf"))
+    f = d.select("doc_id", text.family_key(name).alias("family"), text.revision(name).alias("rev"))
+    later = f.select(F.col("doc_id").alias("replaced_by"), "family", F.col("rev").alias("later"))
+    return f.join(later, "family").where("later > rev").select("doc_id", "replaced_by")
