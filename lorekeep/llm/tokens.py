@@ -1,8 +1,8 @@
 """Encoding whole texts with a public tokenizer file, a repeated piece only once.
 
 Tokens of both vocabularies never cross from a visible character into white space, so a text's ids
-are those of its pieces (white space and the word behind it) in turn. A worker keeps the ids of
-pieces, and of the parts of a piece that the vocabulary's own pattern separates, in dictionaries of
+are those of its pieces (white space and the word behind it) in turn; plain Latin text is cut further,
+into the words of the vocabulary's own pattern. A worker keeps the ids of parts in a dictionary of
 bounded size; what is new goes to the tokenizers library.
 """
 
@@ -12,6 +12,7 @@ import os
 import re
 import struct
 import unicodedata
+from array import array
 
 #: Unicode white space, as the tokenizers' \s has it.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -21,12 +22,16 @@ _LATIN = re.compile("[\x00-\x7f\xa1-ɏ]*")
 _LETTERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _SUFFIXES = "'s|'t|'re|'ve|'m|'ll|'d"
-#: How the two kinds of vocabulary part a piece; the other characters are neither letters, numbers nor white space.
+_OTHERS = f"[^{WHITE}{_LETTERS}{_NUMBERS}]+"
+#: How the two kinds of vocabulary part plain Latin text.
 _PARTS = {
-    "bytes": re.compile(f"{_SUFFIXES}| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{WHITE}{_LETTERS}{_NUMBERS}]+"),
-    "words": re.compile(f"{_SUFFIXES}|[{_LETTERS}]+|[{_NUMBERS}]|[^{WHITE}{_LETTERS}{_NUMBERS}]+"),
+    "bytes": re.compile(f"{_SUFFIXES}| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?{_OTHERS}|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"),
+    "words": re.compile(f"{_SUFFIXES}|[{_LETTERS}]+|[{_NUMBERS}]|{_OTHERS}"),
 }
-CACHE_ENTRIES = 250_000
+#: Byte-level vocabularies spell a byte that prints as itself, and the others in turn from U+0100 on.
+_PRINTS = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SPELLING = {b: chr(b) for b in _PRINTS} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTS)}
+CACHE_ENTRIES = 450_000
 
 
 class PieceEncoder:
@@ -40,41 +45,36 @@ class PieceEncoder:
         self._kind = "words" if self._tokenizer.normalizer is not None else "bytes"
         self._parts = _PARTS[self._kind]
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._pieces = Remembered()
-        self._atoms = Remembered()
-
-    def _split(self, piece: str) -> list[str]:
-        """The parts of a piece whose ids are sure to be the ids of the piece."""
-        if not _LATIN.fullmatch(piece) or any(s in piece for s in self._special):
-            return [piece]
-        if self._kind == "words":
-            # lower-cased as the vocabulary's normaliser does, so that case variants share a part
-            piece = piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece)
-            return self._parts.findall(piece)
-        if piece[:1].isspace() and not (piece[0] == " " and not piece[1:2].isspace() and len(piece) > 1):
-            return [piece]
-        return self._parts.findall(piece)
-
-    def _encode(self, texts: list[str]) -> dict[str, bytes]:
-        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return {text: struct.pack(f"<{len(ids)}I", *ids) for text, ids in zip(texts, (f.ids for f in found), strict=True)}
+        self._model = self._tokenizer.model
+        self._known = Remembered()
+
+    def _cut(self, text: str) -> tuple[list[str], bool]:
+        """The parts of a text, and whether each is one word of the vocabulary's pattern."""
+        if not _LATIN.fullmatch(text) or any(s in text for s in self._special):
+            return _PIECE.findall(text), False
+        if self._kind == "words":  # as the vocabulary's normaliser does
+            text = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
+        return self._parts.findall(text), True
+
+    def _merge(self, word: str) -> bytes:
+        plain = word.isascii() and word.isprintable()
+        spelled = word.replace(" ", _SPELLING[0x20]) if plain else word.encode().decode("latin-1").translate(_SPELLING)
+        return array("I", [t.id for t in self._model.tokenize(spelled)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        self._pieces.age()
-        self._atoms.age()
-        pieces, atoms = self._pieces.now, self._atoms.now
-        cut = [_PIECE.findall(t) for t in texts]
-        got = [list(map(pieces.get, c)) for c in cut]
-        lacking = [k for k, g in enumerate(got) if None in g]
-        new = self._pieces.missing({p for k in lacking for p, i in zip(cut[k], got[k], strict=True) if i is None})
-        if new:
-            parts = {p: self._split(p) for p in new}
-            atoms.update(self._encode(self._atoms.missing({a for x in parts.values() for a in x})))
-            for p, x in parts.items():
-                pieces[p] = atoms[x[0]] if len(x) == 1 else b"".join([atoms[a] for a in x])
-        for k in lacking:
-            got[k] = [pieces[p] for p in cut[k]]
-        return [b"".join(g) for g in got]
+        self._known.age()
+        known = self._known.now
+        cut = [self._cut(t) for t in texts]
+        got = [list(map(known.get, parts)) for parts, _ in cut]
+        for single in (True, False):
+            new = {p for (parts, one), g in zip(cut, got, strict=True) if one is single and None in g for p, i in zip(parts, g, strict=True) if i is None}
+            new = self._known.missing(new)
+            if single:
+                known.update({p: self._merge(p) for p in new})
+            elif new:
+                found = self._tokenizer.encode_batch_fast(new, add_special_tokens=False)
+                known.update({p: struct.pack(f"<{len(f.ids)}I", *f.ids) for p, f in zip(new, found, strict=True)})
+        return [b"".join([known[p] for p in parts] if None in g else g) for (parts, _), g in zip(cut, got, strict=True)]
 
 
 class Remembered:
