@@ -1 +1,58 @@
-"""Plans."""
+"""Entity resolution plans."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lorekeep.operators import resolution
+from lorekeep.plans.registry import query, table
+
+_NORMAL = r"trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def _entities(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("entity"), F.col("p_name").alias("name"))
+
+
+@query("certain_merges", f"WITH g AS (SELECT p_partkey AS entity, min(p_partkey) OVER (PARTITION BY {_NORMAL}) AS \"group\", count(*) OVER (PARTITION BY {_NORMAL}) AS n FROM part) SELECT entity, \"group\" FROM g WHERE n > 1")
+def certain_merges(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts that go by one name."""
+    none = spark.createDataFrame([], "entity long, identifier string")
+    return resolution.certain_merges(_entities(spark, sf), none)
+
+
+@query(
+    "merge_apply",
+    f"""WITH g AS (SELECT p_partkey AS entity, {_NORMAL} AS k, p_size AS activity FROM part), s AS (SELECT k, arg_max(entity, CAST(activity AS BIGINT) * 100000000 - entity) AS survivor FROM g GROUP BY k), m AS (SELECT entity, survivor FROM g JOIN s USING (k))
+    SELECT survivor AS src, l_suppkey + 1000000000 AS dst, 'supplied_by' AS rel, min(l_orderkey * 10 + l_linenumber) AS id FROM lineitem JOIN m ON l_partkey = entity GROUP BY ALL""",
+)
+def merge_apply(spark: SparkSession, sf: str) -> DataFrame:
+    """Links carried over to the surviving things."""
+    p = table(spark, sf, "part")
+    groups = resolution.certain_merges(_entities(spark, sf), spark.createDataFrame([], "entity long, identifier string"))
+    weights = p.select(F.col("p_partkey").alias("entity"), F.lit(0).alias("n_ids"), F.col("p_size").alias("activity"), F.lit(0).alias("name_length"))
+    edges = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1_000_000_000).alias("dst"), F.lit("supplied_by").alias("rel"))
+    return resolution.repoint(edges, resolution.merge_map(groups, weights))
+
+
+@query("thread_build", "SELECT min(conv_id * 100 + turn) AS thread, count(*) AS messages, min(turn) AS first, max(turn) AS last, count(*) FILTER (WHERE turn = 0 AND conv_id % 5 = 0) AS missing FROM conversations GROUP BY conv_id")
+def thread_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations rebuilt from what each message answers."""
+    c = table(spark, sf, "conversations")
+    ident = F.col("conv_id") * 100 + F.col("turn")
+    parent = F.when(F.col("turn") > 0, ident - 1).when(F.col("conv_id") % 5 == 0, ident - 50_000_000)
+    return resolution.threads(c.select(ident.alias("id"), parent.alias("parent"), F.col("turn").alias("at")))
+
+
+@query(
+    "directory_merge",
+    """WITH c AS (SELECT concat('person ', c_custkey) AS person, c_mktsegment AS segment, c_nationkey AS nation FROM customer), s AS (SELECT concat('person ', s_suppkey) AS person, 'SUPPLY' AS segment, s_nationkey AS nation FROM supplier)
+    SELECT person, CASE WHEN c.person IS NOT NULL AND s.person IS NOT NULL THEN ['crm', 'erp'] WHEN s.person IS NULL THEN ['crm'] ELSE ['erp'] END AS systems, coalesce(s.segment, c.segment) AS segment, coalesce(s.nation, c.nation) AS nation,
+      list_filter([CASE WHEN s.segment <> c.segment THEN 'segment' END, CASE WHEN s.nation <> c.nation THEN 'nation' END], lambda x: x IS NOT NULL) AS conflicts FROM c FULL JOIN s USING (person)""",
+)
+def directory_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """People of two systems as one directory."""
+    c = table(spark, sf, "customer").select(F.lit("crm").alias("system"), F.lit(1).alias("authority"), F.concat(F.lit("Person "), "c_custkey").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
+    s = table(spark, sf, "supplier").select(F.lit("erp").alias("system"), F.lit(2).alias("authority"), F.concat(F.lit("PERSON-"), "s_suppkey").alias("name"), F.lit("SUPPLY").alias("segment"), F.col("s_nationkey").alias("nation"))
+    return resolution.merge_directory(c.union(s), ["segment", "nation"])

@@ -1 +1,123 @@
-"""Plans."""
+"""Retrieval plans; questions are the benchmark rows, all answered by one job."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lorekeep.functions import text
+from lorekeep.operators import retrieval
+from lorekeep.plans.registry import query, table
+
+_WORDS = "list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda w: w <> '')"
+_POSTINGS = f"""w AS (SELECT doc_id, {_WORDS.format(c="text")} AS ws FROM documents), post AS (SELECT doc_id, len(ws) AS length, t.term, count(*) AS tf FROM w, unnest(ws) AS t(term) GROUP BY ALL),
+  q AS (SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, list_slice({_WORDS.format(c="text")}, 1, 6) AS ws FROM benchmark WHERE item_id < 20), unnest(ws) AS t(term))"""
+_BM25 = f"""{_POSTINGS}, sizes AS (SELECT count(*) AS n_docs, avg(length) AS mean_length FROM (SELECT DISTINCT doc_id, length FROM post)), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+  s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length))), 6) AS score FROM post JOIN q USING (term) JOIN df USING (term), sizes GROUP BY ALL)"""
+
+
+def _questions(spark: SparkSession, sf: str) -> DataFrame:
+    asked = table(spark, sf, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"), F.slice(text.words(F.col("text")), 1, 6).alias("w"))
+    return asked.select("query_id", F.explode("w").alias("term")).distinct()
+
+
+@query(
+    "fulltext_all_then_any",
+    f"""WITH {_POSTINGS}, n AS (SELECT query_id, count(*) AS n FROM q GROUP BY 1), h AS (SELECT query_id, doc_id, count(*) AS hits FROM q JOIN post USING (term) GROUP BY ALL), f AS (SELECT *, hits = n AS every FROM h JOIN n USING (query_id)), a AS (SELECT query_id, bool_or(every) AS any_all FROM f GROUP BY 1)
+    SELECT query_id, CASE WHEN any_all THEN 'all_words' ELSE 'any_word' END AS matched, count(*) AS total FROM f JOIN a USING (query_id) WHERE every OR NOT any_all GROUP BY ALL""",
+)
+def fulltext_all_then_any(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with all words of a question; with any of them where none has all."""
+    q, post = _questions(spark, sf), retrieval.postings(table(spark, sf, "documents"), "doc_id")
+    n = q.groupBy("query_id").agg(F.count("*").alias("n"))
+    hits = post.join(F.broadcast(q), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("hits")).join(n, "query_id").withColumn("every", F.col("hits") == F.col("n"))
+    best = hits.groupBy("query_id").agg(F.bool_or("every").alias("any_all"))
+    matched = F.when(F.col("any_all"), "all_words").otherwise("any_word").alias("matched")
+    return hits.join(best, "query_id").where("every or not any_all").groupBy("query_id", matched).agg(F.count("*").alias("total"))
+
+
+@query("phrase_match", f"WITH w AS (SELECT doc_id, {_WORDS.format(c='text')} AS ws FROM documents), p AS (SELECT doc_id, generate_subscripts(ws, 1) AS at, unnest(ws) AS term FROM w) SELECT a.doc_id, a.at FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.at - a.at BETWEEN 1 AND 4 WHERE a.term = 'the' AND b.term = 'that' GROUP BY ALL")
+def phrase_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Two words near each other: positional postings meet by document and distance."""
+    w = table(spark, sf, "documents").select("doc_id", F.posexplode(text.words(F.col("text"))).alias("p", "term")).select("doc_id", (F.col("p") + 1).cast("long").alias("at"), "term")
+    a = w.where("term = 'the'").select("doc_id", "at", F.explode(F.array(*[F.col("at") + k for k in range(1, 5)])).alias("near"))
+    return a.join(w.where("term = 'that'").select("doc_id", F.col("at").alias("near")), ["doc_id", "near"]).select("doc_id", "at").distinct()
+
+
+@query("bm25_topk", f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10")
+def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best documents per question by BM25."""
+    scores = retrieval.bm25(retrieval.postings(table(spark, sf, "documents"), "doc_id"), _questions(spark, sf), "doc_id")
+    return retrieval.ranked(scores, "doc_id", 10)
+
+
+_KNN = "k AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round(CAST(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS DOUBLE), 5) AS score FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id < 20)"
+
+
+def _knn(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    # a fixed set of twenty questions: small at any size of the table
+    q = F.broadcast(e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe")))
+    dot = F.aggregate(F.zip_with("embedding", "qe", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return e.join(q, e["vec_id"] != q["query_id"]).select("query_id", F.col("vec_id").alias("doc_id"), F.round(dot, 5).alias("score"))
+
+
+@query("knn_topk", f"WITH {_KNN} SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM k) WHERE rank <= 10")
+def knn_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest vectors of each of twenty questions, exactly."""
+    return retrieval.ranked(_knn(spark, sf), "doc_id", 10)
+
+
+@query(
+    "rrf_hybrid",
+    f"""WITH {_BM25}, {_KNN}, a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s), b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM k),
+    f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM a WHERE rank <= 100 UNION ALL SELECT * FROM b WHERE rank <= 100) GROUP BY ALL)
+    SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 10""",
+)
+def rrf_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    """Both legs fused by reciprocal ranks."""
+    words = retrieval.ranked(retrieval.bm25(retrieval.postings(table(spark, sf, "documents"), "doc_id"), _questions(spark, sf), "doc_id"), "doc_id", 100)
+    return retrieval.ranked(retrieval.fuse([words, retrieval.ranked(_knn(spark, sf), "doc_id", 100)], "doc_id"), "doc_id", 10)
+
+
+@query(
+    "era_rerank",
+    """SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 0.3 WHEN event_id % 3 = 0 THEN CASE WHEN event_id % 2 = 0 THEN CASE WHEN CAST(ts AS DATE) <= DATE '2024-01-15' AND CAST(ts AS DATE) + 10 >= DATE '2024-01-15' THEN 1.6 ELSE 0.45 END ELSE 1.1 END
+      WHEN event_id % 3 = 1 THEN CASE WHEN event_id % 5 = 0 THEN 1.6 WHEN event_id % 2 = 0 THEN 1.3 ELSE 1.0 END ELSE CASE WHEN event_id % 2 = 1 THEN 1.0 WHEN event_id % 7 = 0 THEN 1.25 ELSE 0.4 END END AS factor FROM events""",
+)
+def era_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    """Factors by how a hit's time fits the question's."""
+    i, day = F.col("event_id"), F.to_date("ts")
+    is_fact = i % 2 == 0
+    none = F.lit(None).cast("date")
+    factor = retrieval.era_factor(
+        F.when(is_fact, "fact").otherwise("passage"), i % 11 == 0, F.when(is_fact, day), F.when(is_fact, F.date_add(day, 10)), day, i % 7 == 0,
+        F.when(i % 3 == 0, F.lit("2024-01-15").cast("date")).otherwise(none), i % 3 == 1, F.when(i % 3 == 2, "current"), i % 5 == 0,
+    )
+    return table(spark, sf, "events").select("event_id", factor.alias("factor"))
+
+
+@query(
+    "retrieval_metrics",
+    f"""WITH {_KNN}, r AS (SELECT k.query_id, row_number() OVER (PARTITION BY k.query_id ORDER BY score DESC, k.doc_id) AS rank, a.label = b.label AS good FROM k JOIN embeddings a ON a.vec_id = k.query_id JOIN embeddings b ON b.vec_id = k.doc_id),
+    f AS (SELECT query_id, min(rank) FILTER (WHERE good) AS first, count(*) FILTER (WHERE good AND rank <= 10) AS at10 FROM r GROUP BY 1)
+    SELECT count(*) AS questions, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(at10 / 10.0), 6) AS precision_at_10, list_sort(list(first))[CAST(floor(0.5 * count(*)) AS INT) + 1] AS p50 FROM f""",
+)
+def retrieval_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean reciprocal rank, precision at ten and the middle rank of the first good hit."""
+    e = table(spark, sf, "embeddings")
+    label = lambda c, n: e.select(F.col("vec_id").alias(c), F.col("label").alias(n))
+    r = _knn(spark, sf).join(label("query_id", "x"), "query_id").join(label("doc_id", "y"), "doc_id")
+    r = r.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).withColumn("good", F.col("x") == F.col("y"))
+    f = r.groupBy("query_id").agg(F.min(F.when(F.col("good"), F.col("rank"))).cast("long").alias("first"), F.count_if(F.col("good") & (F.col("rank") <= 10)).alias("at10"))
+    middle = F.element_at(F.sort_array(F.collect_list("first")), (F.floor(F.count("*") * 0.5) + 1).cast("int"))
+    return f.agg(F.count("*").alias("questions"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg(F.col("at10") / 10), 6).alias("precision_at_10"), middle.alias("p50"))
+
+
+@query("restricted_notice", f"WITH {_BM25} SELECT query_id, count(*) FILTER (WHERE locked) AS locked, coalesce(max(score) FILTER (WHERE locked), 0) >= coalesce(max(score) FILTER (WHERE NOT locked), 0) + 1 AS withheld FROM (SELECT s.*, source IN ('src0', 'src1', 'src2') AS locked FROM s JOIN documents USING (doc_id)) GROUP BY query_id")
+def restricted_notice(spark: SparkSession, sf: str) -> DataFrame:
+    """How many matches a reader may not see, and whether one of them is clearly the best."""
+    scores = retrieval.bm25(retrieval.postings(table(spark, sf, "documents"), "doc_id"), _questions(spark, sf), "doc_id")
+    s = scores.join(table(spark, sf, "documents").select("doc_id", F.col("source").isin("src0", "src1", "src2").alias("locked")), "doc_id")
+    best = lambda c: F.coalesce(F.max(F.when(c, F.col("score"))), F.lit(0.0))
+    return s.groupBy("query_id").agg(F.count_if("locked").alias("locked"), (best(F.col("locked")) >= best(~F.col("locked")) + 1).alias("withheld"))
