@@ -44,7 +44,9 @@ HELD = 3_000_000
 #: Strings in one group of subtrees.
 GROUP_STRINGS = 300_000
 END_WORD = 0x454E44
-CHOICES = 4
+CHOICES = 6
+#: Looked-up strings that meet one group of subtrees.
+GROUP_ASKED = 2_000_000
 
 
 def grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,19 +259,22 @@ def _frequent(counts: DataFrame, slots: int) -> DataFrame:
 
 
 def _arrays(df: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
-    table = df.select("key", value).toArrow()
-    keys, values = table.column(0).to_numpy().astype(np.int64).view(np.uint64), table.column(1).to_numpy()
-    order = np.argsort(keys)
-    return keys[order], values[order]
+    """Keys and values, the most frequent ones first: those find a place in a table in any case."""
+    table = df.select("key", F.col(value).alias("value"), "n").toArrow()
+    keys, values, n = (table.column(k).to_numpy() for k in range(3))
+    order = np.lexsort((keys, -n))
+    return keys[order].astype(np.int64).view(np.uint64), values[order]
 
 
-def _subtree_groups(strings: DataFrame) -> tuple[DataFrame, int]:
-    groups = max(8, strings.count() // GROUP_STRINGS + 1)
-    return strings.withColumn("part", _part(groups)), groups
+def _part_of(keys: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each string, by the two bytes nearest to the predicted one."""
+    return ((keys >> np.uint64(8 * (DEPTH - 1))) * np.uint64(2654435761) >> np.uint64(16)) % np.uint64(groups)
 
 
-def _part(groups: int):  # noqa: ANN202
-    return F.pmod(F.xxhash64(F.shiftright("key", 8 * (DEPTH - 1))), F.lit(groups)).cast("int").alias("part")
+def _subtree_groups(strings: DataFrame) -> tuple[DataFrame, int]:
+    groups = max(8, strings.count() // GROUP_STRINGS + 1)
+    near = F.shiftright("key", 8 * (DEPTH - 1)) * F.lit(2654435761)
+    return strings.withColumn("part", (F.shiftright(near, 16) % groups).cast("int")), groups
 
 
 def _tree(table: pa.Table) -> Subtrees:
@@ -302,11 +307,12 @@ def score_texts(documents: DataFrame, modulus: int = 10, held_out: int = 0) -> D
     def learned_often(table: pa.Table) -> pa.Table:
         often = pc.fill_null(table.column("often"), False).to_numpy().astype(bool)
         keys = table.column("key").to_numpy().astype(np.int64).view(np.uint64)[often]
-        return pa.table({"key": pa.array(keys.view(np.int64)), "p": pa.array(_tree(table).log10(keys, upper.value).astype(np.float32))})
+        n = table.column("n").to_numpy()[often]
+        return pa.table({"key": pa.array(keys.view(np.int64)), "n": pa.array(n), "p": pa.array(_tree(table).log10(keys, upper.value).astype(np.float32))})
 
     bar = _frequent(strings, GRAM_SLOTS).agg(F.min("n").alias("n")).first()["n"]
     marked = grouped.withColumn("often", F.col("n") >= F.lit(bar if bar is not None else 1 << 62))
-    gram_keys, gram_values = _arrays(marked.groupBy("part").applyInArrow(learned_often, "key long, p float"), "p")
+    gram_keys, gram_values = _arrays(marked.groupBy("part").applyInArrow(learned_often, "key long, n long, p float"), "p")
     word_table, word_counts = _arrays(_frequent(vocabulary, WORD_SLOTS), "n")
     tables = spark.sparkContext.broadcast((Table(gram_keys, gram_values.astype(np.float32), GRAM_SLOTS), Table(word_table, word_counts.astype(np.int64), WORD_SLOTS)))
     end = vocabulary.where(F.col("key") == END_WORD).first()
@@ -347,16 +353,39 @@ def score_texts(documents: DataFrame, modulus: int = 10, held_out: int = 0) -> D
                 row += n
 
     found = staged(source.mapInArrow(look_up, schema), "scores")
-    gram_rows = found.select("row", F.explode(F.arrays_zip("grams", "gram_n")).alias("x")).select("row", F.col("x.grams").alias("key"), F.col("x.gram_n").alias("times"))
     word_rows = found.select("row", F.explode(F.arrays_zip("words", "word_n")).alias("x")).select("row", F.col("x.words").alias("key"), F.col("x.word_n").alias("times"))
 
-    def rare(strings_: pa.Table, asked: pa.Table) -> pa.Table:
-        keys = asked.column("key").to_numpy().astype(np.int64).view(np.uint64)
-        return pa.table({"key": asked.column("key"), "p": pa.array(_tree(strings_).log10(keys, upper.value))})
+    # strings that the table lacks go to the groups of their subtrees, packed: a row per batch of texts and group
+    missing = found.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0)).alias("n")).first()["n"]
+    spread = int(missing) // (groups * GROUP_ASKED) + 1
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch_no = TaskContext.get().partitionId()
+        for batch in batches:
+            lists = batch.column("grams")
+            keys = lists.flatten().to_numpy().astype(np.int64).view(np.uint64)
+            rows = np.repeat(batch.column("row").to_numpy(), lists.value_lengths().to_numpy())
+            times = batch.column("gram_n").flatten().to_numpy()
+            part = _part_of(keys, groups).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            cut = np.searchsorted(part[order], np.arange(groups + 1))
+            out = [(g, batch_no % spread, *(x[order[a:b]].tobytes() for x in (keys, rows, times.astype(np.int64)))) for g, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
+            batch_no += 1
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=["part", "salt", "keys", "rows", "times"])
 
-    asked = gram_rows.select("key").distinct().withColumn("part", _part(groups))
-    answers = grouped.select("key", "n", "part").groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(rare, "key long, p double")
-    rare_scores = gram_rows.join(answers, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("p")).alias("more"))
+    def rare(strings_: pa.Table, asked: pa.Table) -> pa.Table:
+        keys, rows, times = (np.frombuffer(b"".join(asked.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("rows", np.int64), ("times", np.int64)))
+        if not len(keys):
+            return pa.table({"row": pa.array([], pa.int64()), "p": pa.array([], pa.float64())})
+        distinct, at = np.unique(keys, return_inverse=True)
+        own, of = np.unique(rows, return_inverse=True)
+        return pa.table({"row": pa.array(own), "p": pa.array(np.bincount(of, times * _tree(strings_).log10(distinct, upper.value)[at], len(own)))})
+
+    asked = found.select("row", "grams", "gram_n").mapInArrow(ask, "part int, salt int, keys binary, rows binary, times binary")
+    salted = grouped.select("key", "n", "part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("salt"))
+    answers = salted.groupBy("part", "salt").cogroup(asked.groupBy("part", "salt")).applyInArrow(rare, "row long, p double")
+    rare_scores = answers.groupBy("row").agg(F.sum("p").alias("more"))
     counted = F.coalesce(F.col("n"), F.lit(0))
     rare_words = (
         word_rows.join(vocabulary, "key", "left")
