@@ -24,12 +24,12 @@ def money_by_year(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").where("o_custkey <= 100").groupBy("o_custkey", F.year("o_orderdate").cast("long").alias("year")).agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("metric_by_nation", "SELECT n_name, o_orderpriority, count(*) AS n, round(avg(o_totalprice), 2) AS mean FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
+@query("metric_by_nation", "SELECT n_name, o_orderpriority, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS mean FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
 def metric_by_nation(spark: SparkSession, sf: str) -> DataFrame:
     """Orders by nation and priority."""
     o, c, n = (table(spark, sf, t) for t in ("orders", "customer", "nation"))
     j = o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"])
-    return j.groupBy("n_name", "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 2).alias("mean"))
+    return j.groupBy("n_name", "o_orderpriority").agg(F.count("*").alias("n"), (F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / F.count("*")).alias("mean"))
 
 
 @query("top_customers_trailing_year", f"SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderdate > DATE '{TODAY}' - INTERVAL 365 DAY AND o_orderdate <= DATE '{TODAY}' GROUP BY o_custkey ORDER BY total DESC, o_custkey LIMIT 6")
