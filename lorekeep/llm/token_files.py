@@ -45,19 +45,23 @@ def pack_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    high = (ids >> np.uint64(30)).astype(np.float64)
-    low = (ids & np.uint64((1 << 30) - 1)).astype(np.float64)
-    bits = np.where(high > 0, np.frexp(high)[1] + 30, np.frexp(low)[1]).astype(np.int16)
-    widest = {1: np.concatenate([bits, np.zeros(128, np.int16)])}
+    bits = np.frexp((ids & np.uint64((1 << 30) - 1)).astype(np.float64))[1].astype(np.uint8)
+    high = ids >> np.uint64(30)
+    if high.any():
+        bits = np.where(high > 0, np.frexp(high.astype(np.float64))[1].astype(np.uint8) + np.uint8(30), bits)
+    widest = {1: np.concatenate([bits, np.zeros(128, np.uint8)])}
     for p in (1, 2, 4, 8, 16, 32):
         w = widest[p]
         widest[2 * p] = np.concatenate([np.maximum(w[:-p], w[p:]), w[-p:]])
-    code = np.zeros(n, np.int8)
-    for c in range(len(COUNTS) - 1, 0, -1):  # later, larger counts win
+    code = np.zeros(n, np.uint8)
+    for c in range(len(COUNTS) - 1, 0, -1):  # smaller codes hold more ids and win
         size = int(COUNTS[c])
         p = 1 << (size.bit_length() - 1)
         w = widest[p]
-        code[np.maximum(w[:n], w[size - p : size - p + n]) <= BITS[c]] = c
+        fits = np.maximum(w[:n], w[size - p : size - p + n]) <= BITS[c]
+        if not fits.any() and c < 12:
+            break  # the wider selectors can't fit where a narrower one didn't
+        np.copyto(code, np.uint8(c), where=fits)
     ahead = (np.arange(n) + COUNTS[code]).tolist()
     at, i = [], 0
     while i < n:
