@@ -5,7 +5,8 @@ keeps, for its own hash function, the leading-zero count and the next mantissa b
 hash: two bytes instead of eight. Bands of registers propose candidates, a collision-corrected
 estimate drops hopeless ones, and every link is confirmed on the full sets.
 
-1. Equal sets are folded into one representative; only representatives go on.
+1. Rows are told apart by a key of doc_id and text; rows with equal sets are folded into one set,
+   and only sets go on (from there to the last step a doc_id is the number of a set).
 2. A band value that several representatives share is a bucket; its leader is the row that meets most
    others over all bands. Every representative is verified against the most central leader it
    meets, then against the other leaders of buckets that still hold several components.
@@ -15,8 +16,10 @@ estimate drops hopeless ones, and every link is confirmed on the full sets.
    whole groups are written out.
 
 Defined results: null, empty and wordless texts have an empty set and stand alone; fewer than k
-words make one shingle of the whole sequence; repeated doc_ids collapse to one row; null doc_ids
-are dropped; an empty table gives no rows; other columns are ignored.
+words make one shingle of the whole sequence; an empty table gives no rows; other columns are ignored.
+In near_duplicates repeated doc_ids collapse to one row, which the links of all their texts join, and
+null doc_ids are dropped. In drop_near_duplicates every row is a document of its own, those with null
+or repeated doc_ids too; of rows equal in doc_id and text one stays (but all that have neither id nor words).
 """
 
 from __future__ import annotations
@@ -83,8 +86,12 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return np.clip((share - chance) / (1 - chance), 0, 1)
 
 
+def _keyed(documents: DataFrame) -> DataFrame:
+    return documents.withColumn("row_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
+
+
 def signatures(documents: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (16-byte digest of the sorted set, null when empty), regs."""
+    """doc_id, row_key, n_shingles, set_key (16-byte digest of the sorted set, null when empty), regs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,15 +101,27 @@ def signatures(documents: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(lo, len(sets)),
+                        batch.column("row_key").slice(lo, len(sets)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         pa.array([next(regs).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "set_key", "regs"],
+                    names=["doc_id", "row_key", "n_shingles", "set_key", "regs"],
                 )
 
-    source = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, regs binary")
+    source = _keyed(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "row_key", "text")
+    return source.mapInArrow(run, "doc_id long, row_key long, n_shingles long, set_key binary, regs binary")
+
+
+def _rows(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows with a wanted row_key (wanted: row_key, n_rows), row_key included; one each where n_rows is over 1."""
+    keyed = _keyed(documents)
+    found = keyed.join(wanted.where("n_rows = 1").select("row_key"), "row_key", "left_semi").select(keyed.columns)
+    repeated = wanted.where("n_rows > 1").select("row_key")
+    if repeated.isEmpty():
+        return found
+    again = keyed.join(repeated, "row_key", "left_semi").groupBy("row_key").agg(F.min(F.struct(*keyed.columns)).alias("row"))
+    return found.union(again.select("row.*"))
 
 
 def _band_keys(regs: DataFrame) -> DataFrame:
@@ -124,16 +143,16 @@ def _band_keys(regs: DataFrame) -> DataFrame:
     return regs.select("doc_id", "regs").mapInArrow(run, "key long, doc_id long")
 
 
-def _sets(documents: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(doc_id, s): the sorted full set of each wanted document, as bytes."""
+def _sets(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(doc_id, s): the sorted full set of each wanted row, as bytes (wanted: doc_id, row_key, n_rows)."""
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, sets in shingle_sets(batch.column("text"), k):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "s"])
 
-    text = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return text.join(ids, "doc_id", "left_semi").mapInArrow(to_sets, "doc_id long, s binary")
+    rows = _rows(documents.select("doc_id", "text"), wanted).select("row_key", "text")
+    return rows.join(wanted.select("doc_id", "row_key"), "row_key").select("doc_id", "text").mapInArrow(to_sets, "doc_id long, s binary")
 
 
 def _linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
@@ -248,12 +267,11 @@ def _label(buckets: DataFrame, links: DataFrame) -> DataFrame:
     return staged(named.join(mixed, "key", "left_semi"), "mixed")
 
 
-def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id linked), kept."""
-    sigs = staged(signatures(documents, k), "minhash")
-    heads = sigs.groupBy("set_key").agg(F.min("doc_id").alias("head"))
-    members = staged(sigs.where("set_key is not null").select("doc_id", "set_key").join(heads, "set_key").select("doc_id", "head").distinct(), "heads")
-    reps = sigs.join(members.where("doc_id = head").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def _linked_sets(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, row_key, set_id, n_shingles, n_rows), one for equal ones, and the links (a, b) between their sets."""
+    sigs = staged(signatures(documents, k).withColumn("set_id", F.when(F.col("set_key").isNotNull(), F.xxhash64("set_key"))).drop("set_key"), "minhash")
+    rows = staged(sigs.groupBy("doc_id", "row_key", "set_id").agg(F.max("n_shingles").alias("n_shingles"), F.count("*").alias("n_rows")), "rows")
+    reps = sigs.where("set_id is not null").select(F.col("set_id").alias("doc_id"), "n_shingles", "regs").dropDuplicates(["doc_id"])
 
     keys = _band_keys(reps)
     shared = keys.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
@@ -264,7 +282,9 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
         shared.join(leaders, "key").select("key", "doc_id", F.negative("top.least").alias("leader"), F.col("top.weight").alias("weight")), "buckets"
     )
     unstage(shared)
-    sets = staged(_sets(documents.where("doc_id is not null"), buckets.select("doc_id").distinct(), k), "sets")
+    first = rows.where("set_id is not null").groupBy(F.col("set_id").alias("doc_id")).agg(F.min(F.struct("n_rows", "row_key")).alias("row"))
+    wanted = staged(first.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "row.row_key", "row.n_rows"), "wanted")
+    sets = staged(_sets(documents, wanted, k), "sets")
 
     # the most central leader that a document meets, then every other leader it meets, then what is left
     best = buckets.where("doc_id <> leader").groupBy("doc_id").agg(F.max(F.struct("weight", "leader")).alias("top"))
@@ -275,16 +295,35 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     stars = left.join(led, ["key", "leader"]).where("label <> own").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = staged(links.union(_verify(_promising(stars, reps, percent), sets, percent)), "links")
     left = _label(buckets, links)
-    links = staged(links.union(_cross_links(left.select("key", "doc_id", "label").distinct(), reps, sets, percent)), "links")
+    return rows, staged(links.union(_cross_links(left.select("key", "doc_id", "label").distinct(), reps, sets, percent)), "links")
 
-    final = connected_components(links, "a", "b")
-    groups = members.join(final, members["head"] == final["vertex"], "left").select("doc_id", F.coalesce("component", "head").alias("component_id"))
-    out = sigs.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).join(groups.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "doc_id", "left")
+
+def _firsts(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """(set_id, group, first): each set's group and its first row; the smallest doc_id, then the smallest row_key, comes first."""
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key", "n_rows")
+    per_set = rows.where("set_id is not null").groupBy("set_id").agg(F.min(order).alias("first"))
+    groups = connected_components(links, "a", "b")
+    return per_set.join(groups, per_set["set_id"] == groups["vertex"], "left").select("set_id", F.coalesce("component", "set_id").alias("group"), "first")
+
+
+def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id linked), kept."""
+    rows, links = _linked_sets(documents.where("doc_id is not null"), k, percent)
+    # the texts of one doc_id are one document
+    several = rows.groupBy("doc_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("z")).where("a < z").select("doc_id", "a")
+    links = links.union(rows.join(several, "doc_id").where("set_id > a").select("a", F.col("set_id").alias("b")))
+    firsts = staged(_firsts(rows, links), "firsts")
+    heads = firsts.groupBy("group").agg(F.min("first").alias("head"))
+    named = firsts.join(heads, "group").select("set_id", F.col("head.doc_id").alias("component_id"))
+    out = rows.join(named, "set_id", "left").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
 
 def drop_near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with one of each near-duplicate group (its smallest doc_id), columns unchanged."""
-    kept = near_duplicates(documents, k, percent).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return documents.join(kept, documents["doc_id"].cast("long") == kept["kept_id"], "left_semi")
+    """The documents with one row of each near-duplicate group (its smallest doc_id), columns unchanged."""
+    rows, links = _linked_sets(documents, k, percent)
+    heads = _firsts(rows, links).groupBy("group").agg(F.min("first").alias("head"))
+    alone = rows.where("set_id is null").select("row_key", F.when(F.col("doc_id").isNull(), 1).otherwise(F.col("n_rows")).alias("n_rows"))
+    kept = staged(heads.select("head.row_key", "head.n_rows").union(alone), "kept")
+    return _rows(documents, kept).select(documents.columns)

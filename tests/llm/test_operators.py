@@ -370,3 +370,15 @@ def test_compact_windows(docs, rows, empty):
     clean = [r[0] for r in rows[7:30] if r[0] not in {i for i, _ in need}]
     assert clean and not any(i in got for i in clean)
     assert compact_windows.near_duplicate_passages(empty).count() == 0
+
+
+def test_minhash_null_and_repeated_rows(spark):
+    """Rows with null or repeated ids are documents of their own; of equal rows one stays."""
+    a, b, c, d = (prose(120) for _ in range(4))
+    near = " ".join([*b.split(" ")[:-1], "edit"])
+    made = [(1, a), (1, a), (1, a), (None, c), (None, c), (None, near), (None, None), (None, ""), (2, b), (3, d), (3, a + " tail"), (4, None), (4, None), (5, c + " z")]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    kept = collections.Counter(tuple(r) for r in minhash_dedup.drop_near_duplicates(df).collect())
+    assert kept == collections.Counter([(1, a), (None, None), (None, ""), (2, b), (3, d), (4, None), (5, c + " z")])
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(df).collect()}
+    assert got == {1: (1, True), 2: (2, True), 3: (1, False), 4: (4, True), 5: (5, True)}
