@@ -382,3 +382,36 @@ def test_minhash_null_and_repeated_rows(spark):
     assert kept == collections.Counter([(1, a), (None, None), (None, ""), (2, b), (3, d), (4, None), (5, c + " z")])
     got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(df).collect()}
     assert got == {1: (1, True), 2: (2, True), 3: (1, False), 4: (4, True), 5: (5, True)}
+
+
+def test_compact_windows_edited_passages(spark):
+    """50-word passages with the 26th word changed (Jaccard 41/51), at odd places: each is found on both sides."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.getrandbits(48):x}" for _ in range(n)]
+    made, places, low = [], {}, {}
+    for k in range(150):
+        passage, edited = fresh(50), None
+        edited = [*passage[:25], "edit", *passage[26:]]
+        for i, w in ((2 * k, passage), (2 * k + 1, edited)):
+            head = fresh(rng.randint(440, 540) if k % 2 else rng.randint(0, 90))
+            low[i] = [*head, *w, *fresh(rng.randint(0, 90))]
+            made.append((i, " ".join(low[i])))
+            places[i] = len(head)
+    grams = lambda w: {tuple(w[p : p + 5]) for p in range(len(w) - 4)}
+    need = set()
+    for i, p in places.items():
+        x, y = grams(low[i][p : p + 50]), grams(low[i ^ 1][places[i ^ 1] : places[i ^ 1] + 50])
+        if 5 * len(x & y) >= 4 * len(x | y):
+            need.add((i, p))
+    assert len(need) == 300
+    got = collections.defaultdict(list)
+    for r in compact_windows.near_duplicate_passages(spark.createDataFrame(made, "doc_id long, text string")).collect():
+        got[r["doc_id"]].append((r["start_word"], r["start_word"] + r["n_words"]))
+    missed = [(i, p) for i, p in need if not any(a <= p and p + 50 <= b for a, b in got[i])]
+    assert not missed
+
+
+def test_regions_across_a_stretch_border():
+    one = lambda *v: np.array(v, np.int64)
+    found = compact_windows.regions(one(1, 1), one(2, 2), one(0, 1), one(0, 1), one(490, 495), one(560, 550), one(0, 0))
+    assert [x.tolist() for x in found] == [[1], [2], [490], [560], [490], [560]]
