@@ -415,3 +415,52 @@ def test_regions_across_a_stretch_border():
     one = lambda *v: np.array(v, np.int64)
     found = compact_windows.regions(one(1, 1), one(2, 2), one(0, 1), one(0, 1), one(490, 495), one(560, 550), one(0, 0))
     assert [x.tolist() for x in found] == [[1], [2], [490], [560], [490], [560]]
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage against brute force; without labels no model drops a row, and the rules are the base rule alone."""
+    import corpus_pipeline
+
+    shared, base = prose(60), [prose(120) for _ in range(9)]
+    near = " ".join([*base[1].split(" ")[:-1], "edit"])
+    made = [(1, base[0]), (1, base[0]), (1, base[8]), (2, base[1]), (3, near), (None, base[2]), (None, base[2]), (None, base[0]), (4, None), (None, ""), (5, "few words"), (6, "a b c " * 90)]
+    made += [(7, base[3] + " " + shared + " " + base[4]), (8, base[5] + " " + shared + " " + base[6]), (None, base[7])]
+    folder = str(tmp_path)
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in made], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    stage, bag = dict(corpus_pipeline.STAGES), lambda df: collections.Counter((r["doc_id"], r["text"]) for r in df.collect())
+
+    def passes(t):
+        w = (t or "").split()
+        grams = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        covered = {i + j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in range(3)}
+        return len(w) >= 50 and 100 * len(covered) <= 50 * len(w)
+
+    docs = stage["quality_rules"](spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    want = [(i, t) for i, t in made if passes(t)]
+    assert bag(docs) == collections.Counter(want)
+    docs = stage["quality_classifier"](spark, docs, folder)
+    assert bag(docs) == collections.Counter(want)
+
+    kept = []
+    for i, t in sorted(want, key=lambda x: (x[0] is None, x[0] or 0)):  # no chains of links here
+        s = shingles(t, 5)
+        if all(100 * len(s & shingles(u, 5)) < 80 * len(s | shingles(u, 5)) for _, u in kept):
+            kept.append((i, t))
+    docs = stage["minhash_near_dedup"](spark, docs, folder)
+    assert bag(docs) == collections.Counter(kept)
+
+    count = collections.Counter(t.encode()[p : p + 200] for _, t in kept for p in range(len(t.encode()) - 199))
+    clean = []
+    for i, t in kept:
+        raw = t.encode()
+        gone = {p + j for p in range(len(raw) - 199) if count[raw[p : p + 200]] > 1 for j in range(200)}
+        clean.append((i, bytes(b for p, b in enumerate(raw) if p not in gone).decode(errors="replace")))
+    assert clean != kept
+    docs = stage["suffix_array_dedup"](spark, docs, folder)
+    assert bag(docs) == collections.Counter(clean)
+
+    ids = [e for _, e in sorted(encoded([(n, t) for n, (_, t) in enumerate(clean)], "word_bpe_49k.json").items())]
+    for packed in (stage["packing"](spark, docs, folder), corpus_pipeline.run(spark, folder)):
+        got = collections.Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in packed.collect())
+        assert got == collections.Counter((i, 0, len(e), zlib.crc32(e.tobytes())) for (i, _), e in zip(clean, ids, strict=True))
