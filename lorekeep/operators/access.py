@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep import rules
+from lorekeep.functions import text
 from lorekeep.session import staged
 
 
@@ -46,3 +48,25 @@ def covers(holders: DataFrame, lists: DataFrame, principals: DataFrame) -> DataF
     met = admitted.join(lists.select(F.col("acl_id").alias("wide"), F.col("principal").alias("node")), "node").select("wide", "narrow", "who").distinct()
     size = holders.groupBy(F.col("acl_id").alias("narrow")).agg(F.count_distinct("principal").alias("size"))
     return met.groupBy("wide", "narrow").agg(F.count_distinct("who").alias("hits")).join(size, "narrow").where("hits = size and wide <> narrow").select("wide", "narrow")
+
+
+def personal_data(files: DataFrame) -> DataFrame:
+    """doc_id, kinds, masked (sorted and distinct): files whose texts hold personal data.
+
+    SSNs, bank numbers and birth dates anywhere in a text, and a pay column beside a person column in the
+    first line with bars (the header of a table).
+    """
+    every = lambda pattern: F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    line = F.filter(F.split("text", "\n"), lambda x: x.contains("|"))
+    header = F.transform(F.split(F.get(line, F.lit(0)), r"\|"), lambda h: F.trim(h))
+    pay = F.get(F.filter(header, lambda h: h.rlike(rules.PAY_COLUMN)), F.lit(0))
+    beside = pay.isNotNull() & F.exists(header, lambda h: h.rlike(rules.PERSON_COLUMN))
+    hits = {
+        "ssn": F.transform(every(rules.SSN), lambda x: F.concat(F.substring(x, 1, 3), F.lit("-**-****"))),
+        "bank_account": F.transform(every(rules.BANK_NUMBER), text.mask_digits),
+        "birth_date": F.transform(every(rules.BIRTH_DATE), lambda x: F.regexp_replace(x, r"\d", "#")),
+        "personal_pay": F.when(beside, F.array(F.concat(F.lit('column "'), pay, F.lit('" next to people')))).otherwise(F.array().cast("array<string>")),
+    }
+    tagged = lambda kind: F.transform(hits[kind], lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("masked")))
+    found = files.where("text is not null").select("doc_id", F.explode(F.concat(*map(tagged, hits))).alias("hit"))
+    return found.groupBy("doc_id").agg(F.array_sort(F.collect_set("hit.kind")).alias("kinds"), F.array_sort(F.collect_set("hit.masked")).alias("masked"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.functions import text
 from lorekeep.operators import access, graph
 from lorekeep.operators.closure import connected_components
 from lorekeep.plans.registry import query, table
@@ -199,7 +198,5 @@ def audience_resolution(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("personal_data_escalation", None)
 def personal_data_escalation(spark: SparkSession, sf: str) -> DataFrame:
-    """Files with personal data and their masked findings; a cheap filter runs before the patterns."""
-    d = table(spark, sf, "documents").where(F.col("text").rlike("@|[0-9]{6,}"))
-    found = F.regexp_extract_all("text", F.lit(r"(\d{6,17})"), F.lit(1))
-    return d.select("doc_id", F.slice(F.transform(found, lambda x: text.mask_digits(x)), 1, 5).alias("masked")).where(F.size("masked") > 0)
+    """Files with personal data: the kinds found and all findings, masked."""
+    return access.personal_data(table(spark, sf, "documents"))

@@ -25,6 +25,9 @@ CURRENT_WORDS = r"\b(current(ly)?|now|today|these days|still|latest|in force|rig
 CHANGE_WORDS = r"\b(changed?|changes|over (the )?(time|years)|history|histor(ical|y)|evolv\w*|went (up|down)|go up|gone up|raised|increase[ds]?|decrease[ds]?|when did|since when|how long|timeline|used to|before and after|previous(ly)?|originally)\b"
 PAST_VERBS = r"\b(was|were|did|had|used to|back then|at the time)\b"
 BANK_NUMBER = r"(?i)\b(routing|aba|account)\s*(number|no\.?|#)?\s*[:#]?\s*\d{6,17}\b"
+SSN = r"\b(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}\b"
+PERSON_COLUMN = r"(?i)(employee|name|first|last|worker|staff|tech(nician)?)"
+PAY_COLUMN = r"(?i)^(rate|pay|pay rate|hourly( rate)?|salary|annual salary|wage|base( pay)?|bonus|compensation|comp|current comp|proposed( comp| salary)?|merit|increase)$"
 BIRTH_DATE = r"(?i)\b(date of birth|d\.?o\.?b\.?|birth ?date)\b\s*[:\-]?\s*\d{1,4}[/-]\d{1,2}[/-]\d{1,4}"
 RRF_K = 60
 

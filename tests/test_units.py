@@ -116,3 +116,18 @@ def test_single_valued(spark):
     rows = [("r", i, i) for i in range(9)] + [("r", 0, 5)]
     found = graph.single_valued(spark.createDataFrame(rows, "rel string, src long, dst long")).first()
     assert found["sources"] == 9 and round(found["share"], 4) == round(8 / 9, 4)
+
+
+def test_personal_data(spark):
+    made = [
+        (1, "SSN 123-45-6789 only"), (2, "date of birth 1/2/1980"), (3, "order 123456 of 000-12-3456"), (4, "mail a@b.org"), (5, None),
+        (6, "intro\nEmployee | Dept | Hourly Rate\nx | y | 3"), (7, "item | Rate"), (8, "x\ny\n" + " ".join(f"account no: {10000000 + i}" for i in range(7))), (9, "DOB: 1980-02-01, aba # 123456789"), (9, "078-05-1120"),
+    ]
+    got = {r["doc_id"]: (r["kinds"], r["masked"]) for r in access.personal_data(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == {
+        1: (["ssn"], ["123-**-****"]),
+        2: (["birth_date"], ["date of birth #/#/####"]),
+        6: (["personal_pay"], ['column "Hourly Rate" next to people']),
+        8: (["bank_account"], [f"account no: ****{i:04d}" for i in range(7)]),
+        9: (["bank_account", "birth_date", "ssn"], ["078-**-****", "DOB: ####-##-##", "aba # *****6789"]),
+    }
