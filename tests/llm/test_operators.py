@@ -411,10 +411,75 @@ def test_compact_windows_edited_passages(spark):
     assert not missed
 
 
-def test_regions_across_a_stretch_border():
-    one = lambda *v: np.array(v, np.int64)
-    found = compact_windows.regions(one(1, 1), one(2, 2), one(0, 1), one(0, 1), one(490, 495), one(560, 550), one(0, 0))
-    assert [x.tolist() for x in found] == [[1], [2], [490], [560], [490], [560]]
+def grams(w):
+    return {tuple(w[p : p + 5]) for p in range(len(w) - 4)}
+
+
+def test_compact_windows_near_passages(spark):
+    """Passages at Jaccard 0.8 to 0.95, edits 20 to 60 words apart wherever they lie: substituted, put in or left out."""
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.getrandbits(48):x}" for _ in range(n)]
+    made, places = [], []
+    while len(places) < 200:
+        passage = fresh(rng.choice([60, 90, 120, 240, 400]))
+        edited, at = list(passage), rng.randint(8, 60)
+        while at < len(edited) - 8:
+            kind = rng.randrange(3)
+            edited[at : at + (kind != 1)] = [] if kind == 2 else fresh(1)
+            at += rng.randint(20, 60)
+        x, y = grams(passage), grams(edited)
+        if 5 * len(x & y) >= 4 * len(x | y) and len(x & y) < 0.95 * len(x | y):
+            i = len(made)
+            for k, w in enumerate((passage, edited)):
+                head = fresh(rng.randint(0, 90))
+                made.append((i + k, " ".join([*head, *w, *fresh(rng.randint(0, 90))])))
+                places.append((i + k, len(head), len(w)))
+    got = collections.defaultdict(list)
+    for r in compact_windows.near_duplicate_passages(spark.createDataFrame(made, "doc_id long, text string").repartition(3)).collect():
+        got[r["doc_id"]].append((r["start_word"], r["start_word"] + r["n_words"]))
+    covered = [max((min(b, p + n) - max(a, p) for a, b in got[i]), default=0) / n for i, p, n in places]
+    assert np.mean(np.array(covered) >= 0.8) >= 0.95 and min(covered) > 0
+
+
+@pytest.mark.parametrize("fragment", [8, 30])
+def test_compact_windows_amid_fragments(spark, fragment):
+    """Exact runs whose parts also stand in unrelated texts lose no link, whichever text leads a group."""
+    rng = random.Random(13)
+    fresh = lambda n: [f"w{rng.getrandbits(48):x}" for _ in range(n)]
+    made, places = [], []
+    for _ in range(12):
+        passage = fresh(60)
+        for _ in range(2):
+            head = fresh(rng.randint(0, 60))
+            places.append((len(made), len(head)))
+            made.append((len(made), " ".join([*head, *passage, *fresh(rng.randint(0, 60))])))
+        for k in range(0, 60 - fragment + 1, 3):
+            made.append((len(made), " ".join([*fresh(rng.randint(20, 80)), *passage[k : k + fragment], *fresh(rng.randint(20, 80))])))
+    got = collections.defaultdict(list)
+    for r in compact_windows.near_duplicate_passages(spark.createDataFrame(made, "doc_id long, text string").repartition(3)).collect():
+        got[r["doc_id"]].append((r["start_word"], r["start_word"] + r["n_words"], r["class_id"]))
+    for (i, p), (j, q) in zip(places[::2], places[1::2], strict=True):
+        assert {c for a, b, c in got[i] if a <= p and p + 60 <= b} & {c for a, b, c in got[j] if a <= q and q + 60 <= b}
+    assert set(got) == {i for i, _ in places}
+
+
+def test_compact_windows_odd_rows(spark):
+    """Copies, repeated rows and ids, repeats inside a text, a very long text, a hot passage, columns of the operator's own names."""
+    rng = random.Random(14)
+    fresh = lambda n: [f"w{rng.getrandbits(40):x}" for _ in range(n)]
+    hot, twin, long_ = fresh(60), " ".join(fresh(80)), fresh(30_000)
+    made = [(k, " ".join([*fresh(9), *hot, *fresh(9)])) for k in range(300)]
+    inner = fresh(55)
+    made += [(900, twin), (901, twin), (901, twin), (None, twin), (902, None), (902, ""), (903, " ".join([*inner, *fresh(30), *inner])), (904, " ".join(long_)), (905, " ".join(long_[9000:9070])), (905, twin)]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in made], "doc_id long, text string, text_key int, a int, copies int").repartition(7)
+    got = collections.defaultdict(list)
+    for r in compact_windows.near_duplicate_passages(df).collect():
+        got[r["doc_id"]].append((r["start_word"], r["n_words"], r["class_id"]))
+    assert len({c for k in range(300) for _, _, c in got[k]}) == 1 and all(got[k] == [(9, 60, got[0][0][2])] for k in range(300))
+    assert [x[:2] for x in got[900]] == [(0, 80)] and got[900] == got[901]
+    assert sorted(x[:2] for x in got[903]) == [(0, 55), (85, 55)] and len({x[2] for x in got[903]}) == 1
+    assert [x[:2] for x in got[904]] == [(9000, 70)] and sorted(x[:2] for x in got[905]) == [(0, 70), (0, 80)]
+    assert set(got) == {*range(300), 900, 901, 903, 904, 905}
 
 
 def test_pipeline_stages(spark, tmp_path):
