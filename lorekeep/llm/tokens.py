@@ -31,7 +31,9 @@ _PARTS = {
 #: Byte-level vocabularies spell a byte that prints as itself, and the others in turn from U+0100 on.
 _PRINTS = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _SPELLING = {b: chr(b) for b in _PRINTS} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTS)}
-CACHE_ENTRIES = 450_000
+#: Bytes that a worker's dictionary of remembered parts may take in all, with about ENTRY_BYTES for each beside its own.
+CACHE_BYTES = 64 << 20
+ENTRY_BYTES = 170
 
 
 class PieceEncoder:
@@ -70,28 +72,33 @@ class PieceEncoder:
             new = {p for (parts, one), g in zip(cut, got, strict=True) if one is single and None in g for p, i in zip(parts, g, strict=True) if i is None}
             new = self._known.missing(new)
             if single:
-                known.update({p: self._merge(p) for p in new})
+                self._known.add({p: self._merge(p) for p in new})
             elif new:
                 found = self._tokenizer.encode_batch_fast(new, add_special_tokens=False)
-                known.update({p: struct.pack(f"<{len(f.ids)}I", *f.ids) for p, f in zip(new, found, strict=True)})
+                self._known.add({p: struct.pack(f"<{len(f.ids)}I", *f.ids) for p, f in zip(new, found, strict=True)})
         return [b"".join([known[p] for p in parts] if None in g else g) for (parts, _), g in zip(cut, got, strict=True)]
 
 
 class Remembered:
-    """A dictionary of the last CACHE_ENTRIES entries or more, twice as many at most."""
+    """A dictionary of what was added or asked for last, CACHE_BYTES large at most between two texts."""
 
     def __init__(self) -> None:
-        self.now: dict[str, bytes] = {}
-        self._past: dict[str, bytes] = {}
+        self.now: dict = {}
+        self._past: dict = {}
+        self._size = 0
 
     def age(self) -> None:
-        if len(self.now) > CACHE_ENTRIES:
-            self.now, self._past = {}, self.now
+        if self._size > CACHE_BYTES // 2:
+            self.now, self._past, self._size = {}, self.now, 0
 
-    def missing(self, keys: set[str]) -> list[str]:
+    def add(self, entries: dict) -> None:
+        self.now.update(entries)
+        self._size += sum(len(k) + len(v) + ENTRY_BYTES for k, v in entries.items())
+
+    def missing(self, keys: set) -> list:
         """The keys that neither half holds; those of the older half move to the newer one."""
         past, now = self._past, self.now
-        now.update({k: past[k] for k in keys if k in past})
+        self.add({k: past[k] for k in keys if k in past})
         return [k for k in keys if k not in now]
 
 
