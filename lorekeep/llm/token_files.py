@@ -13,8 +13,11 @@ executors leave no half-written blocks. A block holds whole documents in ascendi
 Selectors 1..15 hold 120 zeros, or 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1 ids of 1, 2, 3, 4,
 5, 6, 7, 8, 10, 12, 15, 20, 30, 60 bits. Decoding treats all words of a selector at once.
 
-Defined results: a null or empty text is one end id; rows of equal doc_id follow each other in the
-order of their texts; null doc_ids come first; an empty table writes no blocks; other columns are ignored.
+Texts are encoded where they are read; only ids go through the range shuffle, two bytes each where the vocabulary allows it.
+
+Defined results: a null or empty text is one end id; texts of any length are encoded whole and stay in one block;
+rows of equal doc_id follow each other in the order of their ids' bytes; null doc_ids come first; an empty
+table writes no blocks; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm.textarrays import text_chunks
 from lorekeep.llm.tokens import encoder
-from lorekeep.session import shared_dir
+from lorekeep.session import shared_dir, staged, unstage
 
 COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
@@ -99,58 +102,111 @@ def unpack_words(words: np.ndarray, n: int, escapes: np.ndarray) -> np.ndarray:
     return out[:n]
 
 
+def _encoded(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """doc_id, wide, ids: the ids of each whole text with the end id, two bytes each, or four (wide)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end = encoder(tokenizer), int(end_id).to_bytes(4, "little")
+        for batch in batches:
+            texts = batch.column("text")
+            for lo, hi, _, _ in text_chunks(texts):
+                ids = [np.frombuffer(e + end, "<u4") for e in encode.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])]
+                wide = [int(x.max()) > 0xFFFF for x in ids]
+                body = [(x if w else x.astype("<u2")).tobytes() for x, w in zip(ids, wide, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(wide), pa.array(body, pa.binary())], names=["doc_id", "wide", "ids"])
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, wide boolean, ids binary")
+
+
 def write_token_blocks(documents: DataFrame, tokenizer: str, path: str, end_id: int = 2) -> None:
     """Encode whole texts and write their ids, in ascending doc_id order, as token blocks."""
 
-    def flush(shard: int, block: int, before: int, ids: list, held: list[bytes]) -> pa.RecordBatch:
-        flat = np.frombuffer(b"".join(held), "<u4").astype(np.uint64)
+    def flush(shard: int, block: int, before: int, ids: list, held: list[np.ndarray]) -> pa.RecordBatch:
+        flat = np.concatenate(held).astype(np.uint64)
         words, at, escapes = pack_words(flat)
         first = np.searchsorted(at, np.arange(0, len(flat), RUN), "right") - 1
         starts = np.stack([first, np.arange(0, len(flat), RUN) - at[first]], 1).ravel()
-        values = [shard, block, before, len(flat), ids, [len(h) // 4 for h in held], words.astype("<u8").tobytes(), starts, escapes.view(np.int64)]
+        values = [shard, block, before, len(flat), ids, [len(h) for h in held], words.astype("<u8").tobytes(), starts, escapes.view(np.int64)]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[c.split(" ")[0] for c in SCHEMA.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, shard = encoder(tokenizer), int(end_id).to_bytes(4, "little"), TaskContext.get().partitionId()
+        shard = TaskContext.get().partitionId()
         ids, held, size, before, block = [], [], 0, 0, 0
         for batch in batches:
-            names = batch.column("doc_id").to_pylist()
-            texts = batch.column("text")
-            for lo, hi, _, _ in text_chunks(texts):
-                for name, e in zip(names[lo:hi], encode.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()]), strict=True):
-                    ids.append(name)
-                    held.append(e + end)
-                    size += len(e) // 4 + 1
-                    if size >= BLOCK_IDS:
-                        yield flush(shard, block, before, ids, held)
-                        ids, held, size, before, block = [], [], 0, before + size, block + 1
+            for name, wide, body in zip(batch.column("doc_id").to_pylist(), batch.column("wide").to_pylist(), batch.column("ids"), strict=True):
+                ids.append(name)
+                # a copy, so that a block doesn't hold on to the batches that it comes from
+                held.append(np.frombuffer(body.as_buffer(), "<u4" if wide else "<u2").astype(np.uint32))
+                size += len(held[-1])
+                if size >= BLOCK_IDS:
+                    yield flush(shard, block, before, ids, held)
+                    ids, held, size, before, block = [], [], 0, before + size, block + 1
         if ids:
             yield flush(shard, block, before, ids, held)
 
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, SCHEMA).write.mode("overwrite").parquet(path)
+    encoded = staged(_encoded(documents, tokenizer, end_id), "encoded")
+    encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(run, SCHEMA).write.mode("overwrite").parquet(path)
+    unstage(encoded)
 
 
-def read_token_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document of a token table: doc_id, start (ids before it), n_tokens, ids (little-endian 32-bit)."""
+def block_ids(words: np.ndarray, starts: np.ndarray, escapes: np.ndarray, at: int, n: int) -> np.ndarray:
+    """Ids at..at+n-1 of a block: only the words of the runs that hold them are decoded."""
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    first, skip = starts[2 * (at // RUN)], starts[2 * (at // RUN) + 1]
+    last = (at + n - 1) // RUN + 1
+    stop = starts[2 * last] + 1 if 2 * last < len(starts) else len(words)
+    skip = int(skip) + at % RUN
+    return unpack_words(words[int(first) : int(stop)], skip + n, escapes)[skip:]
+
+
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """The blocks with base, the ids of all documents before each."""
     blocks = spark.read.schema(SCHEMA).parquet(path)
     # a row per shard, and there are as many as partitions: small at any size
     before = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_before"))
+    return blocks.join(before, "shard").select("n_ids", "lengths", "doc_ids", (F.col("ids_before") + F.col("shard_before")).alias("base"), "escapes", "words", "starts")
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array, pa.Array, list[memoryview]]]:
+    """doc_ids, starts, lengths and ids (little-endian 32-bit) of each block's documents."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = {c: batch.column(c)[k] for c in ("n_ids", "lengths", "doc_ids", "base", "escapes", "words")}
+            ids = memoryview(unpack_words(np.frombuffer(row["words"].as_buffer(), "<u8"), row["n_ids"].as_py(), row["escapes"].values.to_numpy().view(np.uint64)).astype("<u4").tobytes())
+            lengths = row["lengths"].values.to_numpy()
+            ends = np.cumsum(lengths)
+            cut = [ids[4 * a : 4 * b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
+            yield row["doc_ids"].values, pa.array(row["base"].as_py() + ends - lengths), pa.array(lengths), cut
+
+
+def read_token_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """One row per document of a token table: doc_id, start (ids before it), n_tokens, ids (little-endian 32-bit)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for *cols, cut in _decoded(batches):
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(cut, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+
+    return _placed(spark, path).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+
+
+def read_ids(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """Ids of parts of documents, decoded from their runs alone: doc_id, start, length, ids (wanted: doc_id, start, length; start in the document)."""
+    lists = F.transform(F.arrays_zip("doc_ids", "lengths"), lambda x, i: F.struct(x["doc_ids"].alias("doc_id"), F.aggregate(F.slice("lengths", 1, i), F.lit(0).cast("long"), lambda a, n: a + n).alias("at")))
+    held = _placed(spark, path).select("words", "starts", "escapes", F.explode(lists).alias("d")).select("d.doc_id", "d.at", "words", "starts", "escapes").join(wanted.select("doc_id", "start", "length"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out = []
             for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k] for c in ("n_ids", "lengths", "doc_ids", "base", "escapes", "words")}
-                ids = unpack_words(np.frombuffer(row["words"].as_buffer(), "<u8"), row["n_ids"].as_py(), row["escapes"].values.to_numpy().view(np.uint64)).astype("<u4").tobytes()
-                lengths = row["lengths"].values.to_numpy()
-                ends = np.cumsum(lengths)
-                cut = [ids[4 * a : 4 * b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([row["doc_ids"].values, pa.array(row["base"].as_py() + ends - lengths), pa.array(lengths), pa.array(cut, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                row = {c: batch.column(c)[k] for c in ("words", "starts", "escapes", "at", "start", "length")}
+                ids = block_ids(np.frombuffer(row["words"].as_buffer(), "<u8"), row["starts"].values.to_numpy(), row["escapes"].values.to_numpy().view(np.uint64), row["at"].as_py() + row["start"].as_py(), row["length"].as_py())
+                out.append(ids.astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "length")), pa.array(out, pa.binary())], names=["doc_id", "start", "length", "ids"])
 
-    placed = blocks.join(before, "shard").select("n_ids", "lengths", "doc_ids", (F.col("ids_before") + F.col("shard_before")).alias("base"), "escapes", "words")
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    kinds = dict(held.dtypes)
+    return held.mapInArrow(run, f"doc_id long, start {kinds['start']}, length {kinds['length']}, ids binary")
 
 
 def round_trip(documents: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
@@ -160,8 +216,7 @@ def round_trip(documents: DataFrame, tokenizer: str, end_id: int = 2) -> DataFra
     write_token_blocks(documents, tokenizer, path, end_id)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crc = [zlib.crc32(x.as_buffer()) for x in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        for *cols, cut in _decoded(batches):
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([zlib.crc32(x) for x in cut], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return read_token_blocks(spark, path).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _placed(spark, path).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
