@@ -4,12 +4,13 @@ A task gathers encoded documents until they fill GROUP_WINDOWS windows, then pac
 moves on: no shuffle, bounded memory, and the same result when a lost task runs again. Full windows
 are cut from long documents; the rests become partial partitions, each a tuple of k loads of which
 one is not zero. The two partitions with the largest spread are merged again and again, the heaviest
-window of one with the lightest of the other, until one partition is left. When its heaviest window
-exceeds the capacity, the window count rises; once another window would be mere padding, the
-overhang of heavy windows is cut off and put into light ones instead.
+window of one with the lightest of the other, until one partition is left. Whenever its heaviest window
+exceeds the capacity, the window count rises and the rests are parted anew. Only in small groups, as at a
+task's end, where another window would be mere padding (a share of more than PADDING), the overhang of
+heavy windows is cut off and put into light ones instead.
 
-Defined results: a null or empty text is one end id; repeated doc_ids are packed row by row; an empty
-table gives no pieces; other columns are ignored.
+Defined results: a null or empty text is one end id; a very long text fills windows of its own, and only its
+rest is parted; repeated doc_ids are packed row by row; an empty table gives no pieces; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ from lorekeep.llm.textarrays import text_chunks
 from lorekeep.llm.tokens import encoder
 
 CAPACITY = 4096
-GROUP_WINDOWS = 192
+GROUP_WINDOWS = 320
 #: Share of padding that a further window may cause before overhangs are cut instead.
-PADDING = 0.004
+PADDING = 0.01
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
