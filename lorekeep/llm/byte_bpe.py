@@ -8,7 +8,8 @@ is a small automaton over classes of code points. Each character is a function f
 it to the state behind it; the functions that compositions can reach are few and numbered, and a
 table composes two of them, so the states of a whole chunk come from an associative scan over
 numbers. A token starts where the state before a character and its class say so. The slices between
-starts go through a dictionary; what is new there is merged pair by pair, lowest rank first.
+starts go through a dictionary; what is new there is merged pair by pair, lowest rank first. Long slices
+(runs of one letter, scripts without spaces) are merged over a heap of pairs in a linked list.
 
 Defined results: null and empty texts have no ids and decode to no bytes; repeated rows are encoded
 row by row; an empty table gives no rows; other columns are ignored.
@@ -17,6 +18,7 @@ row by row; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import heapq
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -157,6 +159,8 @@ class BytePairEncoder:
         ranks = self.ranks
         if (whole := ranks.get(piece)) is not None:
             return whole.to_bytes(4, "little")
+        if len(piece) > LONG_SLICE:
+            return self._merge_long(piece)
         parts = [piece[i : i + 1] for i in range(len(piece))]
         costs = [ranks.get(a + b, _NEVER) for a, b in zip(parts, parts[1:], strict=False)]
         while costs and (low := min(costs)) != _NEVER:
@@ -169,6 +173,31 @@ class BytePairEncoder:
                 costs[i - 1] = ranks.get(parts[i - 1] + parts[i], _NEVER)
         return b"".join([ranks[p].to_bytes(4, "little") for p in parts])
 
+    def _merge_long(self, piece: bytes) -> bytes:
+        """The same merges by a heap of (rank, place): n log n in the slice's length."""
+        ranks, n = self.ranks, len(piece)
+        parts: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, parts[i] + parts[i + 1]) for i in range(n - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
+        heapq.heapify(heap)
+
+        def offer(i: int, j: int) -> None:
+            if i >= 0 and j < n and (r := ranks.get(parts[i] + parts[j])) is not None:
+                heapq.heappush(heap, (r, i, parts[i] + parts[j]))
+
+        while heap:
+            _, i, joined = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] is None or j >= n or len(parts[i]) + len(parts[j]) != len(joined):
+                continue  # one of the two has been merged since
+            parts[i], parts[j] = joined, None
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            offer(before[i], i)
+            offer(i, after[i])
+        return b"".join([ranks[p].to_bytes(4, "little") for p in parts if p is not None])
+
     def encode(self, data: np.ndarray, starts: np.ndarray) -> list[bytes]:
         self._known.age()
         known, body = self._known.now, data.tobytes()
@@ -176,8 +205,7 @@ class BytePairEncoder:
         slices = [body[a:b] for a, b in zip(at, at[1:], strict=False)]
         ids = list(map(known.get, slices))
         if None in ids:
-            for s in self._known.missing({s for s, i in zip(slices, ids, strict=True) if i is None}):
-                known[s] = self.merge(s)
+            self._known.add({s: self.merge(s) for s in self._known.missing({s for s, i in zip(slices, ids, strict=True) if i is None})})
             ids = [known[s] if i is None else i for s, i in zip(slices, ids, strict=True)]
         return ids
 
@@ -190,6 +218,8 @@ class BytePairEncoder:
 
 
 _NEVER = 1 << 60
+#: Bytes of a slice from which on pairs are merged over a heap.
+LONG_SLICE = 100
 _ENCODERS: dict[str, BytePairEncoder] = {}
 
 
