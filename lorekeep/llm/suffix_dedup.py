@@ -32,13 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.textarrays import mix, powers, span_hashes, text_chunks
-from lorekeep.session import staged
+from lorekeep.session import staged, unstage
 
 LENGTH = 200
 GRAM = 40
 #: Slices of one anchor in one shard; more are spread over several shards.
 RUN_SLICES = 1500
-#: Ranges that the digests of one anchor are merged in, at most; an anchor has one a run up to that.
+#: Ranges that the digests of one anchor are merged in, one a run; an anchor of more runs is merged digest by digest.
 MOST_RANGES = 4096
 #: Bytes of slices in one suffix array.
 SHARD_BYTES = 1 << 20
@@ -310,7 +310,7 @@ def _merge_runs(shards: DataFrame) -> DataFrame:
 
     def deal(table: pa.Table) -> pa.Table:
         own = np.unique(_digests(table.column("digests")))
-        ranges = min(table.column("runs")[0].as_py(), MOST_RANGES)
+        ranges = table.column("runs")[0].as_py()
         of = own % np.uint64(ranges)
         key = [table.column(c)[0].as_py() for c in ("akey", "run")]
         rows = [(*key, r, own[of == r].tobytes()) for r in range(ranges) if (of == r).any()]
@@ -333,8 +333,24 @@ def _merge_runs(shards: DataFrame) -> DataFrame:
                 out.append((akey, skey, np.stack(_spans(found), 1).astype(np.int64).tobytes()))
         return pa.Table.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["akey", "skey", "spans"])
 
-    dealt = several.select("akey", "run", "runs", "digests").groupBy("akey", "run").applyInArrow(deal, "akey long, run int, range int, packed binary")
+    def one_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = np.unique(np.frombuffer(batch.column("digests")[k].as_buffer(), "<u8")).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column(c)[k].as_py(), t)) for c, t in (("akey", np.int64), ("run", np.int32))] + [pa.array(own)], names=["akey", "run", "digest"])
+
+    def packed_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.ascontiguousarray(batch.column("digest").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("akey"), batch.column("run"), pa.array([x.tobytes() for x in own], pa.binary())], names=["akey", "run", "hits"])
+
+    few, many = several.where(F.col("runs") <= MOST_RANGES), several.where(F.col("runs") > MOST_RANGES)
+    dealt = few.select("akey", "run", "runs", "digests").groupBy("akey", "run").applyInArrow(deal, "akey long, run int, range int, packed binary")
     met = dealt.groupBy("akey", "range").applyInArrow(merge, "akey long, run int, hits binary")
+    # an anchor of more runs than that: a row a digest, so that nothing grows with the number of runs
+    single = many.mapInArrow(one_each, "akey long, run int, digest long").distinct()
+    again = single.groupBy("akey", "digest").agg(F.min("run").alias("x"), F.max("run").alias("y")).where("x < y").select("akey", "digest")
+    met = met.union(single.join(again, ["akey", "digest"]).select("akey", "run", "digest").mapInArrow(packed_one, "akey long, run int, hits binary"))
     return several.select("akey", "run", "skey", "digests").groupBy("akey", "run").cogroup(met.groupBy("akey", "run")).applyInArrow(flag, "akey long, skey long, spans binary")
 
 
@@ -342,9 +358,13 @@ def _spans_of(documents: DataFrame, keep_text: bool) -> DataFrame:
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # rows are told apart by id and content; equal rows are copies of each other in any case
     base = base.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    found = _find_slices(base)
+    found = staged(_find_slices(base), "found")
     anchors = found.groupBy("akey").agg(F.count("*").alias("seen"), F.min("skey").alias("s1"), F.max("skey").alias("s2")).where("seen > 1")
-    flagged = staged(found.join(anchors.select("akey", (F.col("s1") != F.col("s2")).alias("mixed")), "akey"), "slices")
+    # a written table: the join below has shuffles alone under it, so that a hot anchor's rows are split over tasks
+    anchors = staged(anchors.select("akey", (F.col("s1") != F.col("s2")).alias("mixed")), "anchors")
+    flagged = staged(found.join(anchors, "akey"), "slices")
+    unstage(found)
+    unstage(anchors)
     firsts = staged(
         flagged.where("mixed").groupBy("akey", "skey").agg(F.count("*").alias("copies"), F.min(F.struct("row_key", "lo", "n", "off")).alias("at")),
         "firsts",
