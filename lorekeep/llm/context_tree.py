@@ -40,7 +40,7 @@ EDGE = 0xFF
 GRAM_SLOTS = 22
 WORD_SLOTS = 20
 #: Strings or words that a task holds before it sends what it has counted.
-HELD = 3_000_000
+HELD = 1_500_000
 #: Strings in one group of subtrees.
 GROUP_STRINGS = 300_000
 END_WORD = 0x454E44
