@@ -36,9 +36,9 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the hash base and of its inverse."""
+    """Powers 0..n-1 of the hash base and of its inverse; only those of a chunk's length are remembered."""
     if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
+        size, found = max(n, CHUNK_BYTES + 1), list(_powers)
         for k, base in enumerate((_BASE, _BASE_INV)):
             p = np.empty(size, np.uint64)
             p[0] = 1
@@ -47,12 +47,29 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
                 step = min(done, size - done)
                 p[done : done + step] = p[:step] * np.uint64(pow(base, done, 1 << 64))
                 done += step
-            _powers[k] = p
+            found[k] = p
+        if size > CHUNK_BYTES + 1:
+            return found[0], found[1]
+        _powers[:] = found
     return _powers[0], _powers[1]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    """A 64-bit hash of each data[start:end]; fold ignores the case of A-Z."""
+    """A 64-bit hash of each data[start:end]; fold ignores the case of A-Z.
+
+    Spans in order that don't overlap are hashed a chunk at a time, so that very long texts need no more memory.
+    """
+    if len(data) > 2 * CHUNK_BYTES and (starts[1:] >= ends[:-1]).all():
+        parts, k = [np.zeros(0, np.uint64)], 0
+        while k < len(starts):
+            j = max(k + 1, int(np.searchsorted(ends, starts[k] + CHUNK_BYTES, "right")))
+            parts.append(_span_hashes(data[starts[k] : ends[j - 1]], starts[k:j] - starts[k], ends[k:j] - starts[k], fold))
+            k = j
+        return np.concatenate(parts)
+    return _span_hashes(data, starts, ends, fold)
+
+
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
     up, down = powers(len(data) + 1)
     values = _BYTE_VALUES[_FOLDED] if fold else _BYTE_VALUES
     sums = np.zeros(len(data) + 1, np.uint64)
