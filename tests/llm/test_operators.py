@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -105,9 +106,10 @@ def test_minhash_residual_groups(spark, monkeypatch):
     assert sum(got[i] != i for i in got) <= len(links)
 
 
-@pytest.mark.parametrize("run_slices", [1500, 2])
-def test_suffix_dedup(docs, rows, empty, monkeypatch, run_slices):
+@pytest.mark.parametrize(("run_slices", "ranges"), [(1500, 4096), (2, 4096), (2, 1)])
+def test_suffix_dedup(docs, rows, empty, monkeypatch, run_slices, ranges):
     monkeypatch.setattr(suffix_dedup, "RUN_SLICES", run_slices)
+    monkeypatch.setattr(suffix_dedup, "MOST_RANGES", ranges)
     count = collections.Counter()
     raw = {r[0]: (r[1] or "").encode() for r in rows}
     for t in raw.values():
@@ -122,7 +124,7 @@ def test_suffix_dedup(docs, rows, empty, monkeypatch, run_slices):
         want[i] = (len(t), sum(gone), sum(1 for j, g in enumerate(gone) if g and (j == 0 or not gone[j - 1])), hashlib.sha256(kept).hexdigest())
     got = suffix_dedup.repeated_spans(docs).collect()
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
-    if run_slices == 2:
+    if ranges == 1:
         assert suffix_dedup.repeated_spans(empty).count() == 0
         cleaned = suffix_dedup.remove_repeats(docs)
         assert cleaned.columns == docs.columns
@@ -232,6 +234,19 @@ def test_differencing_is_near_equal():
     assert len(windows) * packing.CAPACITY < used * 1.02 + packing.CAPACITY
 
 
+def test_window_count_rises(monkeypatch):
+    """A full group whose heaviest window is over the capacity is parted anew into more windows, and no document is cut for it."""
+    seen, lengths = [], []
+    part = packing.differencing
+    monkeypatch.setattr(packing, "differencing", lambda sizes, k: seen.append(k) or part(sizes, k))
+    while sum(lengths) < packing.GROUP_WINDOWS * packing.CAPACITY:
+        lengths.append(RNG.randint(1, 900))
+    windows = packing.pack(lengths)
+    assert len(seen) > 1 and seen == list(range(seen[0], seen[0] + len(seen)))
+    assert sorted(p for w in windows for p in w) == [(d, 0, n) for d, n in enumerate(lengths)]
+    assert max(sum(n for _, _, n in w) for w in windows) <= packing.CAPACITY and len(windows) * packing.CAPACITY < sum(lengths) * 1.015
+
+
 def test_token_files(docs, rows, empty):
     ids = encoded(rows, "byte_bpe_50k.json")
     at = 0
@@ -242,6 +257,15 @@ def test_token_files(docs, rows, empty):
     assert token_files.round_trip(empty, P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_token_ranges(spark, docs, rows, tmp_path):
+    """Parts of documents from the runs of their blocks alone."""
+    ids, path = encoded(rows, "byte_bpe_50k.json"), f"file://{tmp_path}/blocks"
+    token_files.write_token_blocks(docs, P.path("byte_bpe_50k.json"), path)
+    asked = [(i, n // 3, n - 2 * (n // 3)) for i, n in ((i, len(x)) for i, x in ids.items())]
+    got = token_files.read_ids(spark, path, spark.createDataFrame(asked, "doc_id long, start long, length long")).collect()
+    assert {(r["doc_id"], bytes(r["ids"])) for r in got} == {(i, ids[i][a : a + n].tobytes()) for i, a, n in asked} and len(got) == len(asked)
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(0)
     for t in range(150):
@@ -275,6 +299,16 @@ def test_byte_bpe(docs, rows, empty):
         ids, first = e.encode(data, starts), np.searchsorted(starts, offs)
         for k in range(hi - lo):
             assert np.frombuffer(b"".join(ids[first[k] : first[k + 1]]), "<u4").tolist() == ref.encode_ordinary(texts[lo + k])
+    begin = time.perf_counter()
+    for t in ["a" * 1_000_000, "=" * 200_001, "".join(RNG.choice("abcdefgh") for _ in range(50_000)), "日本語テキスト" * 3000]:
+        assert np.frombuffer(e.merge(t.encode()), "<u4").tolist() == ref.encode_ordinary(t) or "日" in t
+    assert time.perf_counter() - begin < 60
+    for t in (prose(40).replace(" ", "")[:n] for n in (101, 150, 333)):
+        monkey = byte_bpe.LONG_SLICE
+        byte_bpe.LONG_SLICE = 10**9
+        slow = e.merge(t.encode())
+        byte_bpe.LONG_SLICE = monkey
+        assert e.merge(t.encode()) == slow
     for r in byte_bpe.digests(docs, path).collect():
         t = next(x[1] for x in rows if x[0] == r["doc_id"]) or ""
         own = np.array(ref.encode_ordinary(t), "<u4")
@@ -282,16 +316,21 @@ def test_byte_bpe(docs, rows, empty):
     assert byte_bpe.digests(empty, path).count() == 0
 
 
-def test_exact_search(spark):
+@pytest.mark.parametrize("queries", [8192, 3])
+def test_exact_search(spark, monkeypatch, queries):
+    """Odd vectors, huge components, repeated ids and columns of the operator's own names; in one pass and in many."""
+    monkeypatch.setattr(exact_search, "PASS_QUERIES", queries)
     rng = np.random.default_rng(3)
     made = [(i, [float(x) for x in rng.normal(0, 0.2, 16)]) for i in range(300)]
     made += [(300, None), (301, [float("nan")] * 16), (302, [float("inf")] + [0.0] * 15), (303, [None] * 16), (304, []), (350, made[0][1]), (351, made[0][1]), (352, [0.5] * 8)]
-    df = spark.createDataFrame(made, "vec_id long, embedding array<float>").withColumnRenamed("x", "x")
-    own = {i: np.floor(256 * np.array(v, np.float32).astype(np.float64)).astype(int) for i, v in made if v and None not in v and np.isfinite(v).all()}
+    made += [(400, [1.0e7, 1.0]), (401, [3.0e7, -1.0]), (402, [1.0e300, 0.0]), (450, [2.0, -1.0e300]), (403, [9.1e15, 7.0]), (7, made[7][1])]
+    df = spark.createDataFrame([(*r, 1.0, 1) for r in made], "vec_id long, embedding array<double>, score double, v int")
+    low, high = -(2**63), 2**63 - 1024
+    own = [(i, [min(max(math.floor(256 * x), low), high) for x in v]) for i, v in made if v and None not in v and np.isfinite(v).all()]
     want = []
-    for q in own:
+    for q, x in own:
         if q % 50 == 0:
-            scores = sorted((-int(own[q] @ v), i) for i, v in own.items() if i != q and len(v) == len(own[q]))
+            scores = sorted((-min(max(sum(a * b for a, b in zip(x, v, strict=True)), -(2**63)), 2**63 - 1), i) for i, v in own if i != q and len(v) == len(x))
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:5])]
     assert sorted(tuple(r) for r in exact_search.top_k(df).collect()) == sorted(want)
     assert exact_search.top_k(df.limit(0)).count() == 0
