@@ -164,9 +164,9 @@ def block_ids(words: np.ndarray, starts: np.ndarray, escapes: np.ndarray, at: in
 def _placed(spark: SparkSession, path: str) -> DataFrame:
     """The blocks with base, the ids of all documents before each."""
     blocks = spark.read.schema(SCHEMA).parquet(path)
-    # a row per shard, and there are as many as partitions: small at any size
+    # a row per shard, and there are as many as shuffle partitions: a bound that doesn't grow with the input
     before = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_before"))
-    return blocks.join(before, "shard").select("n_ids", "lengths", "doc_ids", (F.col("ids_before") + F.col("shard_before")).alias("base"), "escapes", "words", "starts")
+    return blocks.join(F.broadcast(before), "shard").select("n_ids", "lengths", "doc_ids", (F.col("ids_before") + F.col("shard_before")).alias("base"), "escapes", "words", "starts")
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array, pa.Array, list[memoryview]]]:

@@ -32,7 +32,7 @@ _PARTS = {
 _PRINTS = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _SPELLING = {b: chr(b) for b in _PRINTS} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTS)}
 #: Bytes that a worker's dictionary of remembered parts may take in all, with about ENTRY_BYTES for each beside its own.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 160 << 20
 ENTRY_BYTES = 170
 
 
