@@ -55,3 +55,22 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         raise RuntimeError(f"components did not converge in {max_rounds} rounds")
     stars = cur.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
     return stars.union(cur.select("v", "v").distinct())
+
+
+def top_ancestors(nodes: DataFrame, id_col: str, parent_col: str, hops: int = 10) -> DataFrame:
+    """(id, top): the last known ancestor of each node, at most `hops` steps up.
+
+    Pointers are doubled: after r joins a node points 2**r steps up, so a few joins do for any bound. An
+    unknown parent counts as none.
+    """
+    known = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent"))
+    ids = known.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
+    step = known.join(ids, "parent", "left").select("id", F.when(F.col("known"), F.col("parent")).otherwise(F.col("id")).alias("up"))
+    out, single, left = known.select("id", F.col("id").alias("top")), step, hops
+    while left:
+        if left & 1:
+            out = out.join(single.select(F.col("id").alias("top"), "up"), "top").select("id", F.col("up").alias("top"))
+        left >>= 1
+        if left:
+            single = single.join(single.select(F.col("id").alias("up"), F.col("up").alias("far")), "up").select("id", F.col("far").alias("up"))
+    return out

@@ -67,3 +67,38 @@ def problems(rules: dict, path: str = "") -> list[str]:
         elif isinstance(value, int | float) and value < 0:
             found.append(f"{at}: negative")
     return found
+
+# Delimiters in the order they are tried, dates in paths, and the reader of each format.
+DELIMITERS = [",", "\t", ";", "|"]
+DAY_IN_PATH = r"(20\d\d-\d\d-\d\d)"
+ROUTES = {
+    "document": ["pdf", "docx", "pptx"],
+    "table": ["csv", "xlsx"],
+    "text": ["text", "markdown", "html", "rtf", "ics"],
+    "mailbox": ["mbox"],
+    "email": ["eml"],
+    "image": ["jpeg", "png", "gif", "heic"],
+    "audio": ["mp3", "wav"],
+    "video": ["mp4", "quicktime"],
+}
+# Abbreviations written either way, words that ask nothing, and what a compound question's next part begins with.
+ABBREVIATIONS = {
+    "ot": "overtime",
+    "pm": "preventive maintenance",
+    "ap": "accounts payable",
+    "ar": "accounts receivable",
+    "hr": "human resources",
+    "wo": "work order",
+    "po": "purchase order",
+    "qc": "quality control",
+    "loto": "lockout tagout",
+}
+ASKING_STOP_WORDS = (
+    "what when where which whose there their about does have this that with from were will would should could today right still company"
+).split()
+QUESTION_JOINERS = "and|also|plus|then"
+QUESTION_OPENERS = "what|who|whom|whose|when|where|why|how|which|is|are|was|were|does|did|do|can|could|should|has|have"
+# Column names of message logs.
+LOG_TEXT = "^(text|message|body|content|message text)$"
+LOG_SENDER = "^(sender_name|sender|from|author|sender name|name)$"
+LOG_TIME = "(date|time|timestamp|sent)"
