@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from lorekeep.plans import access, aggregates, checks, facts, inventory, joins, ranking, reports, resolution, retrieval, scalars, scans, segments, streams, wording  # noqa: F401
+from lorekeep.plans import access, aggregates, checks, facts, inventory, joins, ranking, reports, resolution, results, retrieval, scalars, scans, segments, streams, wording  # noqa: F401
 from lorekeep.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
