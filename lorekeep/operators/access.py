@@ -29,8 +29,8 @@ def reachable(start: DataFrame, edges: DataFrame, max_rounds: int = 30) -> DataF
 def secured(df: DataFrame, acl: str, readable: DataFrame) -> DataFrame:
     """Rows without a list, and rows whose list is readable: put around the scan, before any other filter."""
     allowed = readable.select(F.col("acl_id").alias("readable_acl")).distinct()
-    open_rows = df.where(F.col(acl).isNull())
-    return open_rows.unionByName(df.join(allowed, df[acl] == allowed["readable_acl"], "left_semi"))
+    marked = df.join(allowed, df[acl] == allowed["readable_acl"], "left")  # one scan; the lists are distinct, so no row is doubled
+    return marked.where(F.col(acl).isNull() | F.col("readable_acl").isNotNull()).drop("readable_acl")
 
 
 def readable_lists(entries: DataFrame, principals: DataFrame) -> DataFrame:

@@ -15,15 +15,21 @@ def postings(documents: DataFrame, key: str, column: str = "text") -> DataFrame:
     return t.select(key, "length", F.explode("w").alias("term")).groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
 
 
-def bm25(posted: DataFrame, questions: DataFrame, key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(documents: DataFrame, questions: DataFrame, key: str, column: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, key, score) of documents that hold a question's term; questions: query_id, term.
 
-    Corpus figures are one row and terms asked for are few: both are joined before any scoring.
+    Corpus figures come from word counts alone, one row; only terms that are asked for become postings.
+    Documents without words have no part in the figures.
     """
-    sizes = posted.select(key, "length").distinct().agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
+    counted = documents.select(F.size(text.words(F.col(column))).alias("length")).where("length > 0")
+    sizes = counted.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
     asked = questions.select("query_id", "term").distinct()
+    terms = asked.select("term").distinct()
+    split = documents.select(key, text.words(F.col(column)).alias("w")).withColumn("length", F.size("w"))
+    found = split.select(key, "length", F.explode("w").alias("term")).join(terms, "term", "left_semi")
+    posted = found.groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
     hit = posted.join(asked, "term")
-    df = posted.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    df = posted.groupBy("term").agg(F.count("*").alias("df"))
     scored = hit.join(df, "term").crossJoin(F.broadcast(sizes))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))

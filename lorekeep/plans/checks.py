@@ -43,13 +43,13 @@ def data_checks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "manager_resolution",
-    """WITH p AS (SELECT c_custkey AS id, concat(chr(65 + CAST(c_custkey % 26 AS INT)), 'nn Surname', c_custkey // 2) AS name FROM customer WHERE c_custkey < 400), a AS (SELECT id, CASE WHEN id % 3 = 0 THEN name ELSE concat(substr(name, 1, 1), '. Surname', (id // 2)) END AS asked FROM p),
+    """WITH p AS (SELECT c_custkey AS id, concat(chr(65 + CAST(c_custkey % 26 AS INT)), 'nn Surname', c_custkey // 2) AS name FROM customer), a AS (SELECT id, CASE WHEN id % 3 = 0 THEN name ELSE concat(substr(name, 1, 1), '. Surname', (id // 2)) END AS asked FROM p),
     u AS (SELECT concat(substr(name, 1, 1), '|', split_part(name, ' ', 2)) AS k, min(id) AS id FROM p GROUP BY 1 HAVING count(*) = 1)
     SELECT a.id, coalesce(e.id, u.id) AS manager FROM a LEFT JOIN p e ON e.name = asked LEFT JOIN u ON u.k = concat(substr(asked, 1, 1), '|', split_part(asked, ' ', 2))""",
 )
 def manager_resolution(spark: SparkSession, sf: str) -> DataFrame:
     """Managers named in full, or by surname and first initial where only one person fits."""
-    c = table(spark, sf, "customer").where("c_custkey < 400")
+    c = table(spark, sf, "customer")
     half = F.floor(F.col("c_custkey") / 2)
     p = c.select(F.col("c_custkey").alias("id"), F.concat(F.char((65 + F.col("c_custkey") % 26).cast("int")), F.lit("nn Surname"), half).alias("name"))
     asked = p.select("id", F.when(F.col("id") % 3 == 0, F.col("name")).otherwise(F.concat(F.substring("name", 1, 1), F.lit(". Surname"), F.floor(F.col("id") / 2))).alias("asked"))

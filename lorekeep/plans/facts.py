@@ -27,13 +27,13 @@ def as_of_inclusive(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "timeline_text",
-    """WITH f AS (SELECT o_custkey, o_orderkey, o_orderpriority AS value, o_orderdate AS a, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders WHERE o_custkey <= 200)
+    """WITH f AS (SELECT o_custkey, o_orderkey, o_orderpriority AS value, o_orderdate AS a, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders)
     SELECT o_custkey, string_agg(concat(value, ' (', CASE WHEN b IS NULL THEN concat('since ', strftime(a, '%b %Y')) ELSE concat(strftime(a, '%b %Y'), ' - ', strftime(b, '%b %Y')) END, ')'), ' -> ' ORDER BY a, o_orderkey) AS timeline FROM f GROUP BY o_custkey HAVING count(*) >= 2""",
 )
 def timeline_text(spark: SparkSession, sf: str) -> DataFrame:
     """How each customer's priority went over time, in words."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    o = table(spark, sf, "orders").where("o_custkey <= 200")
+    o = table(spark, sf, "orders")
     f = o.select("o_custkey", F.col("o_orderkey").alias("fact_id"), F.col("o_orderpriority").alias("value"), F.col("o_orderdate").alias("valid_from"), F.lead("o_orderdate").over(w).alias("valid_to"))
     return facts.timelines(f, ["o_custkey"])
 
@@ -41,7 +41,7 @@ def timeline_text(spark: SparkSession, sf: str) -> DataFrame:
 @query("timeline_consolidate")
 def timeline_consolidate(spark: SparkSession, sf: str) -> DataFrame:
     """Versions of each fact closed, superseded or folded."""
-    e = table(spark, sf, "events").where("user_id <= 60")
+    e = table(spark, sf, "events")
     status = F.when(F.col("event_id") % 5 == 0, "superseded").otherwise("accepted")
     f = e.select(F.col("event_id").alias("fact_id"), F.col("user_id").alias("subject"), F.col("event_type").alias("predicate"), F.floor(F.col("value") / 20).cast("string").alias("value"), F.col("ts").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"), status.alias("status"))
     return facts.consolidate(f)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text
@@ -56,8 +56,6 @@ def lateral_top_n(spark: SparkSession, sf: str) -> DataFrame:
 )
 def range_join_row_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Rows meet the 40-row unit that covers them: an equi-join on the unit's number instead of a range scan."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
     rows = table(spark, sf, "lineitem").withColumn("r", F.row_number().over(w) - 1).withColumn("chunk", F.floor(F.col("r") / 40))
     chunks = rows.groupBy(F.col("l_suppkey").alias("s"), F.col("chunk").alias("c")).agg(F.min("r").alias("row_start"), F.max("r").alias("row_end"))
@@ -160,18 +158,22 @@ def trigram_jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Similar names: candidates share a trigram, similarity follows from counts of shared ones."""
     t = table(spark, sf, "part").select(F.col("p_name").alias("p")).distinct().withColumn("g", text.name_trigrams(F.col("p")))
     one = t.select("p", F.size("g").alias("n"), F.explode("g").alias("t"))
-    pairs = one.select(F.col("p").alias("a"), F.col("n").alias("na"), "t").join(one.select(F.col("p").alias("b"), F.col("n").alias("nb"), "t"), "t").where("a < b")
-    shared = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("s"))
-    return shared.select("a", "b", F.round(F.col("s") / (F.col("na") + F.col("nb") - F.col("s")), 6).alias("similarity")).where("similarity >= 0.5")
+    # at 0.5 and more, the rarest half of either name's trigrams (and one) holds a common one: only those meet
+    held = one.join(one.groupBy("t").agg(F.count("*").alias("seen")), "t").withColumn("place", F.row_number().over(Window.partitionBy("p").orderBy("seen", "t")))
+    rare = held.where("place <= n - ceil(n / 2) + 1").select("p", "n", "t")
+    pairs = rare.select(F.col("p").alias("a"), F.col("n").alias("na"), "t").join(rare.select(F.col("p").alias("b"), F.col("n").alias("nb"), "t"), "t").where("a < b and 2 * least(na, nb) >= greatest(na, nb)")
+    side = lambda s: t.select(F.col("p").alias(s), F.col("g").alias(f"g{s}"))
+    whole = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").withColumn("similarity", F.round(text.jaccard(F.col("ga"), F.col("gb")), 6))
+    return whole.where("similarity >= 0.5").select("a", "b", "similarity")
 
 
 @query(
     "name_containment",
-    """WITH n AS (SELECT DISTINCT p_name AS name, split_part(p_name, ' ', 1) AS short FROM part WHERE p_partkey < 400) SELECT DISTINCT short, name, length(short) >= 4 AS fits FROM n""",
+    """WITH n AS (SELECT DISTINCT p_name AS name, split_part(p_name, ' ', 1) AS short FROM part) SELECT DISTINCT short, name, length(short) >= 4 AS fits FROM n""",
 )
 def name_containment(spark: SparkSession, sf: str) -> DataFrame:
     """Whether a short name is contained in a longer one."""
-    n = table(spark, sf, "part").where("p_partkey < 400").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("short"), F.col("p_name").alias("name")).distinct()
+    n = table(spark, sf, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("short"), F.col("p_name").alias("name")).distinct()
     return n.select("short", "name", text.contains_name(F.col("short"), F.col("name")).alias("fits"))
 
 
@@ -195,14 +197,14 @@ def identifier_index(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "fuzzy_lookup",
-    """WITH q AS (SELECT DISTINCT p_name AS q FROM part WHERE p_partkey <= 20), n AS (SELECT DISTINCT p_name AS name FROM part), s AS (
+    """WITH q AS (SELECT DISTINCT p_name AS q FROM part), n AS (SELECT DISTINCT p_name AS name FROM part), s AS (
       SELECT q, name, 1.0 AS score FROM q JOIN n ON q = name UNION ALL SELECT q, name, 0.95 FROM q JOIN n ON split_part(q, ' ', 2) = split_part(name, ' ', 2) AND q <> name)
     SELECT q, name, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, name) AS rn FROM s) WHERE rn = 1""",
 )
 def fuzzy_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """A cascade of lookups, the best one per question: exact name, then alias."""
     n = table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct()
-    q = table(spark, sf, "part").where("p_partkey <= 20").select(F.col("p_name").alias("q")).distinct()
+    q = table(spark, sf, "part").select(F.col("p_name").alias("q")).distinct()
     exact = q.join(n, q["q"] == n["name"]).select("q", "name", F.lit(1.0).alias("score"))
     last = lambda c: F.split_part(c, F.lit(" "), F.lit(2))
     alias = q.withColumn("k", last("q")).join(n.withColumn("k", last("name")), "k").where("q <> name").select("q", "name", F.lit(0.95).alias("score"))
@@ -231,9 +233,7 @@ def dictionary_link(spark: SparkSession, sf: str) -> DataFrame:
     phrases = table(spark, sf, "benchmark").select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.array_join(F.slice(text.words(F.col("text")), 1, n), " "))).alias("phrase")).where(F.length("phrase") > 3).distinct()
     tokens = table(spark, sf, "documents").select("doc_id", text.words(F.col("text")).alias("w"))
     grams = tokens.select("doc_id", F.posexplode("w").alias("at", "first"), "w").select("doc_id", "at", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("n"), "w").where("at + n <= size(w)")
-    spans = grams.select("doc_id", "at", "n", F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ").alias("phrase")).join(F.broadcast(phrases), "phrase")
+    spans = grams.select("doc_id", "at", "n", F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ").alias("phrase")).join(phrases, "phrase")
     longest = graph.top_per_group(spans, ["doc_id", "at"], [F.desc("n")], 1)
-    from pyspark.sql import Window
-
     before = F.max(F.col("at") + F.col("n")).over(Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
     return longest.withColumn("covered", before).where("covered is null or at >= covered").groupBy("phrase").agg(F.count("*").alias("mentions"), F.count_distinct("doc_id").alias("documents"))

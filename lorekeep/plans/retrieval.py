@@ -47,7 +47,7 @@ def phrase_match(spark: SparkSession, sf: str) -> DataFrame:
 @query("bm25_topk", f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The ten best documents per question by BM25."""
-    scores = retrieval.bm25(retrieval.postings(table(spark, sf, "documents"), "doc_id"), _questions(spark, sf), "doc_id")
+    scores = retrieval.bm25(table(spark, sf, "documents"), _questions(spark, sf), "doc_id")
     return retrieval.ranked(scores, "doc_id", 10)
 
 
@@ -76,7 +76,7 @@ def knn_topk(spark: SparkSession, sf: str) -> DataFrame:
 )
 def rrf_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     """Both legs fused by reciprocal ranks."""
-    words = retrieval.ranked(retrieval.bm25(retrieval.postings(table(spark, sf, "documents"), "doc_id"), _questions(spark, sf), "doc_id"), "doc_id", 100)
+    words = retrieval.ranked(retrieval.bm25(table(spark, sf, "documents"), _questions(spark, sf), "doc_id"), "doc_id", 100)
     return retrieval.ranked(retrieval.fuse([words, retrieval.ranked(_knn(spark, sf), "doc_id", 100)], "doc_id"), "doc_id", 10)
 
 
@@ -117,7 +117,7 @@ def retrieval_metrics(spark: SparkSession, sf: str) -> DataFrame:
 @query("restricted_notice", f"WITH {_BM25} SELECT query_id, count(*) FILTER (WHERE locked) AS locked, coalesce(max(score) FILTER (WHERE locked), 0) >= coalesce(max(score) FILTER (WHERE NOT locked), 0) + 1 AS withheld FROM (SELECT s.*, source IN ('src0', 'src1', 'src2') AS locked FROM s JOIN documents USING (doc_id)) GROUP BY query_id")
 def restricted_notice(spark: SparkSession, sf: str) -> DataFrame:
     """How many matches a reader may not see, and whether one of them is clearly the best."""
-    scores = retrieval.bm25(retrieval.postings(table(spark, sf, "documents"), "doc_id"), _questions(spark, sf), "doc_id")
+    scores = retrieval.bm25(table(spark, sf, "documents"), _questions(spark, sf), "doc_id")
     s = scores.join(table(spark, sf, "documents").select("doc_id", F.col("source").isin("src0", "src1", "src2").alias("locked")), "doc_id")
     best = lambda c: F.coalesce(F.max(F.when(c, F.col("score"))), F.lit(0.0))
     return s.groupBy("query_id").agg(F.count_if("locked").alias("locked"), (best(F.col("locked")) >= best(~F.col("locked")) + 1).alias("withheld"))
