@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.textarrays import mix, shingle_hashes, span_hashes, text_chunks, words
+from lorekeep.llm.tokens import forget
 from lorekeep.operators.closure import connected_components
 from lorekeep.session import staged, unstage
 
@@ -94,6 +95,7 @@ def signatures(documents: DataFrame, k: int) -> DataFrame:
     """doc_id, row_key, n_shingles, set_key (16-byte digest of the sorted set, null when empty), regs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for lo, sets in shingle_sets(batch.column("text"), k):
                 full = [s for s in sets if len(s)]

@@ -106,7 +106,12 @@ _ENCODERS: dict[str, PieceEncoder] = {}
 
 
 def encoder(path: str) -> PieceEncoder:
-    """The worker's encoder for a vocabulary file; its dictionaries live as long as the worker."""
+    """The worker's encoder for a vocabulary file; it stays for the worker's next tasks, until forget() is called."""
     if path not in _ENCODERS:
         _ENCODERS[path] = PieceEncoder(path)
     return _ENCODERS[path]
+
+
+def forget() -> None:
+    """Give the encoders' memory back: called where a worker turns to work without a tokenizer."""
+    _ENCODERS.clear()
