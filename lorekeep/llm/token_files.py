@@ -38,6 +38,7 @@ from lorekeep.session import shared_dir, staged, unstage
 
 COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
+_BIT_LENGTHS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 BLOCK_IDS = 1 << 16
 RUN = 4096
 SCHEMA = "shard int, block int, ids_before long, n_ids long, doc_ids array<long>, lengths array<long>, words binary, starts array<long>, escapes array<long>"
@@ -48,9 +49,11 @@ def pack_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    bits = np.frexp((ids & np.uint64((1 << 30) - 1)).astype(np.float64))[1].astype(np.uint8)
-    high = ids >> np.uint64(30)
-    if high.any():
+    if int(ids.max()) < len(_BIT_LENGTHS):
+        bits = _BIT_LENGTHS[ids]
+    else:
+        bits = np.frexp((ids & np.uint64((1 << 30) - 1)).astype(np.float64))[1].astype(np.uint8)
+        high = ids >> np.uint64(30)
         bits = np.where(high > 0, np.frexp(high.astype(np.float64))[1].astype(np.uint8) + np.uint8(30), bits)
     widest = {1: np.concatenate([bits, np.zeros(128, np.uint8)])}
     for p in (1, 2, 4, 8, 16, 32):
@@ -67,8 +70,9 @@ def pack_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         np.copyto(code, np.uint8(c), where=fits)
     ahead = (np.arange(n) + COUNTS[code]).tolist()
     at, i = [], 0
+    push = at.append
     while i < n:
-        at.append(i)
+        push(i)
         i = ahead[i]
     at = np.array(at)
     code = code[at]
