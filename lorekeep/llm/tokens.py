@@ -68,15 +68,29 @@ class PieceEncoder:
         known = self._known.now
         cut = [self._cut(t) for t in texts]
         got = [list(map(known.get, parts)) for parts, _ in cut]
+        gaps = [_places_of_none(g) for g in got]
         for single in (True, False):
-            new = {p for (parts, one), g in zip(cut, got, strict=True) if one is single and None in g for p, i in zip(parts, g, strict=True) if i is None}
-            new = self._known.missing(new)
+            new = self._known.missing({parts[i] for (parts, one), gap in zip(cut, gaps, strict=True) if one is single for i in gap})
             if single:
                 self._known.add({p: self._merge(p) for p in new})
             elif new:
                 found = self._tokenizer.encode_batch_fast(new, add_special_tokens=False)
                 self._known.add({p: struct.pack(f"<{len(f.ids)}I", *f.ids) for p, f in zip(new, found, strict=True)})
-        return [b"".join([known[p] for p in parts] if None in g else g) for (parts, _), g in zip(cut, got, strict=True)]
+        for (parts, _), g, gap in zip(cut, got, gaps, strict=True):
+            for i in gap:
+                g[i] = known[parts[i]]
+        return [b"".join(g) for g in got]
+
+
+def _places_of_none(found: list) -> list[int]:
+    """Where a list holds None; the search itself is the list's own."""
+    at, i = [], -1
+    try:
+        while True:
+            i = found.index(None, i + 1)
+            at.append(i)
+    except ValueError:
+        return at
 
 
 class Remembered:
