@@ -13,7 +13,7 @@ executors leave no half-written blocks. A block holds whole documents in ascendi
 Selectors 1..15 hold 120 zeros, or 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1 ids of 1, 2, 3, 4,
 5, 6, 7, 8, 10, 12, 15, 20, 30, 60 bits. Decoding treats all words of a selector at once.
 
-Texts are encoded where they are read; only ids go through the range shuffle, two bytes each where the vocabulary allows it.
+Texts are encoded where they are read; only ids are shuffled, to the range of their doc_id, two bytes each where the vocabulary allows it.
 
 Defined results: a null or empty text is one end id; texts of any length are encoded whole and stay in one block;
 rows of equal doc_id follow each other in the order of their ids' bytes; null doc_ids come first; an empty
@@ -28,19 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm.textarrays import text_chunks
 from lorekeep.llm.tokens import encoder
-from lorekeep.session import shared_dir, staged, unstage
+from lorekeep.session import shared_dir
 
 COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 _BIT_LENGTHS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 BLOCK_IDS = 1 << 16
 RUN = 4096
+#: Ranges of ids for every shuffle partition, so that partitions come out even.
+SHARDS = 3
 SCHEMA = "shard int, block int, ids_before long, n_ids long, doc_ids array<long>, lengths array<long>, words binary, starts array<long>, escapes array<long>"
 
 
@@ -106,8 +107,15 @@ def unpack_words(words: np.ndarray, n: int, escapes: np.ndarray) -> np.ndarray:
     return out[:n]
 
 
-def _encoded(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, wide, ids: the ids of each whole text with the end id, two bytes each, or four (wide)."""
+def _bounds(source: DataFrame) -> list[float]:
+    """Ids that part the documents into ranges of about equal size, from their ids alone: SHARDS for every shuffle partition."""
+    n = SHARDS * int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = source.where("doc_id is not null").approxQuantile("doc_id", [k / n for k in range(1, n)], 0.25 / n)
+    return sorted(set(found))
+
+
+def _encoded(source: DataFrame, tokenizer: str, end_id: int, bounds: list[float]) -> DataFrame:
+    """shard, doc_id, wide, ids: the ids of each whole text with the end id, two bytes each, or four (wide)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer), int(end_id).to_bytes(4, "little")
@@ -117,9 +125,12 @@ def _encoded(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 ids = [np.frombuffer(e + end, "<u4") for e in encode.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])]
                 wide = [int(x.max()) > 0xFFFF for x in ids]
                 body = [(x if w else x.astype("<u2")).tobytes() for x, w in zip(ids, wide, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(wide), pa.array(body, pa.binary())], names=["doc_id", "wide", "ids"])
+                names = batch.column("doc_id").slice(lo, hi - lo)
+                # no id comes first; the ranges follow the order of ids, as rounding to doubles does too
+                shard = np.where(names.is_null(), 0, np.searchsorted(bounds, names.fill_null(0).to_numpy().astype(np.float64)) + 1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), names, pa.array(wide), pa.array(body, pa.binary())], names=["shard", "doc_id", "wide", "ids"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, wide boolean, ids binary")
+    return source.mapInArrow(run, "shard int, doc_id long, wide boolean, ids binary")
 
 
 def write_token_blocks(documents: DataFrame, tokenizer: str, path: str, end_id: int = 2) -> None:
@@ -135,23 +146,24 @@ def write_token_blocks(documents: DataFrame, tokenizer: str, path: str, end_id:
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[c.split(" ")[0] for c in SCHEMA.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId()
-        ids, held, size, before, block = [], [], 0, 0, 0
+        shard, ids, held, size, before, block = None, [], [], 0, 0, 0
         for batch in batches:
-            for name, wide, body in zip(batch.column("doc_id").to_pylist(), batch.column("wide").to_pylist(), batch.column("ids"), strict=True):
+            for own, name, wide, body in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "wide")), batch.column("ids"), strict=True):
+                if ids and (own != shard or size >= BLOCK_IDS):
+                    yield flush(shard, block, before, ids, held)
+                    ids, held, size, before, block = [], [], 0, before + size, block + 1
+                if own != shard:
+                    shard, before, block = own, 0, 0
                 ids.append(name)
                 # a copy, so that a block doesn't hold on to the batches that it comes from
                 held.append(np.frombuffer(body.as_buffer(), "<u4" if wide else "<u2").astype(np.uint32))
                 size += len(held[-1])
-                if size >= BLOCK_IDS:
-                    yield flush(shard, block, before, ids, held)
-                    ids, held, size, before, block = [], [], 0, before + size, block + 1
         if ids:
             yield flush(shard, block, before, ids, held)
 
-    encoded = staged(_encoded(documents, tokenizer, end_id), "encoded")
-    encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(run, SCHEMA).write.mode("overwrite").parquet(path)
-    unstage(encoded)
+    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    encoded = _encoded(source, tokenizer, end_id, _bounds(source))
+    encoded.repartition("shard").sortWithinPartitions("shard", "doc_id", "ids").mapInArrow(run, SCHEMA).write.mode("overwrite").parquet(path)
 
 
 def block_ids(words: np.ndarray, starts: np.ndarray, escapes: np.ndarray, at: int, n: int) -> np.ndarray:
@@ -168,7 +180,7 @@ def block_ids(words: np.ndarray, starts: np.ndarray, escapes: np.ndarray, at: in
 def _placed(spark: SparkSession, path: str) -> DataFrame:
     """The blocks with base, the ids of all documents before each."""
     blocks = spark.read.schema(SCHEMA).parquet(path)
-    # a row per shard, and there are as many as shuffle partitions: a bound that doesn't grow with the input
+    # a row per shard, and there are SHARDS for every shuffle partition: a bound that doesn't grow with the input
     before = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_before"))
     return blocks.join(F.broadcast(before), "shard").select("n_ids", "lengths", "doc_ids", (F.col("ids_before") + F.col("shard_before")).alias("base"), "escapes", "words", "starts")
 
