@@ -227,7 +227,17 @@ def anti_stale(spark: SparkSession, sf: str) -> DataFrame:
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey")
 
 
-@query("dictionary_link", None)
+_WORDS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')"
+
+
+@query(
+    "dictionary_link",
+    f"""WITH k AS (SELECT unnest([1, 2, 3]) AS n), b AS (SELECT {_WORDS} AS w FROM benchmark), f AS (SELECT DISTINCT array_to_string(w[1:n], ' ') AS phrase FROM b, k WHERE length(array_to_string(w[1:n], ' ')) > 3),
+    d AS (SELECT doc_id, {_WORDS} AS w FROM documents), g AS (SELECT doc_id, unnest(range(len(w))) AS pos, w FROM d), c AS (SELECT doc_id, pos, n, array_to_string(w[pos + 1:pos + n], ' ') AS phrase FROM g, k WHERE pos + n <= len(w)),
+    s AS (SELECT doc_id, pos, max(n) AS n, arg_max(phrase, n) AS phrase FROM c SEMI JOIN f USING (phrase) GROUP BY doc_id, pos),
+    t AS (SELECT *, max(pos + n) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS covered FROM s)
+    SELECT phrase, count(*) AS mentions, count(DISTINCT doc_id) AS documents FROM t WHERE covered IS NULL OR pos >= covered GROUP BY phrase""",
+)
 def dictionary_link(spark: SparkSession, sf: str) -> DataFrame:
     """Longest dictionary phrases in texts: word n-grams join the dictionary, nested matches give way."""
     phrases = table(spark, sf, "benchmark").select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.array_join(F.slice(text.words(F.col("text")), 1, n), " "))).alias("phrase")).where(F.length("phrase") > 3).distinct()

@@ -131,7 +131,13 @@ def alias_short_forms(spark: SparkSession, sf: str) -> DataFrame:
     return aliases.short_forms(known)
 
 
-@query("alias_initialisms")
+@query(
+    "alias_initialisms",
+    r"""WITH n AS (SELECT DISTINCT p_name AS name FROM part), i AS (SELECT name, array_to_string(list_transform(list_filter(regexp_split_to_array(name, '[^A-Za-z0-9]+'), lambda w: w <> ''), lambda w: upper(w[1])), '') AS alias FROM n),
+    o AS (SELECT alias, min(name) AS entity FROM i WHERE length(alias) BETWEEN 2 AND 6 GROUP BY alias HAVING count(*) = 1),
+    s AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\b([A-Z]{2,6})\b', 1)) AS alias FROM documents)
+    SELECT entity, alias, count(*) AS passages FROM s JOIN o USING (alias) GROUP BY entity, alias HAVING count(*) >= CASE WHEN length(alias) = 2 THEN 3 ELSE 2 END""",
+)
 def alias_initialisms(spark: SparkSession, sf: str) -> DataFrame:
     """Capital runs in texts that are one name's initials."""
     known = table(spark, sf, "part").select(F.col("p_name").alias("entity"), F.col("p_name").alias("name")).distinct()

@@ -20,13 +20,26 @@ def table_passages(spark: SparkSession, sf: str) -> DataFrame:
     return segments.table_windows(table(spark, sf, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], F.concat(F.lit("order "), "o_orderkey"))
 
 
-@query("text_passages")
+_GREEDY = """w AS (SELECT id, i, 0 AS n, length(p) AS open FROM l WHERE i = 1 UNION ALL SELECT l.id, l.i, CASE WHEN open + 1 + length(p) <= {limit} THEN n ELSE n + 1 END, CASE WHEN open + 1 + length(p) <= {limit} THEN open + 1 + length(p) ELSE length(p) END FROM w JOIN l ON l.id = w.id AND l.i = w.i + 1)
+    SELECT id AS {key}, n, string_agg(p, chr(10) ORDER BY i) AS content FROM l JOIN w USING (id, i) GROUP BY id, n"""
+
+
+@query(
+    "text_passages",
+    r"""WITH RECURSIVE k AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n+'), lambda x: trim(x)), lambda x: x <> '') AS lines FROM documents),
+    s AS (SELECT doc_id, flatten(list_transform(lines, lambda x: CASE WHEN length(x) > 1600 THEN string_split(regexp_replace(x, '([.!?])\s+', concat('\1', chr(1)), 'g'), chr(1)) ELSE [x] END)) AS ps FROM k),
+    l AS (SELECT doc_id AS id, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS i FROM s), """
+    + _GREEDY.format(limit=1000, key="doc_id"),
+)
 def text_passages(spark: SparkSession, sf: str) -> DataFrame:
     """Documents in passages of about a thousand characters."""
     return segments.text_passages(table(spark, sf, "documents"))
 
 
-@query("transcript_windows")
+@query(
+    "transcript_windows",
+    "WITH RECURSIVE l AS (SELECT conv_id AS id, concat(role, ': ', text) AS p, row_number() OVER (PARTITION BY conv_id ORDER BY turn, concat(role, ': ', text)) AS i FROM conversations), " + _GREEDY.format(limit=1600, key="conv_id"),
+)
 def transcript_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations in windows of whole turns."""
     return segments.transcript_windows(table(spark, sf, "conversations"))
