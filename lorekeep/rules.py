@@ -102,3 +102,8 @@ QUESTION_OPENERS = "what|who|whom|whose|when|where|why|how|which|is|are|was|were
 LOG_TEXT = "^(text|message|body|content|message text)$"
 LOG_SENDER = "^(sender_name|sender|from|author|sender name|name)$"
 LOG_TIME = "(date|time|timestamp|sent)"
+# What a procedure and a training plan hold, with the most facts of each section, and words that tell no fact apart.
+RULE_WORDS = r"(?i)(must|required|never|no .* without|two-person|before|always)"
+PROCEDURE_LIMITS = {"rules": 12, "practice": 10, "exceptions": 6, "outdated": 8}
+TRAINING_SECTIONS = {"safety": (["policy"], 8), "work": (["practice", "policy"], 10), "quirks": (["practice", "policy", "exception"], 8), "people": (["key_person"], 8)}
+FACT_STOP_WORDS = "the and for with from that this are was not has have its per all any into now since valid status accepted current".split()
