@@ -58,3 +58,37 @@ def merge_directory(rows: DataFrame, attributes: list[str]) -> DataFrame:
     picked = [F.min_by(a, F.struct(F.negative("authority"), "system")).alias(a) for a in attributes]
     clash = [F.when(F.count_distinct(a) > 1, F.lit(a)) for a in attributes]
     return keyed.groupBy("person").agg(F.sort_array(F.collect_set("system")).alias("systems"), *picked, F.array_compact(F.array(*clash)).alias("conflicts"))
+
+
+def similar_names(questions: DataFrame, names: DataFrame, least: float = 0.6) -> DataFrame:
+    """(q, name, score): names whose words share more than `least` of their trigrams with the question's.
+
+    Only rare trigrams meet: of n trigrams, the rarest n - ceil(least * n) + 1 of either side hold a common one.
+    """
+    sides = questions.select(F.col("q").alias("p"), F.lit(True).alias("asked")).union(names.select("name", F.lit(False))).distinct()
+    grams = sides.withColumn("g", text.word_trigrams(F.col("p")))
+    one = grams.select("p", "asked", F.size("g").alias("n"), F.explode("g").alias("t"))
+    held = one.join(one.groupBy("t").agg(F.count("*").alias("seen")), "t").withColumn("place", F.row_number().over(Window.partitionBy("p", "asked").orderBy("seen", "t")))
+    rare = held.where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)
+    side = lambda df, asked, c, *more: df.where(F.col("asked") == asked).select(F.col("p").alias(c), *more)
+    meet = side(rare, True, "q", "t", F.col("n").alias("nq")).join(side(rare, False, "name", "t", F.col("n").alias("nn")), "t")
+    fits = meet.where(F.least("nq", "nn") >= F.lit(least) * F.greatest("nq", "nn")).select("q", "name").distinct()
+    whole = fits.join(side(grams, True, "q", F.col("g").alias("gq")), "q").join(side(grams, False, "name", F.col("g").alias("gn")), "name")
+    return whole.select("q", "name", text.jaccard(F.col("gq"), F.col("gn")).alias("score")).where(F.col("score") > least)
+
+
+def lookup_cascade(questions: DataFrame, names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(q, leg, name, score): what each question means, by the first leg that finds something.
+
+    Legs: 1 the exact name (1.0), 2 an alias (0.95), 3 similar trigrams (their share, the highest first), 4 a first word that one
+    name alone begins with (0.5). Ties go to the smaller name; questions that nothing fits have no row. Case doesn't count.
+    """
+    lower = F.lower(F.trim("q"))
+    exact = questions.withColumn("k", lower).join(names.withColumn("k", F.lower("name")), "k").select("q", F.lit(1).alias("leg"), "name", F.lit(1.0).alias("score"))
+    alias = questions.withColumn("k", lower).join(aliases.withColumn("k", F.lower("alias")), "k").select("q", F.lit(2), "name", F.lit(0.95))
+    similar = similar_names(questions, names).select("q", F.lit(3), "name", "score")
+    first = names.groupBy(F.lower(F.split_part("name", F.lit(" "), F.lit(1))).alias("k")).agg(F.count_distinct("name").alias("n"), F.min("name").alias("name")).where("n = 1")
+    by_first = questions.withColumn("k", lower).join(first, "k").select("q", F.lit(4), "name", F.lit(0.5))
+    found = exact.union(alias).union(similar).union(by_first)
+    best = found.groupBy("q").agg(F.min(F.struct("leg", (-F.col("score")).alias("less"), "name")).alias("b"))
+    return best.select("q", "b.leg", "b.name", (-F.col("b.less")).alias("score"))

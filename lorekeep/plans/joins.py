@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text
-from lorekeep.operators import graph
+from lorekeep.operators import graph, resolution
 from lorekeep.plans.registry import query, table
 
 
@@ -195,20 +195,27 @@ def identifier_index(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("word", "holders", F.when(F.col("holders") == 1, F.col("first")).alias("only"))
 
 
+_GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> ''), lambda x: list_transform(range(1, length(x) + 2), lambda i: substr(concat('  ', x, ' '), CAST(i AS INT), 3)))))"
+
+
 @query(
     "fuzzy_lookup",
-    """WITH q AS (SELECT DISTINCT p_name AS q FROM part), n AS (SELECT DISTINCT p_name AS name FROM part), s AS (
-      SELECT q, name, 1.0 AS score FROM q JOIN n ON q = name UNION ALL SELECT q, name, 0.95 FROM q JOIN n ON split_part(q, ' ', 2) = split_part(name, ' ', 2) AND q <> name)
-    SELECT q, name, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, name) AS rn FROM s) WHERE rn = 1""",
+    f"""WITH n AS (SELECT DISTINCT p_name AS name, split_part(p_name, ' ', 1) AS one, split_part(p_name, ' ', 2) AS two FROM part), a AS (SELECT concat(two, ' ', one) AS alias, name FROM n),
+    q AS (SELECT DISTINCT unnest([upper(name), concat(name, 's'), concat(two, ' ', one), one]) AS q FROM n),
+    t AS (SELECT q, {_GRAMS.format("q")} AS g FROM q), u AS (SELECT name, {_GRAMS.format("name")} AS g FROM n),
+    f AS (SELECT one, min(name) AS name FROM n GROUP BY one HAVING count(*) = 1),
+    s AS (SELECT q, 1 AS leg, name, 1.0::DOUBLE AS score FROM q JOIN n ON lower(q) = lower(name) UNION ALL SELECT q, 2, name, 0.95 FROM q JOIN a ON lower(alias) = lower(q)
+      UNION ALL SELECT q, 3, name, len(list_intersect(t.g, u.g)) / len(list_distinct(list_concat(t.g, u.g))) AS score FROM t JOIN u ON len(list_intersect(t.g, u.g)) / len(list_distinct(list_concat(t.g, u.g))) > 0.6
+      UNION ALL SELECT q, 4, name, 0.5 FROM q JOIN f ON lower(one) = lower(q))
+    SELECT q, leg, name, score FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY leg, score DESC, name) = 1""",
 )
 def fuzzy_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """A cascade of lookups, the best one per question: exact name, then alias."""
+    """A cascade of lookups for altered names: exact in other case, alias, similar, first word alone."""
+    word = lambda k: F.split_part("name", F.lit(" "), F.lit(k))
     n = table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct()
-    q = table(spark, sf, "part").select(F.col("p_name").alias("q")).distinct()
-    exact = q.join(n, q["q"] == n["name"]).select("q", "name", F.lit(1.0).alias("score"))
-    last = lambda c: F.split_part(c, F.lit(" "), F.lit(2))
-    alias = q.withColumn("k", last("q")).join(n.withColumn("k", last("name")), "k").where("q <> name").select("q", "name", F.lit(0.95).alias("score"))
-    return graph.top_per_group(exact.union(alias), ["q"], [F.desc("score"), F.col("name")], 1).select("q", "name", "score")
+    turned = F.concat_ws(" ", word(2), word(1))
+    q = n.select(F.explode(F.array(F.upper("name"), F.concat("name", F.lit("s")), turned, word(1))).alias("q")).distinct()
+    return resolution.lookup_cascade(q, n, n.select(turned.alias("alias"), "name"))
 
 
 @query("null_safe_changes", "SELECT a.c_custkey, a.m AS was, b.m AS now FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS m FROM customer) a JOIN (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS m FROM customer) b USING (c_custkey) WHERE a.m IS DISTINCT FROM b.m")
