@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lorekeep import rules
 from lorekeep.operators import access, graph
 from lorekeep.operators.closure import connected_components
 from lorekeep.plans.registry import query, table
@@ -196,7 +197,18 @@ def audience_resolution(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("c_custkey").agg(F.min_by("principal", F.coalesce("priority", F.lit(9))).alias("principal"))
 
 
-@query("personal_data_escalation", None)
+_HEADER = "list_transform(string_split(list_filter(string_split(text, chr(10)), lambda x: contains(x, '|'))[1], '|'), lambda h: trim(h))"
+
+
+@query(
+    "personal_data_escalation",
+    rf"""WITH d AS (SELECT doc_id, text, {_HEADER} AS header FROM documents WHERE text IS NOT NULL),
+    h AS (SELECT doc_id, 'ssn' AS kind, concat(substr(x, 1, 3), '-**-****') AS masked FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b\d{{3}}-\d{{2}}-\d{{4}}\b')) AS x FROM d) WHERE NOT regexp_matches(x, '^(000|666|9)|-00-|-0000$')
+      UNION ALL SELECT doc_id, 'bank_account', concat(regexp_replace(x, '\d+$', ''), repeat('*', length(regexp_extract(x, '\d+$')) - 4), right(x, 4)) FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{rules.BANK_NUMBER}')) AS x FROM d)
+      UNION ALL SELECT doc_id, 'birth_date', regexp_replace(x, '\d', '#', 'g') FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{rules.BIRTH_DATE}')) AS x FROM d)
+      UNION ALL SELECT doc_id, 'personal_pay', concat('column "', list_filter(header, lambda c: regexp_matches(c, '{rules.PAY_COLUMN}'))[1], '" next to people') FROM d WHERE len(list_filter(header, lambda c: regexp_matches(c, '{rules.PAY_COLUMN}'))) > 0 AND len(list_filter(header, lambda c: regexp_matches(c, '{rules.PERSON_COLUMN}'))) > 0)
+    SELECT doc_id, list_sort(list_distinct(list(kind))) AS kinds, list_sort(list_distinct(list(masked))) AS masked FROM h GROUP BY doc_id""",
+)
 def personal_data_escalation(spark: SparkSession, sf: str) -> DataFrame:
     """Files with personal data: the kinds found and all findings, masked."""
     return access.personal_data(table(spark, sf, "documents"))
