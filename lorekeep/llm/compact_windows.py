@@ -17,17 +17,23 @@ runs, and one edit in the shortest passage leaves two runs of 41 together. All H
 4. Seeds of a pair of texts that lie near each other on near diagonals form a region; its two
    sides are cut out and verified on full shingle sequences: a passage is a stretch in which shared shingles
    hold the share that the similarity asks for; its sides' distinct shingles must reach that Jaccard.
-5. Where a seed is not in a verified passage, its group is mixed: unrelated texts share the signature. Runs of
-   MIN_SHINGLES shingles that hold a row of a mixed group, and all of whose signatures occur again, meet
-   once more by their digests, where equality is the proof.
+5. Where a seed is not in a verified passage, its group is mixed: unrelated texts share the signature. Every row
+   of a mixed group meets again, by longer keys: its signature with each window minimum (FINE shingles) that
+   stands NEAR to FAR places before or behind it. A fragment that texts share holds such a key only where it spans
+   both, so that texts which share less than a passage fall apart, however many they are. What then meets in no
+   known passage is verified as before. Runs of MIN_SHINGLES shingles that hold a row of a mixed group, and all of
+   whose signatures occur again, meet by their digests too, where equality is the proof: no exact passage is lost.
 6. Verified passages that touch form classes.
 
 So exact passages of MIN_WORDS words lose no link. A near passage is missed only where the signatures of all
 its exact runs are led by texts that share nothing else with it.
 
+A near passage is missed only where every longer key of its common runs is led by a text that holds that key and isn't
+near it: unrelated texts that share 26 to 45 shingles of the passage at one place, whichever part of it is asked.
+
 Defined results: null, empty and short texts (under MIN_WORDS words) have no passages; equal texts of
-MIN_WORDS words and more are passages of each other as a whole; repeats inside one text count, where
-they don't overlap; repeated doc_ids with equal texts collapse; an empty table gives no rows; null doc_ids
+MIN_WORDS words and more are passages of each other as a whole; repeats inside one text count at any distance, where
+they don't overlap; very long texts are read whole, and only the places around seeds are compared; repeated doc_ids with equal texts collapse; an empty table gives no rows; null doc_ids
 are dropped; other columns are ignored.
 """
 
@@ -57,6 +63,10 @@ DENSITIES = np.linspace(SIMILARITY, 2 * SIMILARITY / (1 + SIMILARITY), 4).tolist
 DRIFT = 16
 #: Places that a region reaches beyond its outer seeds; seeds within twice as many are of one region.
 MARGIN = 2 * MIN_SHINGLES
+#: Places of the minima that lengthen a key of a mixed group, and the shingles of which each is the smallest.
+NEAR, FAR, FINE = 16, 48, 10
+#: Places between the cuts that are tried between two seeds of one text.
+CUT_STEP = 8
 #: Rows that a task gathers before it lets them meet.
 LOCAL_ROWS = 400_000
 #: Texts whose copies a task recognises.
@@ -269,8 +279,38 @@ def repeated_runs(n: int, lo: np.ndarray, hi: np.ndarray, mixed: np.ndarray) ->
     return np.flatnonzero((covered(lo, hi) == MIN_SHINGLES - WIDTH + 1) & (covered(lo[mixed], hi[mixed]) > 0))
 
 
-def _digest_rows(docs: DataFrame, heads: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Like _signature_rows, by digests of MIN_SHINGLES shingles of the texts' repeated_runs (ranges: text_key, lo, hi, mixed)."""
+def longer_keys(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
+    """Rows (ROW without text) of one text: the signatures with these runs, each with the minima NEAR to FAR places away.
+
+    Keys are even; a row that occurs twice is sent once.
+    """
+    ends = np.array([0, len(x)])
+    key, _, at, first, last = signatures(x, ends)
+    own = np.isin(first << 32 | last, lo.astype(np.int64) << 32 | hi)
+    key, at, first, last = key[own], at[own], first[own], last[own]
+    h = x * _ODD[HASHES]
+    fine = np.unique(sliding_minima((h ^ h >> np.uint64(32)) * _ODD[0], ends, FINE))
+    out = []
+    for side, (near, far) in enumerate(((NEAR, FAR), (-FAR, -NEAR))):
+        begin, end = np.searchsorted(fine, at + near), np.searchsorted(fine, at + far, "right")
+        sizes = end - begin
+        row = np.repeat(np.arange(len(at)), sizes)
+        place = fine[np.arange(len(row)) + np.repeat(begin - np.cumsum(sizes) + sizes, sizes)]
+        out.append((mix(key[row] * _ODD[-1] + x[place], side + 1) & ~np.uint64(1), row))
+    longer, row = (np.concatenate(c) for c in zip(*out, strict=True))
+    order = np.lexsort((longer, at[row]))
+    longer, row = longer[order], row[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (longer[1:] != longer[:-1]) | (at[row[1:]] != at[row[:-1]])
+    row = row[new]
+    return [longer[new].view(np.int64), at[row], first[row], last[row]]
+
+
+def _refined_rows(docs: DataFrame, heads: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Like _signature_rows, for texts with rows of mixed groups (ranges: text_key, lo, hi, mixed).
+
+    Even keys are the longer ones of the rows of mixed groups, odd ones the digests of the texts' repeated_runs.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         for batch in batches:
@@ -281,9 +321,13 @@ def _digest_rows(docs: DataFrame, heads: DataFrame, ranges: DataFrame) -> DataFr
                     own = spans[lo + k].values
                     first, last, mixed = (own.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi", "mixed"))
                     x = grams[begin[k] : begin[k + 1]]
+                    key, at, run_lo, run_hi = longer_keys(x, first[mixed], last[mixed])
+                    if len(key):
+                        yield [key, np.full(len(key), names[lo + k]), at, run_lo, run_hi]
                     at = repeated_runs(len(x), first, last, mixed)
                     if len(at):
-                        yield [_run_digests(x, MIN_SHINGLES)[at].view(np.int64), np.full(len(at), names[lo + k]), at, at, at]
+                        digests = _run_digests(x, MIN_SHINGLES)[at] | np.uint64(1)
+                        yield [digests.view(np.int64), np.full(len(at), names[lo + k]), at, at, at]
 
     spans = ranges.groupBy("text_key").agg(F.collect_list(F.struct("lo", "hi", "mixed")).alias("spans"), F.max("mixed").alias("any")).where("any").drop("any")
     asked = _asked(docs, heads, spans).select("text_key", "text", "spans")
@@ -320,7 +364,9 @@ def regions(a: np.ndarray, b: np.ndarray, a_at: np.ndarray, shift: np.ndarray, l
     """Interval join of the seeds of pairs of texts: (a, b, a_lo, a_hi, b_lo, b_hi), reaching MARGIN beyond the seeds.
 
     Seeds whose diagonals (shift) follow each other within DRIFT form a bundle; in a bundle, seeds that
-    lie within 2 * MARGIN of each other form a region. lo..hi: the run of a seed in a.
+    lie within 2 * MARGIN of each other form a region. lo..hi: the run of a seed in a. The sides of a region
+    inside one text never overlap: its seeds span less than the diagonal, and where the margins would meet, the text
+    is cut between the seeds, every CUT_STEP places once, as the border of two near repeats isn't known yet.
     """
     order = np.lexsort((shift, b, a))
     a, b, a_at, shift, lo, hi = (x[order] for x in (a, b, a_at, shift, lo, hi))
@@ -331,12 +377,26 @@ def regions(a: np.ndarray, b: np.ndarray, a_at: np.ndarray, shift: np.ndarray, l
     a, b, a_at, shift, lo, hi, bundle = (x[order] for x in (a, b, a_at, shift, lo, hi, bundle))
     fresh = np.ones(len(a), bool)
     fresh[1:] = (bundle[1:] != bundle[:-1]) | (a_at[1:] - a_at[:-1] > 2 * MARGIN)
+    start = np.searchsorted(bundle, bundle)  # the first seed of each one's bundle
+    lap = (a_at - a_at[start]) // np.maximum(shift[start] - WIDTH - DRIFT, 1)
+    fresh[1:] |= (a[1:] == b[1:]) & (lap[1:] != lap[:-1])
     at = np.flatnonzero(fresh)
     if not len(at):
         return tuple(np.zeros(0, np.int64) for _ in range(6))
-    low, high = np.minimum.reduceat(lo, at) - MARGIN, np.maximum.reduceat(hi, at) + WIDTH - 1 + MARGIN
+    seed_lo, seed_hi = np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at) + WIDTH - 1
+    low, high = np.maximum(seed_lo - MARGIN, 0), seed_hi + MARGIN
     least, most = np.minimum.reduceat(shift, at), np.maximum.reduceat(shift, at)
-    return a[at], b[at], np.maximum(low, 0), high, np.maximum(low + least, 0), high + most
+    a, b = a[at], b[at]
+    b_low, b_high = np.maximum(seed_lo - MARGIN + least, 0), high + most
+    close = (a == b) & (high >= b_low)
+    first, last = seed_hi, seed_lo + least - 1  # where the cut may lie
+    middle = (first + last) // 2
+    cuts = np.where(close & (last > first), (last - first) // CUT_STEP + 1, 1)
+    row = np.repeat(np.arange(len(a)), cuts)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    cut = np.where(cuts[row] > 1, first[row] + nth * CUT_STEP + ((last - first) % CUT_STEP)[row] // 2, middle[row])
+    near = close[row]
+    return a[row], b[row], low[row], np.where(near, cut, high[row]), np.where(near, cut + 1, b_low[row]), b_high[row]
 
 
 def _regions(seeds: DataFrame) -> DataFrame:
@@ -487,11 +547,16 @@ def _verified(found: DataFrame, docs: DataFrame, heads: DataFrame) -> DataFrame:
     return sorted_sides.mapInArrow(check, "a long, a_lo long, a_hi long, b long, b_lo long, b_hi long").distinct()
 
 
-def _ranges(seeds: DataFrame, links: DataFrame) -> DataFrame:
-    """(text_key, lo, hi, mixed): the runs of all seeds; mixed where a seed of the group lies in no verified passage of its pair."""
+def _outside(seeds: DataFrame, links: DataFrame) -> DataFrame:
+    """The seeds that lie in no verified passage of their pair."""
     passages = links.select(F.col("a").alias("pa"), F.col("b").alias("pb"), *(F.col(c).alias(f"p{c}") for c in ("a_lo", "a_hi", "b_lo", "b_hi")))
     inside = F.col("a_at").between(F.col("pa_lo"), F.col("pa_hi")) & F.col("b_at").between(F.col("pb_lo"), F.col("pb_hi"))
-    alone = seeds.where(f"a <> b or b_at - a_at >= {MIN_WORDS}").join(passages, (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")) & inside, "left_anti").select("key").distinct()
+    return seeds.where(f"a <> b or b_at - a_at >= {MIN_WORDS}").join(passages, (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")) & inside, "left_anti")
+
+
+def _ranges(seeds: DataFrame, links: DataFrame) -> DataFrame:
+    """(text_key, lo, hi, mixed): the runs of all seeds; mixed where a seed of the group lies in no verified passage of its pair."""
+    alone = _outside(seeds, links).select("key").distinct()
     marked = seeds.join(alone.withColumn("mixed", F.lit(True)), "key", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)))
     sides = marked.select(F.col("a").alias("text_key"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi"), "mixed").union(marked.select("b", "b_lo", "b_hi", "mixed"))
     return sides.groupBy("text_key", "lo", "hi").agg(F.max("mixed").alias("mixed"))
@@ -508,9 +573,14 @@ def _links(docs: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
     copied = staged(copied.join(heads.where("copies > 1").select("text_key"), "text_key"), "copied")
     unstage(rows)
     links = staged(_verified(_regions(seeds), docs, heads), "passages")
-    rows = staged(_digest_rows(docs, heads, _ranges(seeds, links)), "digests")
+    rows = staged(_refined_rows(docs, heads, _ranges(seeds, links)), "refined")
+    unstage(seeds)
+    again = staged(_seeds(rows), "refined-seeds")
+    unstage(rows)
+    longer = _outside(again.where("key & 1 = 0"), links)
+    links = staged(links.union(_verified(_regions(longer), docs, heads)).distinct(), "passages")
     end = lambda c: (F.col(c) + MIN_SHINGLES - 1).cast("long")
-    equal = _seeds(rows).where(f"a <> b or b_at - a_at >= {MIN_WORDS}")
+    equal = again.where(f"key & 1 = 1 and (a <> b or b_at - a_at >= {MIN_WORDS})")
     equal = equal.select("a", F.col("a_at").cast("long").alias("a_lo"), end("a_at").alias("a_hi"), "b", F.col("b_at").cast("long").alias("b_lo"), end("b_at").alias("b_hi"))
     # runs of a pair on one diagonal that follow each other are one
     order = Window.partitionBy("a", "b", F.col("b_lo") - F.col("a_lo")).orderBy("a_lo")
@@ -521,6 +591,7 @@ def _links(docs: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _merged(spans: DataFrame) -> DataFrame:
     """Passages: unions of the verified spans of a text that overlap (text_key, lo, hi)."""
+    spans = spans.groupBy("text_key", "lo").agg(F.max("hi").alias("hi"))  # a row per place, however many links a text has
     order = Window.partitionBy("text_key").orderBy("lo", "hi")
     reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("fresh", F.when(F.col("lo") <= reach, 0).otherwise(1)).withColumn("nr", F.sum("fresh").over(order))

@@ -502,6 +502,53 @@ def test_compact_windows_amid_fragments(spark, fragment):
     assert set(got) == {i for i, _ in places}
 
 
+@pytest.mark.parametrize(("sharers", "middle"), [(0, True), (16, False), (80, True)])
+def test_compact_windows_near_passages_amid_fragments(spark, sharers, middle):
+    """Near passages (91 words, one edit) lose no link, though 34 words of each half stand in unrelated texts as well."""
+    rng = random.Random(sharers)
+    fresh = lambda n: [f"w{rng.getrandbits(48):x}" for _ in range(n)]
+    made, pairs = [], []
+    for _ in range(15):
+        passage = fresh(91)
+        edited = list(passage)
+        edited[45 if middle else rng.randint(5, 85)] = "edit"
+        sides = []
+        for w in (passage, edited):
+            head = fresh(rng.randint(0, 60))
+            sides.append((len(made), len(head)))
+            made.append((len(made), " ".join([*head, *w, *fresh(rng.randint(0, 60))])))
+        pairs.append(sides)
+        for half in (passage[:45], passage[46:]):
+            for at in (rng.randint(0, 11) for _ in range(sharers)):
+                made.append((len(made), " ".join([*fresh(rng.randint(10, 50)), *half[at : at + 34], *fresh(rng.randint(10, 50))])))
+    rng.shuffle(made)
+    got = collections.defaultdict(list)
+    for r in compact_windows.near_duplicate_passages(spark.createDataFrame(made, "doc_id long, text string").repartition(4)).collect():
+        got[r["doc_id"]].append((r["start_word"], r["start_word"] + r["n_words"], r["class_id"]))
+    linked = [{c for a, b, c in got[i] if a <= p + 9 and b >= p + 82} & {c for a, b, c in got[j] if a <= q + 9 and b >= q + 82} for (i, p), (j, q) in pairs]
+    assert all(linked) and set(got) == {i for sides in pairs for i, _ in sides}
+
+
+def test_compact_windows_near_repeats_inside_one_text(spark):
+    """A near repeat in the same text is found at any distance from its first."""
+    rng = random.Random(5)
+    fresh = lambda n: [f"w{rng.getrandbits(48):x}" for _ in range(n)]
+    made, where = [], {}
+    for n in (55, 80, 130):
+        for gap in (3, 10, 30, 60, 85, 120):
+            for _ in range(3):
+                passage = fresh(n)
+                edited = list(passage)
+                edited[rng.randint(5, n - 5)] = "edit"
+                head = fresh(rng.randint(0, 100))
+                where[len(made)] = (n, len(head), len(head) + n + gap)
+                made.append((len(made), " ".join([*head, *passage, *fresh(gap), *edited, *fresh(rng.randint(0, 100))])))
+    got = collections.defaultdict(list)
+    for r in compact_windows.near_duplicate_passages(spark.createDataFrame(made, "doc_id long, text string")).collect():
+        got[r["doc_id"]].append((r["start_word"], r["start_word"] + r["n_words"]))
+    assert all(max(min(b, at + n) - max(a, at) for a, b in got[i]) >= 0.8 * n for i, (n, *places) in where.items() for at in places)
+
+
 def test_compact_windows_odd_rows(spark):
     """Copies, repeated rows and ids, repeats inside a text, a very long text, a hot passage, columns of the operator's own names."""
     rng = random.Random(14)
