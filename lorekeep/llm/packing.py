@@ -3,14 +3,13 @@
 A task gathers encoded documents until they fill GROUP_WINDOWS windows, then packs that group and
 moves on: no shuffle, bounded memory, and the same result when a lost task runs again. Full windows
 are cut from long documents; the rests become partial partitions, each a tuple of k loads of which
-one is not zero. The two partitions with the largest spread are merged again and again, the heaviest
+one is not zero: a rest of more than an eighth of a window in parts, very short rests a few
+together. The two partitions with the largest spread are merged again and again, the heaviest
 window of one with the lightest of the other, until one partition is left. Whenever its heaviest window
-exceeds the capacity, the window count rises and the rests are parted anew. Only in small groups, as at a
-task's end, where another window would be mere padding (a share of more than PADDING), the overhang of
-heavy windows is cut off and put into light ones instead.
+exceeds the capacity, the window count rises, and the rests are parted anew, from the second time on half as large.
 
 Defined results: a null or empty text is one end id; a very long text fills windows of its own, and only its
-rest is parted; repeated doc_ids are packed row by row; an empty table gives no pieces; other columns are ignored.
+rest is parted; equal rests are taken in the order of their rows; repeated doc_ids are packed row by row; an empty table gives no pieces; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +29,9 @@ from lorekeep.llm.tokens import encoder
 
 CAPACITY = 4096
 GROUP_WINDOWS = 320
-#: Share of padding that a further window may cause before overhangs are cut instead.
-PADDING = 0.01
+#: Parts of a window: the longest and the shortest that rests are cut into, and how much longer than what is gathered they are.
+LONGEST_PART, SHORTEST_PART, GATHERED_PART = 8, 64, 4
+STRIDE = 79
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -69,48 +69,58 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return [flat(w) for w in heap[0][3]] if heap else []
 
 
+def parts_of(rests: list[tuple[int, int, int]], size: int) -> list[list[tuple[int, int, int]]]:
+    """Rests (document, start, length) in parts of at most `size`; shorter ones than a quarter of it are gathered in turn.
+
+    Parts are of many lengths, from half of `size` on, so that rests of one length still fill windows evenly.
+    """
+    out, held, n = [], [], 0
+    least = max(1, size // GATHERED_PART)
+    for d, s, length in rests:
+        if length < least:
+            held.append((d, s, length))
+            n += length
+            if n >= least:
+                out.append(held)
+                held, n = [], 0
+            continue
+        end = s + length
+        while end - s > size:
+            cut = size - len(out) * STRIDE % (size // 2 + 1)
+            out.append([(d, s, cut)])
+            s += cut
+        out.append([(d, s, end - s)])
+    return out + ([held] if held else [])
+
+
+def joined(pieces: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """A window's pieces; those that follow each other in a document are one."""
+    out: list[tuple[int, int, int]] = []
+    for d, s, n in sorted(pieces):
+        if out and out[-1][0] == d and out[-1][1] + out[-1][2] == s:
+            out[-1] = (d, out[-1][1], out[-1][2] + n)
+        else:
+            out.append((d, s, n))
+    return out
+
+
 def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[tuple[int, int, int]]]:
     """Windows of (document, start, length) pieces that cover documents of these lengths."""
     windows = [[(d, s, capacity)] for d, n in enumerate(lengths) for s in range(0, n - capacity + 1, capacity)]
     rests = [(d, n - n % capacity, n % capacity) for d, n in enumerate(lengths) if n % capacity]
     if not rests:
         return windows
-    sizes = [r[2] for r in rests]
-    total = sum(sizes)
-    k = -(-total // capacity)
+    least = -(-sum(r[2] for r in rests) // capacity)
+    k, size = least, max(1, capacity // LONGEST_PART)
     while True:
-        split = [[rests[i] for i in w] for w in differencing(sizes, k)]
-        heaviest = max(sum(p[2] for p in w) for w in split)
-        if heaviest <= capacity:
-            return windows + [w for w in split if w]
-        if (k + 1) * capacity - total > PADDING * total:
-            break
+        parts = parts_of(rests, size)
+        split = differencing([sum(p[2] for p in part) for part in parts], k)
+        filled = [joined([p for i in w for p in parts[i]]) for w in split]
+        if max(sum(p[2] for p in w) for w in filled) <= capacity:
+            return windows + [w for w in filled if w]
         k += 1
-    tails, room = [], []
-    for w in split:
-        over = sum(p[2] for p in w) - capacity
-        while over > 0:  # whole pieces or their ends come off
-            d, s, n = w.pop()
-            cut = min(n, over)
-            if n > cut:
-                w.append((d, s, n - cut))
-            tails.append((d, s + n - cut, cut))
-            over -= cut
-        if over < 0:
-            room.append([-over, w])
-    room.sort(key=lambda r: -r[0])
-    for d, s, n in sorted(tails, key=lambda t: -t[2]):
-        while n:
-            free, w = room[0]
-            take = min(free, n)
-            w.append((d, s, take))
-            s, n = s + take, n - take
-            if free > take:
-                room[0][0] = free - take
-                room.sort(key=lambda r: -r[0])
-            else:
-                room.pop(0)
-    return windows + [w for w in split if w]
+        if k > least + 1:
+            size = max(1, capacity // SHORTEST_PART, size // 2)
 
 
 def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:

@@ -234,17 +234,58 @@ def test_differencing_is_near_equal():
     assert len(windows) * packing.CAPACITY < used * 1.02 + packing.CAPACITY
 
 
-def test_window_count_rises(monkeypatch):
-    """A full group whose heaviest window is over the capacity is parted anew into more windows, and no document is cut for it."""
+@pytest.mark.parametrize(
+    ("name", "draw"),
+    [
+        ("texts", lambda: int(RNG.lognormvariate(6.1, 1.2)) + 1),
+        ("short", lambda: RNG.randint(1, 900)),
+        ("tiny", lambda: RNG.randint(1, 60)),
+        ("long", lambda: RNG.randint(3000, 9000)),
+        ("equal", lambda: 2049),
+        ("exact", lambda: 4096),
+        ("mostly one", lambda: 1 if RNG.random() < 0.9 else 4095),
+    ],
+)
+def test_differencing_decides_every_group(monkeypatch, name, draw):
+    """Whatever the lengths, a full group's windows are those of the last differencing, with under 1 % of padding; the count rises by one at a time."""
     seen, lengths = [], []
     part = packing.differencing
-    monkeypatch.setattr(packing, "differencing", lambda sizes, k: seen.append(k) or part(sizes, k))
+    monkeypatch.setattr(packing, "differencing", lambda sizes, k: seen.append((k, part(sizes, k), sizes)) or seen[-1][1])
     while sum(lengths) < packing.GROUP_WINDOWS * packing.CAPACITY:
-        lengths.append(RNG.randint(1, 900))
+        lengths.append(draw())
     windows = packing.pack(lengths)
-    assert len(seen) > 1 and seen == list(range(seen[0], seen[0] + len(seen)))
-    assert sorted(p for w in windows for p in w) == [(d, 0, n) for d, n in enumerate(lengths)]
-    assert max(sum(n for _, _, n in w) for w in windows) <= packing.CAPACITY and len(windows) * packing.CAPACITY < sum(lengths) * 1.015
+    loads = [sum(n for _, _, n in w) for w in windows]
+    assert max(loads) <= packing.CAPACITY and len(windows) * packing.CAPACITY < sum(lengths) * 1.01 + packing.CAPACITY
+    if seen:
+        counts = [k for k, _, _ in seen]
+        assert counts == list(range(counts[0], counts[0] + len(counts))) and counts[0] == -(-sum(n % packing.CAPACITY for n in lengths) // packing.CAPACITY)
+        _, split, sizes = seen[-1]
+        assert sorted(sum(sizes[i] for i in w) for w in split if w) == sorted(loads)[: sum(map(bool, split))]
+    pieces = sorted(p for w in windows for p in w)
+    ends = collections.defaultdict(int)
+    for d, s, n in pieces:
+        assert s == ends[d] and n > 0
+        ends[d] += n
+    assert [ends[d] for d in range(len(lengths))] == lengths
+
+
+def test_window_count_rises(monkeypatch):
+    """Capacity is exceeded: the count rises and the parts are halved."""
+    seen = []
+    part = packing.differencing
+    monkeypatch.setattr(packing, "differencing", lambda sizes, k: seen.append((k, max(sizes))) or part(sizes, k))
+    windows = packing.pack([2049] * 64)
+    assert len(seen) > 1 and all(b[0] == a[0] + 1 and b[1] <= a[1] for a, b in zip(seen, seen[1:], strict=False))
+    assert max(sum(n for _, _, n in w) for w in windows) <= packing.CAPACITY
+
+
+def test_packing_odd_rows(spark):
+    """Ties, repeated ids, a null id and columns of the operator's own names."""
+    rows = [(1, "same words here", 5, 6)] * 40 + [(1, "other", 5, 6), (None, "no id", 5, 6), (2, None, 5, 6), (2, "", 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, start int, length int").selectExpr("*", "1 AS offset", "2 AS sequence_id").repartition(2)
+    got = packing.pack_documents(df, P.path("word_bpe_49k.json")).collect()
+    assert sum(r["start"] == 0 for r in got) == len(rows) and sum(r["length"] for r in got) == sum(r["doc_tokens"] for r in got if r["start"] == 0)
+    assert collections.Counter(r["doc_id"] for r in got)[None] == 1 and sum(r["doc_tokens"] == 1 for r in got) == 2
 
 
 def test_token_files(docs, rows, empty):
