@@ -270,12 +270,12 @@ def test_differencing_decides_every_group(monkeypatch, name, draw):
 
 
 def test_window_count_rises(monkeypatch):
-    """Capacity is exceeded: the count rises and the parts are halved."""
+    """Capacity is exceeded: the count rises by one, and from the second time on the parts are halved."""
     seen = []
     part = packing.differencing
     monkeypatch.setattr(packing, "differencing", lambda sizes, k: seen.append((k, max(sizes))) or part(sizes, k))
-    windows = packing.pack([2049] * 64)
-    assert len(seen) > 1 and all(b[0] == a[0] + 1 and b[1] <= a[1] for a, b in zip(seen, seen[1:], strict=False))
+    windows = packing.pack([4095, 1] * 200 + [2730] * 3 + [2])  # total just below a multiple of the capacity
+    assert len(seen) > 2 and all(b[0] == a[0] + 1 and b[1] <= a[1] for a, b in zip(seen, seen[1:], strict=False)) and seen[-1][1] < seen[0][1]
     assert max(sum(n for _, _, n in w) for w in windows) <= packing.CAPACITY
 
 
