@@ -64,7 +64,7 @@ DRIFT = 16
 #: Places that a region reaches beyond its outer seeds; seeds within twice as many are of one region.
 MARGIN = 2 * MIN_SHINGLES
 #: Places of the minima that lengthen a key of a mixed group, and the shingles of which each is the smallest.
-NEAR, FAR, FINE = 16, 48, 10
+NEAR, FAR, FINE = 16, 48, 16
 #: Places between the cuts that are tried between two seeds of one text.
 CUT_STEP = 8
 #: Rows that a task gathers before it lets them meet.
@@ -364,9 +364,9 @@ def regions(a: np.ndarray, b: np.ndarray, a_at: np.ndarray, shift: np.ndarray, l
     """Interval join of the seeds of pairs of texts: (a, b, a_lo, a_hi, b_lo, b_hi), reaching MARGIN beyond the seeds.
 
     Seeds whose diagonals (shift) follow each other within DRIFT form a bundle; in a bundle, seeds that
-    lie within 2 * MARGIN of each other form a region. lo..hi: the run of a seed in a. The sides of a region
-    inside one text never overlap: its seeds span less than the diagonal, and where the margins would meet, the text
-    is cut between the seeds, every CUT_STEP places once, as the border of two near repeats isn't known yet.
+    lie within 2 * MARGIN of each other form a region. lo..hi: the run of a seed in a. Inside one text the seeds of a
+    region span about the diagonal at most, and where its margins would meet, the sides end and begin between the
+    seeds: they overlap there, as the border of two near repeats isn't known yet, and verify_apart finds it.
     """
     order = np.lexsort((shift, b, a))
     a, b, a_at, shift, lo, hi = (x[order] for x in (a, b, a_at, shift, lo, hi))
@@ -378,7 +378,7 @@ def regions(a: np.ndarray, b: np.ndarray, a_at: np.ndarray, shift: np.ndarray, l
     fresh = np.ones(len(a), bool)
     fresh[1:] = (bundle[1:] != bundle[:-1]) | (a_at[1:] - a_at[:-1] > 2 * MARGIN)
     start = np.searchsorted(bundle, bundle)  # the first seed of each one's bundle
-    lap = (a_at - a_at[start]) // np.maximum(shift[start] - WIDTH - DRIFT, 1)
+    lap = (a_at - a_at[start]) // np.maximum(shift[start] - WIDTH - DRIFT, MIN_SHINGLES)
     fresh[1:] |= (a[1:] == b[1:]) & (lap[1:] != lap[:-1])
     at = np.flatnonzero(fresh)
     if not len(at):
@@ -389,14 +389,10 @@ def regions(a: np.ndarray, b: np.ndarray, a_at: np.ndarray, shift: np.ndarray, l
     a, b = a[at], b[at]
     b_low, b_high = np.maximum(seed_lo - MARGIN + least, 0), high + most
     close = (a == b) & (high >= b_low)
-    first, last = seed_hi, seed_lo + least - 1  # where the cut may lie
+    first, last = seed_hi, seed_lo + least - 1  # where the border may lie
     middle = (first + last) // 2
-    cuts = np.where(close & (last > first), (last - first) // CUT_STEP + 1, 1)
-    row = np.repeat(np.arange(len(a)), cuts)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-    cut = np.where(cuts[row] > 1, first[row] + nth * CUT_STEP + ((last - first) % CUT_STEP)[row] // 2, middle[row])
-    near = close[row]
-    return a[row], b[row], low[row], np.where(near, cut, high[row]), np.where(near, cut + 1, b_low[row]), b_high[row]
+    first, last = np.minimum(first, middle), np.maximum(last, middle)
+    return a, b, low, np.where(close, last, high), np.where(close, first + 1, b_low), b_high
 
 
 def _regions(seeds: DataFrame) -> DataFrame:
@@ -490,6 +486,27 @@ def verify(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int]]:
     return found
 
 
+def verify_apart(x: np.ndarray, y: np.ndarray, ahead: int) -> list[tuple[int, int, int, int]]:
+    """verify() for two sides of one text that overlap: y begins `ahead` places behind x's begin, and the text is cut between.
+
+    The middle of the overlap is tried first; while a passage ends at the cut, the cut moves on to where it may reach further.
+    """
+    out: list[tuple[int, int, int, int]] = []
+    cut = (ahead + len(x)) // 2
+    up, down = list(range(cut + CUT_STEP, len(x) + 1, CUT_STEP)), list(range(cut - CUT_STEP, ahead - 1, -CUT_STEP))
+    while True:
+        found = verify(x[:cut], y[cut - ahead :])
+        out += [(p, q, r + cut - ahead, s + cut - ahead) for p, q, r, s in found]
+        if found:
+            left, right = any(q == cut - 1 for _, q, _, _ in found), any(r == 0 for _, _, r, _ in found)
+            if left == right:
+                return out
+            up, down = (up, []) if left else ([], down)
+        if not up and not down:
+            return out
+        cut = up.pop(0) if up else down.pop(0)
+
+
 def _verified(found: DataFrame, docs: DataFrame, heads: DataFrame) -> DataFrame:
     """Verified passage pairs (a, a_lo, a_hi, b, b_lo, b_hi) in shingle places."""
     numbered = staged(found.withColumn("pair", F.xxhash64("a", "b", "a_lo", "b_lo", "a_hi", "b_hi")), "regions")
@@ -538,7 +555,8 @@ def _verified(found: DataFrame, docs: DataFrame, heads: DataFrame) -> DataFrame:
                         one = (pair, b, j, y) if one is None or one[0] != pair else one
                     elif one is not None and one[0] == pair and done != pair:
                         done, (_, a, i, x) = pair, one
-                        for p, q, r, s in verify(x, y):
+                        close = a == b and i + len(x) > j
+                        for p, q, r, s in verify_apart(x, y, j - i) if close else verify(x, y):
                             if a != b or i + q < j + r or j + s < i + p:  # inside one text, apart from each other
                                 out.append((a, i + p, i + q, b, j + r, j + s))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(6)], names=["a", "a_lo", "a_hi", "b", "b_lo", "b_hi"])
@@ -548,10 +566,15 @@ def _verified(found: DataFrame, docs: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def _outside(seeds: DataFrame, links: DataFrame) -> DataFrame:
-    """The seeds that lie in no verified passage of their pair."""
+    """The seeds that lie in no verified passage of their pair; inside one text, those with a side in no passage of the text with itself."""
     passages = links.select(F.col("a").alias("pa"), F.col("b").alias("pb"), *(F.col(c).alias(f"p{c}") for c in ("a_lo", "a_hi", "b_lo", "b_hi")))
     inside = F.col("a_at").between(F.col("pa_lo"), F.col("pa_hi")) & F.col("b_at").between(F.col("pb_lo"), F.col("pb_hi"))
-    return seeds.where(f"a <> b or b_at - a_at >= {MIN_WORDS}").join(passages, (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")) & inside, "left_anti")
+    two = seeds.where("a <> b").join(passages.where("pa <> pb"), (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")) & inside, "left_anti")
+    own = links.where("a = b")
+    spans = _merged(own.select(F.col("a").alias("text_key"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi")).union(own.select("a", "b_lo", "b_hi")))
+    held = lambda rows, at: rows.join(spans, (F.col("a") == F.col("text_key")) & F.col(at).between(F.col("lo"), F.col("hi")), "left").withColumn(f"{at}_in", F.col("lo").isNotNull()).drop(*spans.columns)
+    one = held(held(seeds.where(f"a = b and b_at - a_at >= {MIN_WORDS}"), "a_at"), "b_at").where("not (a_at_in and b_at_in)")
+    return two.unionByName(one.drop("a_at_in", "b_at_in"))
 
 
 def _ranges(seeds: DataFrame, links: DataFrame) -> DataFrame:
