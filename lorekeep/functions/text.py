@@ -73,10 +73,11 @@ def contains_name(a: Column, b: Column) -> Column:
 
 
 def in_order(short: Column, long: Column) -> Column:
-    """Whether the letters of short occur in long in that order."""
-    letters = F.filter(F.split(F.regexp_replace(F.lower(short), "[^a-z0-9]", ""), ""), lambda x: x != "")
-    pattern = F.concat(F.lit(".*"), F.array_join(letters, ".*"), F.lit(".*"))
-    return F.regexp_like(F.regexp_replace(F.lower(long), "[^a-z0-9]", ""), pattern)
+    """Whether the letters and digits of short occur in long in that order: one pass over long, with the place reached in short."""
+    plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    asked = plain(short)
+    reached = F.aggregate(F.split(plain(long), ""), F.lit(1), lambda at, letter: at + (asked.substr(at, F.lit(1)) == letter).cast("int"))
+    return reached > F.length(asked)
 
 
 def says_value(value: Column, text: Column) -> Column:

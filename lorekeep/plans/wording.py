@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorekeep import rules
 from lorekeep.functions import text
+from lorekeep.operators.load import name_fits
 from lorekeep.plans.registry import query, table
 
 
@@ -16,14 +17,6 @@ def alias_keys(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.squeeze(F.lower("text")).alias("alias"))
 
 
-def name_fits(a: Column, b: Column, person: bool = False) -> Column:
-    """Could two normal names be of one thing? The same first word, or one's letters in order in the other; people by surname and first initial."""
-    first = lambda c: F.split_part(c, F.lit(" "), F.lit(1))
-    last = lambda c: F.split_part(c, F.lit(" "), F.lit(-1))
-    fits = ((F.length(first(a)) >= 2) & (first(a) == first(b))) | text.in_order(a, b) | text.in_order(b, a)
-    return fits | (a.contains(" ") & (last(a) == last(b)) & (F.substring(a, 1, 1) == F.substring(b, 1, 1))) if person else fits
-
-
 _NAMES = "SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT concat(substr(p_name, 1, 1), ' ', split_part(p_name, ' ', 2)) FROM part UNION SELECT DISTINCT concat(substr(p_name, 1, 1), substr(split_part(p_name, ' ', 2), 1, 1)) FROM part"
 
 

@@ -10,6 +10,7 @@ PLACEHOLDER = r"(?i)^\(?(unassigned|n/?a|none|null|nil|-+|tbd|unknown|no owner|n
 CODE_LIST = r"^[A-Z]{1,6}-?\d+[A-Z]?(\s*,\s*[A-Z]{1,6}-?\d+[A-Z]?)+$"
 LEGAL_SUFFIXES = ["the", "inc", "llc", "l l c", "co", "corp", "corporation", "company", "ltd", "limited", "lp", "llp", "pllc"]
 REPORT_ROW = r"(?i)^(total|grand total|sub ?total|totals|exported\b.*|report (run|generated)\b.*|page \d+( of \d+)?)$"
+STRONG_ID_COLUMNS = [(r"^(serial( ?#| no\.?| number)?|s\/n)$", "Serial"), (r"^vin( \(last 6\)|6)?$", "VIN")]
 OFFICIAL_PATH = "(?i)(polic|sop|contract|agreement|handbook|pric|rate|terms|memo|procedure|plan|summary|addendum|exhibit|notice|letter)"
 SENSITIVE_COLUMN = r"(?i)(rate|pay|salary|wage|bonus|comp(ensation)?|ssn|social|tax|dob|birth|bank|routing|account ?(no|number|#)|iban|garnish|deduction|401k|benefit)"
 AUTHORITY = {"system_of_record": 4, "document": 3, "official_document": 3, "email": 2, "interview": 1, "video": 1, "photo": 1}
