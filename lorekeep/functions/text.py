@@ -28,13 +28,13 @@ def normalize_phrase(c: Column) -> Column:
 def normalize_subject(c: Column) -> Column:
     """A mail subject without reply, forward and list prefixes."""
     s = F.trim(F.lower(F.coalesce(c, F.lit(""))))
-    return squeeze(F.regexp_replace(s, r"^((\s*(re|fw|fwd|aw|wg|sv|tr)\s*(\[\d+\])?\s*:\s*)|(\s*\[[^\]]{1,20}\]\s*))+", ""))
+    return squeeze(F.regexp_replace(s, rules.SUBJECT_PREFIX, ""))
 
 
 def split_multi(header: Column, cell: Column) -> Column:
     """The values of a cell that may hold several; placeholders are dropped."""
     several = cell.rlike("[;|]") | header.rlike(r"(?i)\(s\)") | F.trim(cell).rlike(rules.CODE_LIST)
-    parts = F.when(several, F.split(cell, r"\s*[;|]\s*|\s*,\s*")).when(F.trim(cell).rlike("^[A-Z]{1,4}(/[A-Z]{1,4})+$"), F.split(cell, "/")).otherwise(F.array(cell))
+    parts = F.when(several, F.split(cell, r"\s*[;|]\s*|\s*,\s*")).when(F.trim(cell).rlike(rules.INITIALS_LIST), F.split(cell, "/")).otherwise(F.array(cell))
     return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(rules.PLACEHOLDER))
 
 
@@ -136,18 +136,8 @@ def url_identity(url: Column) -> Column:
 
 def family_key(path: Column) -> Column:
     """A file name without dates, years and version markers: equal for the versions of one document."""
-    months = "|".join(rules.MONTHS)
-    s = F.lower(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?i)\.[a-z0-9]{2,4}$", ""))
-    for pattern in (
-        r"\(\s*\d+\s*\)",
-        r"\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b",
-        r"\b\d{4}[./-]\d{1,2}[./-]\d{1,2}\b",
-        rf"\b({months})[a-z]*\.?\s+(\d{{1,2}},?\s+)?\d{{4}}\b",
-        r"\b(19|20)\d{2}\b",
-        rules.FAMILY_MARKERS,
-        "[^a-z0-9]+",
-        r"\b(and|the|of|for)\b",
-    ):
+    s = F.lower(F.regexp_replace(F.element_at(F.split(path, "/"), -1), rules.FILE_ENDING, ""))
+    for pattern in rules.FAMILY_NOISE:
         s = F.regexp_replace(s, pattern, " ")
     return squeeze(F.regexp_replace(s, r"\borg\b", "organization"))
 

@@ -22,9 +22,40 @@ AUTHORITY_BY_KIND = [
 ]
 FAMILY_MARKERS = r"\b(final|use this|signed|scan(ned)?|executed|copy|my copy|draft|latest|new|updated|old|rev\s*[a-z0-9]+|v\s?\d+(\.\d+)?|r\d+)\b"
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+FILE_ENDING = r"(?i)\.[a-z0-9]{2,4}$"
+FAMILY_NOISE = [
+    r"\(\s*\d+\s*\)",
+    r"\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b",
+    r"\b\d{4}[./-]\d{1,2}[./-]\d{1,2}\b",
+    rf"\b({'|'.join(MONTHS)})[a-z]*\.?\s+(\d{{1,2}},?\s+)?\d{{4}}\b",
+    r"\b(19|20)\d{2}\b",
+    FAMILY_MARKERS,
+    "[^a-z0-9]+",
+    r"\b(and|the|of|for)\b",
+]
 CURRENT_WORDS = r"\b(current(ly)?|now|today|these days|still|latest|in force|right now|at the moment|nowadays|any more|anymore)\b"
 CHANGE_WORDS = r"\b(changed?|changes|over (the )?(time|years)|history|histor(ical|y)|evolv\w*|went (up|down)|go up|gone up|raised|increase[ds]?|decrease[ds]?|when did|since when|how long|timeline|used to|before and after|previous(ly)?|originally)\b"
 PAST_VERBS = r"\b(was|were|did|had|used to|back then|at the time)\b"
+# Words and patterns of time in questions.
+TIME_WORDS = {"before": r"\b(before|prior to|until|up to)\b", "after": r"\b(after|since|from)\b", "current": CURRENT_WORDS, "change": CHANGE_WORDS, "past": PAST_VERBS}
+TIME_PATTERNS = {
+    "day": r"\b((?:19|20)\d{2}-\d{2}-\d{2})\b",
+    "month": r"\b(january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec)\.?\s+(?:of\s+)?((?:19|20)\d{2})\b",
+    "year": r"\b(in|during|back in|as of|for|before|by|after|since|around|until)?\s*((?:19|20)\d{2})\b",
+    "iso_month": r"\b\d{4}-\d",
+    "last_year": r"\blast year\b",
+    "this_year": r"\bthis year\b",
+    "last_month": r"\blast month\b",
+    "years_ago": r"\b(\d{1,2}|a|one|two|three|five|ten)\s+years?\s+ago\b",
+    "event": r"\b(before|prior to|after|since|until)\s+(?:the\s+|we\s+|they\s+|he\s+|she\s+)?(?!(that|this|then|now|today|it|them|him|her)\b)[a-z][a-z0-9 '&.-]{2,40}?(?=\s*(?:\?|,|\.|$|\band\b|\bor\b|\bwhat\b|\bwho\b))",
+    "event_side": r"\b(before|prior to|after|since|until)\s+[a-z]",
+}
+SIDE_OF_YEAR = {"before": "before", "until": "before", "after": "after", "since": "after"}
+COUNT_WORDS = {"a": 1, "one": 1, "two": 2, "three": 3, "five": 5, "ten": 10}
+# Prefixes of mail subjects, lists of initials, and what a file's name says of its version.
+SUBJECT_PREFIX = r"^((\s*(re|fw|fwd|aw|wg|sv|tr)\s*(\[\d+\])?\s*:\s*)|(\s*\[[^\]]{1,20}\]\s*))+"
+INITIALS_LIST = "^[A-Z]{1,4}(/[A-Z]{1,4})+$"
+# What counts as personal data.
 BANK_NUMBER = r"(?i)\b(routing|aba|account)\s*(number|no\.?|#)?\s*[:#]?\s*\d{6,17}\b"
 SSN = r"\b(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}\b"
 PERSON_COLUMN = r"(?i)(employee|name|first|last|worker|staff|tech(nician)?)"
