@@ -139,3 +139,14 @@ RULE_WORDS = r"(?i)(must|required|never|no .* without|two-person|before|always)"
 PROCEDURE_LIMITS = {"rules": 12, "practice": 10, "exceptions": 6, "outdated": 8}
 TRAINING_SECTIONS = {"safety": (["policy"], 8), "work": (["practice", "policy"], 10), "quirks": (["practice", "policy", "exception"], 8), "people": (["key_person"], 8)}
 FACT_STOP_WORDS = "the and for with from that this are was not has have its per all any into now since valid status accepted current".split()
+# Types that are not looked for in texts, everyday words, short codes, and kinds of aliases that are set phrases.
+UNLINKED_TYPES = ["GL Account", "Fixed Asset", "Vehicle", "Labor Rate"]
+EVERYDAY_WORDS = (
+    "the and for with from that this have will your about office shop service parts sales team board cage plan rate terms notes note main north south east west hot job jobs pump pumps "
+    "company customer customers site sites contract policy safety billing dispatch on-call oncall call calls price pricing quote quotes invoice invoices payment payments vendor vendors new old"
+).split()
+CODE_PHRASE = r"^[a-z]{1,6} ?\d+[a-z]?$"
+SET_PHRASE_KINDS = ["jargon", "nickname", "abbreviation", "former_name"]
+LEGAL_TAIL = r"(?i)\b(llc|inc|co|corp|ltd|company)\.?$"
+PEOPLE_TYPES, ORGANISATION_TYPES = ["Person", "Customer Contact"], ["Customer", "Vendor", "Site"]
+LONGEST_PHRASE = 8
