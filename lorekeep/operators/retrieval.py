@@ -9,31 +9,86 @@ from lorekeep import rules
 from lorekeep.functions import text
 
 
-def postings(documents: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """(key, term, tf, length): one row per term of a document."""
+def postings(documents: DataFrame, key: str, terms: DataFrame, column: str = "text") -> DataFrame:
+    """(key, term, length, tf): one row per term of a document that is asked for (term); other words go before anything is shuffled where terms are few."""
     t = documents.select(key, text.words(F.col(column)).alias("w")).withColumn("length", F.size("w"))
-    return t.select(key, "length", F.explode("w").alias("term")).groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
+    found = t.select(key, "length", F.explode("w").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    return found.groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
 
 
-def bm25(documents: DataFrame, questions: DataFrame, key: str, column: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, key, score) of documents that hold a question's term; questions: query_id, term.
+def term_scores(documents: DataFrame, asked: DataFrame, key: str, column: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """asked (term, any columns) beside (key, score): what each term of each document that holds it scores by BM25.
 
-    Corpus figures come from word counts alone, one row; only terms that are asked for become postings.
-    Documents without words have no part in the figures.
+    Corpus figures come from word counts alone, one row; documents without words have no part in them.
     """
     counted = documents.select(F.size(text.words(F.col(column))).alias("length")).where("length > 0")
     sizes = counted.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
-    asked = questions.select("query_id", "term").distinct()
-    terms = asked.select("term").distinct()
-    split = documents.select(key, text.words(F.col(column)).alias("w")).withColumn("length", F.size("w"))
-    found = split.select(key, "length", F.explode("w").alias("term")).join(terms, "term", "left_semi")
-    posted = found.groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
-    hit = posted.join(asked, "term")
+    posted = postings(documents, key, asked, column)
     df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hit.join(df, "term").crossJoin(F.broadcast(sizes))
+    scored = posted.join(df, "term").crossJoin(F.broadcast(sizes))  # one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    return scored.groupBy("query_id", key).agg(F.round(F.sum(weight), 6).alias("score"))
+    return asked.join(scored.select("term", key, weight.alias("score")), "term")
+
+
+def bm25(documents: DataFrame, questions: DataFrame, key: str, column: str = "text") -> DataFrame:
+    """(query_id, key, score) of documents that hold a question's term; questions: query_id, term."""
+    hits = term_scores(documents, questions.select("query_id", "term").distinct(), key, column)
+    return hits.groupBy("query_id", key).agg(F.round(F.sum("score"), 6).alias("score"))
+
+
+def _shortened(word: Column, most: Column) -> Column:
+    """The word, and what is left of it when up to `most` (0 to 2) letters behind the first one go."""
+    one = lambda w: F.when(F.length(w) > 1, F.transform(F.sequence(F.lit(2), F.length(w)), lambda i: F.concat(F.substring(w, 1, i - 1), F.substring(w, i + 1, F.length(w))))).otherwise(F.array().cast("array<string>"))
+    once = one(word)
+    twice = F.flatten(F.transform(once, one))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.array(word), F.when(most >= 1, once).otherwise(none), F.when(most >= 2, twice).otherwise(none)))
+
+
+def edits_allowed(word: Column) -> Column:
+    """Two letters stand as they are, up to five take one edit, longer words two."""
+    return F.when(F.length(word) < 3, 0).when(F.length(word) < 6, 1).otherwise(2)
+
+
+def near_terms(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(term, near, weight): vocabulary words within a term's edits that begin alike; a word of its own weighs 1, others less by their edits.
+
+    Both sides are shortened by up to two letters and meet where something equal is left, so that no term meets every word.
+    """
+    left = asked.select("term").distinct().select("term", F.explode(_shortened(F.col("term"), edits_allowed(F.col("term")))).alias("rest"))
+    reach = F.when(F.length("near") < 2, 0).when(F.length("near") < 4, 1).otherwise(2)
+    right = vocabulary.select(F.col("term").alias("near")).distinct().select("near", F.explode(_shortened(F.col("near"), reach)).alias("rest"))
+    met = left.join(right, "rest").select("term", "near").distinct().withColumn("edits", F.levenshtein("term", "near"))
+    fits = (F.col("edits") <= edits_allowed(F.col("term"))) & (F.substring("term", 1, 1) == F.substring("near", 1, 1))
+    return met.where(fits).select("term", "near", (1 - F.col("edits") / F.least(F.length("term"), F.length("near"))).alias("weight"))
+
+
+def best_fields(scores: dict[str, DataFrame], key: str, boosts: dict[str, float], tie: float) -> DataFrame:
+    """(query_id, key, score): of each field's score (query_id, key, score) times its boost the best, and `tie` of the others."""
+    rows = None
+    for field, df in scores.items():
+        part = df.select("query_id", key, (F.col("score") * boosts[field]).alias("score"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy("query_id", key).agg((F.max("score") + tie * (F.sum("score") - F.max("score"))).alias("score"))
+
+
+def field_search(documents: DataFrame, questions: DataFrame, key: str, boosts: dict[str, float], fuzzy_fields: list[str], tie: float = 0.3, fuzzy: float = 0.3) -> DataFrame:
+    """(query_id, key, score) over several fields: the best field's BM25 and a share of the others, and a share of the best fuzzy field.
+
+    In the fuzzy leg each asked term counts by the best of its near terms that a field holds.
+    """
+    asked = questions.select("query_id", "term").distinct()
+    total = lambda hits: hits.groupBy("query_id", key).agg(F.sum("score").alias("score"))
+    exact = best_fields({f: total(term_scores(documents, asked, key, f)) for f in boosts}, key, boosts, tie)
+    legs = {}
+    for f in fuzzy_fields:
+        words = documents.select(F.explode(F.array_distinct(text.words(F.col(f)))).alias("term")).distinct()
+        near = asked.withColumnRenamed("term", "asked").join(near_terms(asked, words).withColumnRenamed("term", "asked"), "asked")
+        hits = term_scores(documents, near.select("query_id", "asked", F.col("near").alias("term"), "weight"), key, f)
+        legs[f] = total(hits.groupBy("query_id", "asked", key).agg(F.max(F.col("score") * F.col("weight")).alias("score")))
+    loose = best_fields(legs, key, dict.fromkeys(fuzzy_fields, 1.0), 0.0).withColumn("score", fuzzy * F.col("score"))
+    return exact.unionByName(loose).groupBy("query_id", key).agg(F.round(F.sum("score"), 6).alias("score"))
 
 
 def ranked(scores: DataFrame, key: str, n: int) -> DataFrame:

@@ -11,13 +11,14 @@ from lorekeep.plans.registry import query, table
 
 _WORDS = "list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda w: w <> '')"
 _POSTINGS = f"""w AS (SELECT doc_id, {_WORDS.format(c="text")} AS ws FROM documents), post AS (SELECT doc_id, len(ws) AS length, t.term, count(*) AS tf FROM w, unnest(ws) AS t(term) GROUP BY ALL),
-  q AS (SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, list_slice({_WORDS.format(c="text")}, 1, 6) AS ws FROM benchmark WHERE item_id < 20), unnest(ws) AS t(term))"""
+  q AS (SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, {_WORDS.format(c="text")} AS ws FROM benchmark), unnest(ws) AS t(term))"""
 _BM25 = f"""{_POSTINGS}, sizes AS (SELECT count(*) AS n_docs, avg(length) AS mean_length FROM (SELECT DISTINCT doc_id, length FROM post)), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
   s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length))), 6) AS score FROM post JOIN q USING (term) JOIN df USING (term), sizes GROUP BY ALL)"""
 
 
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
-    asked = table(spark, sf, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"), F.slice(text.words(F.col("text")), 1, 6).alias("w"))
+    """The words of every question: all benchmark rows, whole."""
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), text.words(F.col("text")).alias("w"))
     return asked.select("query_id", F.explode("w").alias("term")).distinct()
 
 
@@ -28,9 +29,10 @@ def _questions(spark: SparkSession, sf: str) -> DataFrame:
 )
 def fulltext_all_then_any(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with all words of a question; with any of them where none has all."""
-    q, post = _questions(spark, sf), retrieval.postings(table(spark, sf, "documents"), "doc_id")
+    q = _questions(spark, sf)
+    post = retrieval.postings(table(spark, sf, "documents"), "doc_id", q)
     n = q.groupBy("query_id").agg(F.count("*").alias("n"))
-    hits = post.join(F.broadcast(q), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("hits")).join(n, "query_id").withColumn("every", F.col("hits") == F.col("n"))
+    hits = post.join(q, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("hits")).join(n, "query_id").withColumn("every", F.col("hits") == F.col("n"))
     best = hits.groupBy("query_id").agg(F.bool_or("every").alias("any_all"))
     matched = F.when(F.col("any_all"), "all_words").otherwise("any_word").alias("matched")
     return hits.join(best, "query_id").where("every or not any_all").groupBy("query_id", matched).agg(F.count("*").alias("total"))
@@ -51,20 +53,24 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.ranked(scores, "doc_id", 10)
 
 
-_KNN = "k AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round(CAST(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS DOUBLE), 5) AS score FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id < 20)"
+_KNN = "k AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round(CAST(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS DOUBLE), 5) AS score FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)"
+#: Blocks of vectors that every question visits.
+KNN_BLOCKS = 32
 
 
 def _knn(spark: SparkSession, sf: str) -> DataFrame:
+    """All vectors against those whose id is divisible by 100: the vectors lie in blocks, and a question goes to each block, by equality."""
     e = table(spark, sf, "embeddings")
-    # a fixed set of twenty questions: small at any size of the table
-    q = F.broadcast(e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe")))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(KNN_BLOCKS - 1))).alias("block")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"), blocks)
+    c = e.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(KNN_BLOCKS)).cast("int"))
     dot = F.aggregate(F.zip_with("embedding", "qe", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return e.join(q, e["vec_id"] != q["query_id"]).select("query_id", F.col("vec_id").alias("doc_id"), F.round(dot, 5).alias("score"))
+    return c.join(q, "block").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("doc_id"), F.round(dot, 5).alias("score"))
 
 
 @query("knn_topk", f"WITH {_KNN} SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM k) WHERE rank <= 10")
 def knn_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """The ten nearest vectors of each of twenty questions, exactly."""
+    """The ten nearest vectors of each question, exactly."""
     return retrieval.ranked(_knn(spark, sf), "doc_id", 10)
 
 
@@ -121,3 +127,31 @@ def restricted_notice(spark: SparkSession, sf: str) -> DataFrame:
     s = scores.join(table(spark, sf, "documents").select("doc_id", F.col("source").isin("src0", "src1", "src2").alias("locked")), "doc_id")
     best = lambda c: F.coalesce(F.max(F.when(c, F.col("score"))), F.lit(0.0))
     return s.groupBy("query_id").agg(F.count_if("locked").alias("locked"), (best(F.col("locked")) >= best(~F.col("locked")) + 1).alias("withheld"))
+
+
+_MISSPELT = "list_transform(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> ''), lambda w, i: CASE WHEN length(w) >= 6 AND i % 3 = 0 THEN concat(substr(w, 1, 2), substr(w, 4)) ELSE w END)"
+_FIELD = """{f}_d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower({f}), '[^a-z0-9]+'), lambda w: w <> '') AS ws FROM doc), {f}_p AS (SELECT doc_id, len(ws) AS length, t.term, count(*) AS tf FROM {f}_d, unnest(ws) AS t(term) GROUP BY ALL),
+  {f}_s AS (SELECT doc_id, term, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length)) AS score FROM {f}_p JOIN (SELECT term, count(*) AS df FROM {f}_p GROUP BY term) USING (term), (SELECT count(*) AS n_docs, avg(len(ws)) AS mean_length FROM {f}_d WHERE len(ws) > 0)),
+  {f}_e AS (SELECT query_id, doc_id, sum(score) AS score FROM q JOIN {f}_s USING (term) GROUP BY ALL)"""
+_FUZZY = """{f}_n AS (SELECT a.term AS asked, v.term, 1 - levenshtein(a.term, v.term) / least(length(a.term), length(v.term)) AS weight FROM (SELECT DISTINCT term FROM q) a JOIN (SELECT DISTINCT term FROM {f}_p) v ON left(a.term, 1) = left(v.term, 1) AND abs(length(a.term) - length(v.term)) <= 2
+    AND levenshtein(a.term, v.term) <= CASE WHEN length(a.term) < 3 THEN 0 WHEN length(a.term) < 6 THEN 1 ELSE 2 END),
+  {f}_z AS (SELECT query_id, doc_id, sum(score) AS score FROM (SELECT query_id, asked, doc_id, max(s.score * weight) AS score FROM q JOIN {f}_n ON asked = q.term JOIN {f}_s s ON s.term = {f}_n.term GROUP BY ALL) GROUP BY ALL)"""
+
+
+@query(
+    "bm25_fields",
+    f"""WITH doc AS (SELECT doc_id, text AS content, array_to_string(string_split(text, ' ')[1:5], ' ') AS title, concat(source, '/', lang, '/sheet ', doc_id % 50) AS path FROM documents),
+    q AS (SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, {_MISSPELT} AS ws FROM benchmark), unnest(ws) AS t(term)), {", ".join(_FIELD.format(f=f) for f in ("title", "content", "path"))}, {", ".join(_FUZZY.format(f=f) for f in ("title", "content"))},
+    x AS (SELECT query_id, doc_id, max(score) + 0.3 * (sum(score) - max(score)) AS score FROM (SELECT query_id, doc_id, 2 * score AS score FROM title_e UNION ALL SELECT * FROM content_e UNION ALL SELECT query_id, doc_id, 0.5 * score FROM path_e) GROUP BY ALL),
+    z AS (SELECT query_id, doc_id, 0.3 * max(score) AS score FROM (SELECT * FROM title_z UNION ALL SELECT * FROM content_z) GROUP BY ALL),
+    s AS (SELECT query_id, doc_id, round(sum(score), 6) AS score FROM (SELECT * FROM x UNION ALL SELECT * FROM z) GROUP BY ALL)
+    SELECT query_id, doc_id, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""",
+)
+def bm25_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best documents per misspelt question over title, text and path: the best field counts most, near words a little."""
+    title = F.array_join(F.slice(F.split("text", " "), 1, 5), " ")
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"), title.alias("title"), F.concat("source", F.lit("/"), "lang", F.lit("/sheet "), F.col("doc_id") % 50).alias("path"))
+    misspelt = F.transform(text.words(F.col("text")), lambda w, i: F.when((F.length(w) >= 6) & ((i + 1) % 3 == 0), F.concat(F.substring(w, 1, 2), F.substring(w, 4, 1 << 20))).otherwise(w))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(misspelt).alias("term"))
+    found = retrieval.field_search(d, asked, "doc_id", {"title": 2.0, "content": 1.0, "path": 0.5}, ["title", "content"])
+    return retrieval.ranked(found, "doc_id", 10).withColumn("score", F.round("score", 4))
