@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.operators import resolution
+from lorekeep.operators import candidates, resolution
 from lorekeep.plans.registry import query, table
 
 _NORMAL = r"trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -56,3 +56,29 @@ def directory_merge(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer").select(F.lit("crm").alias("system"), F.lit(1).alias("authority"), F.concat(F.lit("Person "), "c_custkey").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
     s = table(spark, sf, "supplier").select(F.lit("erp").alias("system"), F.lit(2).alias("authority"), F.concat(F.lit("PERSON-"), "s_suppkey").alias("name"), F.lit("SUPPLY").alias("segment"), F.col("s_nationkey").alias("nation"))
     return resolution.merge_directory(c.union(s), ["segment", "nation"])
+
+
+_CAND = r"""e AS (SELECT DISTINCT concat('p', p_partkey % 400) AS entity, CASE WHEN p_partkey % 400 < 8 THEN 'Branch' ELSE 'Thing' END AS type, CASE (p_partkey % 400) % 3 WHEN 0 THEN concat(f, ' ', chr(CAST(97 + p_partkey % 400 // 20 AS INT)), 'x', p_partkey % 20) WHEN 1 THEN concat(f, ' ', s, ' ', chr(CAST(97 + p_partkey % 400 // 20 AS INT))) ELSE concat(s, 's ', p_partkey % 400) END AS name
+    FROM (SELECT *, ['north', 'valley', 'kemper', 'harbor', 'summit'][CAST(p_partkey % 5 + 1 AS INT)] AS f, ['dairy', 'molding', 'foods', 'steel'][CAST(p_partkey % 4 + 1 AS INT)] AS s FROM part)),
+  n AS (SELECT *, trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g')) AS norm FROM e),
+  g AS (SELECT *, list_distinct(list_transform(range(1, length(norm) + 2), lambda i: substr(concat('  ', norm, ' '), CAST(i AS INT), 3))) AS gs, string_split(norm, ' ') AS w FROM n),
+  big AS (SELECT type, count(*) AS size, min(entity) AS first FROM n GROUP BY type),
+  l AS (SELECT a.entity AS a, b.entity AS b FROM g a JOIN g b ON a.type = b.type AND a.entity < b.entity WHERE a.norm = b.norm OR len(list_intersect(a.gs, b.gs)) / len(list_distinct(list_concat(a.gs, b.gs))) >= 0.5
+      OR (len(a.w) <= len(b.w) AND len(list_filter(a.w, lambda s: len(list_filter(b.w, lambda x: x = s OR (length(s) >= 4 AND starts_with(x, s)))) = 0)) = 0 AND len(list_filter(a.w, lambda s: length(s) >= 4)) > 0)
+      OR (len(b.w) < len(a.w) AND len(list_filter(b.w, lambda s: len(list_filter(a.w, lambda x: x = s OR (length(s) >= 4 AND starts_with(x, s)))) = 0)) = 0 AND len(list_filter(b.w, lambda s: length(s) >= 4)) > 0)
+    UNION SELECT first, entity FROM n JOIN big USING (type) WHERE size <= 25 AND entity <> first),
+  u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a AS entity, a AS spot FROM u UNION SELECT r.entity, u.b FROM r JOIN u ON u.a = r.spot),
+  c AS (SELECT entity, min(spot) AS component FROM r GROUP BY 1),
+  p AS (SELECT c.entity, component, (row_number() OVER (PARTITION BY component ORDER BY norm, entity) - 1) // 14 AS run FROM c JOIN n USING (entity))"""
+
+
+@query("fuzzy_groups", f"""WITH RECURSIVE {_CAND} SELECT entity, concat(component, '/', run) AS "group" FROM p""")
+def fuzzy_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of parts, branches whole, that may be one thing: groups of at most fourteen."""
+    k = F.col("p_partkey")
+    f = F.element_at(F.array(*map(F.lit, ("north", "valley", "kemper", "harbor", "summit"))), (k % 5 + 1).cast("int"))
+    s = F.element_at(F.array(*map(F.lit, ("dairy", "molding", "foods", "steel"))), (k % 4 + 1).cast("int"))
+    letter = F.char((97 + F.floor(k % 400 / 20)).cast("int"))
+    name = F.when(k % 400 % 3 == 0, F.concat(f, F.lit(" "), letter, F.lit("x"), k % 20)).when(k % 400 % 3 == 1, F.concat_ws(" ", f, s, letter)).otherwise(F.concat(s, F.lit("s "), k % 400))
+    e = table(spark, sf, "part").select(F.concat(F.lit("p"), k % 400).alias("entity"), F.when(k % 400 < 8, "Branch").otherwise("Thing").alias("type"), name.alias("name")).distinct()
+    return candidates.fuzzy_groups(e)[0]
