@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.operators import candidates, resolution
+from lorekeep.operators import candidates, repair, resolution
 from lorekeep.plans.registry import query, table
 
 _NORMAL = r"trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -82,3 +82,43 @@ def fuzzy_groups(spark: SparkSession, sf: str) -> DataFrame:
     name = F.when(k % 400 % 3 == 0, F.concat(f, F.lit(" "), letter, F.lit("x"), k % 20)).when(k % 400 % 3 == 1, F.concat_ws(" ", f, s, letter)).otherwise(F.concat(s, F.lit("s "), k % 400))
     e = table(spark, sf, "part").select(F.concat(F.lit("p"), k % 400).alias("entity"), F.when(k % 400 < 8, "Branch").otherwise("Thing").alias("type"), name.alias("name")).distinct()
     return candidates.fuzzy_groups(e)[0]
+
+
+_LETTERS = "concat(chr(CAST(97 + {k} % 26 AS INT)), chr(CAST(97 + {k} // 26 % 26 AS INT)), chr(CAST(97 + {k} // 676 % 26 AS INT)), ' works ', {k} % 9)"
+_CALLED = _LETTERS.format(k="(({k} * 7 + 3) % 17576)")
+_IDS = rf"""c AS (SELECT c_custkey AS k, {_CALLED.format(k='c_custkey')} AS name, max(c_custkey) OVER () AS most FROM customer),
+  rows_ AS (SELECT k AS row, CAST(k AS VARCHAR) AS ext, CASE WHEN k % 10 = 3 THEN {_CALLED.format(k='((k + 5) % (most + 1))')} WHEN k % 10 = 7 THEN concat('zzq ', k) WHEN k % 20 = 9 THEN concat('yyq ', k) ELSE name END AS rn, CASE WHEN k % 20 = 9 THEN concat('e', k) END AS uni FROM c
+    UNION ALL SELECT 1000000000 + k, CAST(k AS VARCHAR), concat('vvq ', k), NULL FROM c WHERE k % 10 = 5),
+  r AS (SELECT *, trim(regexp_replace(regexp_replace(lower(rn), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g')) AS norm FROM rows_),
+  fit AS (SELECT *, split_part(norm, ' ', 1) AS f, replace(norm, ' ', '') AS q FROM r), h AS (SELECT k, name, split_part(name, ' ', 1) AS f, replace(name, ' ', '') AS q FROM c),
+  sh AS (SELECT DISTINCT a.ext FROM fit a JOIN fit b ON a.ext = b.ext AND a.norm < b.norm WHERE NOT (a.f = b.f OR regexp_matches(b.q, concat('.*', array_to_string(regexp_extract_all(a.q, '.'), '.*'), '.*')) OR regexp_matches(a.q, concat('.*', array_to_string(regexp_extract_all(b.q, '.'), '.*'), '.*')))),
+  wrong AS (SELECT fit.ext, rn, norm, k AS holder FROM fit JOIN h ON ext = CAST(k AS VARCHAR) WHERE ext NOT IN (SELECT ext FROM sh) AND uni IS NULL AND NOT (fit.f = h.f OR regexp_matches(h.q, concat('.*', array_to_string(regexp_extract_all(fit.q, '.'), '.*'), '.*')) OR regexp_matches(fit.q, concat('.*', array_to_string(regexp_extract_all(h.q, '.'), '.*'), '.*')))),
+  into_ AS (SELECT w.ext, w.rn, w.holder, CASE WHEN count(n.k) = 1 THEN min(n.k) END AS dest FROM wrong w LEFT JOIN c n ON n.name = w.norm AND n.k <> w.holder GROUP BY ALL)"""
+
+
+@query(
+    "repaired_ids",
+    f"""WITH {_IDS} SELECT 'shared' AS part, ext, CAST(NULL AS VARCHAR) AS row_name, CAST(NULL AS BIGINT) AS holder, CAST(NULL AS BIGINT) AS into_entity FROM sh UNION ALL SELECT 'fix', ext, rn, holder, dest FROM into_
+    UNION ALL SELECT 'id', CAST(k AS VARCHAR), NULL, NULL, coalesce(dest, k) FROM c LEFT JOIN (SELECT ext, min(dest) AS dest FROM into_ GROUP BY ext) i ON i.ext = CAST(k AS VARCHAR) WHERE CAST(k AS VARCHAR) NOT IN (SELECT ext FROM sh)""",
+)
+def repaired_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """A list whose rows in part name other customers than their id does: ids that go to the one customer of that name, that wait for a person, or that are nobody's."""
+    called = lambda k: F.concat(*[F.char((97 + F.floor((k * 7 + 3) % 17576 / d) % 26).cast("int")) for d in (1, 26, 676)], F.lit(" works "), (k * 7 + 3) % 17576 % 9)
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    most = c.agg(F.max("k").alias("most"))
+    k = F.col("k")
+    name = F.when(k % 10 == 3, called((k + 5) % (F.col("most") + 1))).when(k % 10 == 7, F.concat(F.lit("zzq "), k)).when(k % 20 == 9, F.concat(F.lit("yyq "), k)).otherwise(called(k))
+    row = [F.lit("Customer").alias("type"), F.lit("crm").alias("system"), k.cast("string").alias("ext")]
+    rows = c.crossJoin(F.broadcast(most)).select(k.alias("row"), *row, name.alias("row_name"), F.when(k % 20 == 9, F.array(F.concat(F.lit("e"), k))).alias("universal"))
+    rows = rows.union(c.where("k % 10 = 5").select(k + 1_000_000_000, *row, F.concat(F.lit("vvq "), k), F.lit(None).cast("array<string>")))
+    names = c.select(k.alias("entity"), F.lit("Customer").alias("type"), called(k).alias("name"))
+    ids = c.select(k.alias("entity"), F.lit("Customer").alias("type"), F.lit("crm").alias("system"), k.cast("string").alias("value"))
+    ids = ids.union(c.select("k", F.lit("Customer"), F.lit("Email"), F.concat(F.lit("e"), k)))
+    none = spark.createDataFrame([], "relationship string, source long, target long")
+    out = repair.repair_ids(rows, names, ids, none, spark.createDataFrame([], "row long, relationship string, target long"))
+    empty = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    return (
+        out.shared.select(F.lit("shared").alias("part"), "ext", empty("string", "row_name"), empty("long", "holder"), empty("long", "into_entity"))
+        .union(out.fixes.select(F.lit("fix"), "ext", "row_name", "holder", "into"))
+        .union(out.identifiers.where("system = 'crm'").select(F.lit("id"), "value", empty("string", "row_name"), empty("long", "holder"), "entity"))
+    )
