@@ -74,3 +74,18 @@ def top_ancestors(nodes: DataFrame, id_col: str, parent_col: str, hops: int = 10
         if left:
             single = single.join(single.select(F.col("id").alias("up"), F.col("up").alias("far")), "up").select("id", F.col("far").alias("up"))
     return out
+
+
+def levels(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, depth): what start (node) reaches over edges (parent, child), at the fewest steps; start itself is at 0.
+
+    Each round's new nodes are written out; nodes seen before don't go on, so cycles end.
+    """
+    seen = fresh = staged(start.select("node").distinct().withColumn("depth", F.lit(0)), "levels")
+    depth = 0
+    while not fresh.isEmpty():
+        depth += 1
+        step = fresh.join(edges, fresh["node"] == edges["parent"]).select(F.col("child").alias("node")).distinct()
+        fresh = staged(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)), "levels")
+        seen = seen.union(fresh)
+    return seen

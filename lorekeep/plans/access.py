@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorekeep import rules
 from lorekeep.operators import access, graph
-from lorekeep.operators.closure import connected_components
+from lorekeep.operators.closure import connected_components, levels
 from lorekeep.plans.registry import query, table
 
 
@@ -43,18 +43,17 @@ def group_expansion(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("subtree", "WITH RECURSIVE t AS (SELECT doc_id, CASE WHEN doc_id = 0 THEN NULL ELSE doc_id // 3 END AS parent FROM documents), s AS (SELECT doc_id, 0 AS depth FROM t WHERE doc_id = 2 UNION ALL SELECT t.doc_id, depth + 1 FROM t JOIN s ON t.parent = s.doc_id WHERE t.doc_id <> t.parent) SELECT doc_id, depth FROM s")
 def subtree(spark: SparkSession, sf: str) -> DataFrame:
-    """A container's files at any depth: a tree has no cycles, so the recursive form ends."""
-    table(spark, sf, "documents").selectExpr("doc_id", "case when doc_id = 0 then null else doc_id div 3 end as parent").createOrReplaceTempView("lorekeep_tree")
-    return spark.sql("""WITH RECURSIVE s(doc_id, depth) AS (SELECT doc_id, 0 FROM lorekeep_tree WHERE doc_id = 2
-        UNION ALL SELECT t.doc_id, depth + 1 FROM lorekeep_tree t JOIN s ON t.parent = s.doc_id WHERE t.doc_id <> t.parent) SELECT doc_id, depth FROM s""")
+    """A container's files at any depth, level by level."""
+    tree = table(spark, sf, "documents").selectExpr("doc_id", "case when doc_id = 0 then null else doc_id div 3 end as parent").where("doc_id <> parent")
+    return levels(table(spark, sf, "documents").where("doc_id = 2").select(F.col("doc_id").alias("node")), tree.select("parent", F.col("doc_id").alias("child"))).select(F.col("node").alias("doc_id"), "depth")
 
 
 @query("components", "WITH d AS (SELECT doc_id, sha256(text) AS sha FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY sha) AS component FROM d QUALIFY count(*) OVER (PARTITION BY sha) > 1")
 def components(spark: SparkSession, sf: str) -> DataFrame:
-    """Connected components of links between equal texts, each linked to the next one only."""
+    """Connected components of links between equal texts, each linked to the first of them."""
     d = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
-    chain = d.withColumn("next", F.lead("doc_id").over(Window.partitionBy("sha").orderBy("doc_id"))).where("next is not null")
-    return connected_components(chain, "doc_id", "next").select(F.col("vertex").alias("doc_id"), "component")
+    first = d.groupBy("sha").agg(F.min("doc_id").alias("first"))
+    return connected_components(d.join(first, "sha"), "doc_id", "first").select(F.col("vertex").alias("doc_id"), "component")
 
 
 _ACL = "entries AS (SELECT source AS acl_id, concat('n', doc_id % 25) AS principal FROM documents WHERE doc_id % 11 = 0 UNION SELECT source, concat('c', doc_id % 60) FROM documents WHERE doc_id % 13 = 0)"
@@ -116,7 +115,7 @@ def card_variants(spark: SparkSession, sf: str) -> DataFrame:
 def file_catalog(spark: SparkSession, sf: str) -> DataFrame:
     """Files as a reader may list them: openable, locked, and hidden ones left out."""
     mine = access.readable_lists(_entries(spark, sf), _principals(spark, sf, 7).where("root = 'c7'")).select(F.col("acl_id").alias("source"), F.lit(True).alias("mine"))
-    d = table(spark, sf, "documents").join(F.broadcast(mine), "source", "left").where("mine or source not in ('src1', 'src2')")
+    d = table(spark, sf, "documents").join(mine, "source", "left").where("mine or source not in ('src1', 'src2')")
     return d.select("doc_id", F.when(F.col("mine"), "openable").otherwise("locked").alias("state"), (F.col("doc_id") % 19 == 0).alias("requested"))
 
 

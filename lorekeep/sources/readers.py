@@ -85,15 +85,15 @@ def read_office(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, text string")
 
 
-def unpack(files: DataFrame, most: int = 5000) -> DataFrame:
-    """(path, member, content): members of archives one level down; system folders are left out, `most` members at most."""
+def unpack(files: DataFrame) -> DataFrame:
+    """(path, member, content): members of archives one level down; system folders are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, body in zip(pdf["path"], pdf["content"], strict=True):
                 try:
                     with zipfile.ZipFile(io.BytesIO(bytes(body))) as z:
-                        members = [i for i in z.infolist() if not i.is_dir() and "__MACOSX" not in i.filename][:most]
+                        members = [i for i in z.infolist() if not i.is_dir() and "__MACOSX" not in i.filename]
                         for m in members:
                             yield pd.DataFrame({"path": [path], "member": [m.filename], "content": [z.read(m)]})
                 except zipfile.BadZipFile:

@@ -131,3 +131,27 @@ def test_personal_data(spark):
         8: (["bank_account"], [f"account no: ****{i:04d}" for i in range(7)]),
         9: (["bank_account", "birth_date", "ssn"], ["078-**-****", "DOB: ####-##-##", "aba # *****6789"]),
     }
+
+
+def test_guarded_sql_judges_the_plan(spark):
+    views = {"t": spark.createDataFrame([(1, "a;b", 2)], "id int, name string, `set` int")}
+    from lorekeep.operators import checks
+
+    for fine in ("SELECT `set` AS load, id AS add FROM t", "SELECT 1 -- it's fine; drop table t", "/* ' */ SELECT * FROM t WHERE name = 'a;b' AND 'insert' <> 'delete'", "WITH x AS (SELECT id FROM t) SELECT * FROM x WHERE id IN (SELECT id FROM t)", "FROM t SELECT id", "SELECT * FROM t;"):
+        assert checks.guarded_sql(spark, fine, views).count() == 1
+    assert "t" not in {v.name for v in spark.catalog.listTables()}
+    refused = ["DROP TABLE t", "SELECT 1; SELECT 2", "INSERT INTO t SELECT 1, 'x', 2", "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "SET spark.sql.ansi.enabled=false", "SELECT * FROM other", "SELECT * FROM parquet.`/etc`", "SELECT id FROM t WHERE id IN (SELECT id FROM secret)", "SELECT reflect('java.lang.System', 'exit', 1)", "CACHE TABLE t", "", "CREATE VIEW v AS SELECT 1"]
+    for statement in refused:
+        try:
+            checks.guarded_sql(spark, statement, views)
+        except ValueError:
+            continue
+        raise AssertionError(statement)
+
+
+def test_levels_with_cycles(spark):
+    from lorekeep.operators.closure import levels
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (1, 3), (9, 8), (None, 1)], "parent long, child long")
+    got = {r["node"]: r["depth"] for r in levels(spark.createDataFrame([(1,)], "node long"), edges).collect()}
+    assert got == {1: 0, 2: 1, 3: 1}
