@@ -92,3 +92,44 @@ def robustness(hits: DataFrame) -> DataFrame:
     asked = hits.groupBy("style", "q").agg(best(["final"], 50).alias("final"), best(["keyword", "meaning"], 100).alias("leg"))
     outcome = F.when(F.col("final") <= 10, "found").when(F.col("final").isNotNull(), "ranked low").when(F.col("leg") <= 30, "dropped").when(F.col("leg").isNotNull(), "found too deep").otherwise("never found")
     return asked.groupBy("style", outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def context_pack(questions: DataFrame, hits: DataFrame, named: DataFrame, facts: DataFrame, today: str, sources: int = 12, excerpt: int = 900, things: int = 3, current: int = 25, earlier: int = 15) -> DataFrame:
+    """(query_id, part, n, line): what an answer may rest on, for all questions in one job, each thing and fact once.
+
+    questions: query_id; hits: query_id, rank, doc_type, title, place, is_current, disputed, content; named: query_id, nth, entity, name, type;
+    facts: entity, fact, since, until, disputed. Parts: source (the best hits, numbered, with their standing and an excerpt), change (what their
+    timelines say, each line once), current and earlier (facts of the first `things` named things that aren't terms: those in force,
+    the newest first, and those that ended before today, the last first). A thing that several questions name is looked up once.
+    """
+    asked = questions.select("query_id").distinct()
+    best = hits.join(asked, "query_id", "left_semi").where(F.col("rank") <= sources)
+    standing = F.when(F.col("doc_type") != "fact", "Supports").when(F.col("disputed"), "Disputed").when(F.col("is_current"), "Current").otherwise("Outdated")
+    line = F.concat(F.lit("["), F.col("rank"), F.lit("] "), "title", F.lit(" · "), "place", F.lit(" ("), standing, F.lit(")\n"), F.substring("content", 1, excerpt))
+    source = best.select("query_id", F.lit("source").alias("part"), F.col("rank").cast("long").alias("n"), line.alias("line"))
+    told = F.get(F.filter(F.split("content", "\n"), lambda x: x.startswith("Timeline: ")), F.lit(0))
+    changes = best.select("query_id", "rank", F.concat("title", F.lit(": "), F.substring(told, 11, 1 << 20)).alias("line")).where("line is not null").groupBy("query_id", "line").agg(F.min("rank").cast("long").alias("n"))
+    change = changes.select("query_id", F.lit("change").alias("part"), "n", "line")
+
+    of_question = Window.partitionBy("query_id").orderBy("nth", "entity")
+    meant = named.join(asked, "query_id", "left_semi").where("type <> 'Term'").withColumn("nth", F.row_number().over(of_question)).where(F.col("nth") <= things)
+    wanted = facts.join(meant.select("entity").distinct(), "entity", "left_semi").distinct()
+    over = F.col("until") < F.lit(today).cast("date")
+    day = lambda c: F.date_format(c, "MMM d, yyyy")
+    newest = Window.partitionBy("entity").orderBy(F.col("since").desc_nulls_last(), "fact")
+    last = Window.partitionBy("entity").orderBy(F.desc("until"), "fact")
+    force = wanted.where(over.isNull() | ~over).withColumn("k", F.row_number().over(newest)).where(F.col("k") <= current)
+    ended = wanted.where(over).withColumn("k", F.row_number().over(last)).where(F.col("k") <= earlier)
+    now = F.concat("fact", F.when(F.col("since").isNotNull(), F.concat(F.lit(" (since "), day("since"), F.lit(")"))).otherwise(""), F.when(F.col("disputed"), " [DISPUTED]").otherwise(""))
+    before = F.concat("fact", F.lit(" ("), F.when(F.col("since").isNotNull(), F.concat(day("since"), F.lit(" to "))).otherwise("until "), day("until"), F.lit(")"))
+    lines = force.select("entity", F.lit("current").alias("part"), "k", now.alias("line")).union(ended.select("entity", F.lit("earlier"), "k", before))
+    stated = meant.join(lines, "entity").select("query_id", "part", (F.col("nth") * 100 + F.col("k")).cast("long").alias("n"), F.concat("name", F.lit(": "), "line").alias("line"))
+    return source.union(change).union(stated)
+
+
+def prompts(pack: DataFrame, questions: DataFrame) -> DataFrame:
+    """(query_id, prompt): a pack as one text per question, parts and lines in order; a pack is of bounded size."""
+    order = F.create_map(*[F.lit(x) for kv in {"change": 1, "current": 2, "earlier": 3, "source": 4}.items() for x in kv])
+    rows = pack.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(order[F.col("part")].alias("o"), "n", "line"))).alias("lines"))
+    whole = F.array_join(F.transform(F.coalesce("lines", F.array()), lambda x: x["line"]), "\n")
+    return questions.join(rows, "query_id", "left").select("query_id", F.concat(F.lit("Question: "), "question", F.lit("\n"), whole).alias("prompt"))

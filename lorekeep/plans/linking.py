@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from lorekeep import rules
 from lorekeep.functions import text
-from lorekeep.operators import linking, segments
+from lorekeep.functions import text
+from lorekeep.operators import briefs, linking, retrieval, segments
 from lorekeep.plans.registry import query, table
+from lorekeep.plans.retrieval import _BM25
 
 
 def things(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -96,3 +98,41 @@ def passage_projection(spark: SparkSession, sf: str) -> DataFrame:
     newer = F.array_join(F.transform(F.array_sort(F.transform("replaced_by", lambda f: f.cast("long"))), lambda f: f.cast("string")), ",")
     joined = [F.array_join(c, ",").alias(c) for c in ("entity_ids", "facts")]
     return out.select(F.col("file").alias("doc_id"), "n", *joined, newer.alias("replaced_by"), "is_current", F.array_join("acl_ids", ",").alias("acl_ids"))
+
+
+_TODAY = "1998-06-01"
+_PACK = f"""asked AS (SELECT item_id AS query_id, list_filter(string_split({_norm('text')}, ' '), lambda w: w <> '') AS ws FROM benchmark), qpos AS (SELECT query_id, ws, unnest(range(1, len(ws) + 1)) AS spot FROM asked),
+  qc AS (SELECT query_id, spot, n, array_to_string(ws[spot:spot + n - 1], ' ') AS phrase FROM qpos JOIN (SELECT DISTINCT split_part(phrase, ' ', 1) AS head, n FROM idx) ON head = ws[spot] WHERE spot + n - 1 <= len(ws)),
+  qh AS (SELECT query_id, spot, max(idx.n) AS size, arg_max(coalesce(entity, ''), idx.n) AS entity FROM qc JOIN idx USING (phrase) GROUP BY ALL),
+  qf AS (SELECT query_id, list_reduce(list(struct_pack(e := spot + size, spot := spot, ids := CASE WHEN entity = '' THEN CAST([] AS VARCHAR[]) ELSE [entity] END) ORDER BY spot),
+    lambda a, x: CASE WHEN x.spot >= a.e THEN struct_pack(e := x.e, spot := x.spot, ids := list_concat(a.ids, list_filter(x.ids, lambda y: NOT list_contains(a.ids, y)))) ELSE a END).ids AS ids FROM qh GROUP BY ALL),
+  qn AS (SELECT query_id, unnest(ids) AS entity, unnest(range(1, len(ids) + 1)) AS nth FROM qf), meant AS (SELECT query_id, entity, name, row_number() OVER (PARTITION BY query_id ORDER BY nth) AS nth FROM qn JOIN known USING (entity) WHERE type <> 'Term' QUALIFY nth IS NOT NULL AND row_number() OVER (PARTITION BY query_id ORDER BY qn.nth) <= 3),
+  fc AS (SELECT concat('b', o_custkey % 40) AS entity, concat('order ', o_orderkey) AS fact, CAST(o_orderdate AS DATE) AS since, CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 900 AS INT) END AS until, o_orderkey % 17 = 0 AS disputed FROM orders),
+  cur AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY since DESC, fact) AS k FROM fc WHERE until IS NULL OR until >= DATE '{_TODAY}'), old AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY until DESC, fact) AS k FROM fc WHERE until < DATE '{_TODAY}'),
+  hit AS (SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 12),
+  src AS (SELECT query_id, rank, CASE WHEN doc_id % 3 = 0 THEN concat('Timeline: ', doc_id % 5, ' then ', doc_id % 7, chr(10), text) ELSE text END AS content, concat('sheet ', doc_id // 4) AS title, source AS place, doc_id % 4 = 0 AS fact, doc_id % 6 <> 0 AS is_current, doc_id % 8 = 0 AS disputed FROM hit JOIN documents USING (doc_id))"""
+
+
+@query(
+    "context_pack",
+    f"""WITH {_INDEX}, {_BM25}, {_PACK} SELECT query_id, 'source' AS part, rank AS n, concat('[', rank, '] ', title, ' · ', place, ' (', CASE WHEN NOT fact THEN 'Supports' WHEN disputed THEN 'Disputed' WHEN is_current THEN 'Current' ELSE 'Outdated' END, ')', chr(10), substr(content, 1, 900)) AS line FROM src
+    UNION ALL SELECT query_id, 'change', min(rank), line FROM (SELECT query_id, rank, concat(title, ': ', substr(string_split(content, chr(10))[1], 11)) AS line FROM src WHERE starts_with(content, 'Timeline: ')) GROUP BY ALL
+    UNION ALL SELECT query_id, 'current', nth * 100 + k, concat(name, ': ', fact, ' (since ', strftime(since, '%b %-d, %Y'), ')', CASE WHEN disputed THEN ' [DISPUTED]' ELSE '' END) FROM meant JOIN cur USING (entity) WHERE k <= 25
+    UNION ALL SELECT query_id, 'earlier', nth * 100 + k, concat(name, ': ', fact, ' (', strftime(since, '%b %-d, %Y'), ' to ', strftime(until, '%b %-d, %Y'), ')') FROM meant JOIN old USING (entity) WHERE k <= 15""",
+)
+def context_pack(spark: SparkSession, sf: str) -> DataFrame:
+    """What an answer to each benchmark question may rest on: its best documents, their timelines, and the facts of the things it names."""
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    words = asked.select("query_id", F.explode(text.words(F.col("question"))).alias("term")).distinct()
+    d = table(spark, sf, "documents")
+    found = retrieval.ranked(retrieval.bm25(d, words, "doc_id"), "doc_id", 12)
+    k = F.col("doc_id")
+    line = F.concat(F.lit("Timeline: "), k % 5, F.lit(" then "), k % 7, F.lit("\n"), "text")
+    hits = found.join(d, "doc_id").select("query_id", "rank", F.when(k % 4 == 0, "fact").otherwise("passage").alias("doc_type"), F.concat(F.lit("sheet "), F.floor(k / 4)).alias("title"), F.col("source").alias("place"), (k % 6 != 0).alias("is_current"), (k % 8 == 0).alias("disputed"), F.when(k % 3 == 0, line).otherwise(F.col("text")).alias("content"))
+    entities, aliases, refers = things(spark, sf)
+    linked = linking.link_phrases(asked, ["query_id"], "question", linking.phrase_index(entities, aliases, refers))
+    named = linked.select("query_id", F.posexplode("entity_ids").alias("nth", "entity")).join(entities, "entity")
+    o = F.col("o_orderkey")
+    since = F.col("o_orderdate").cast("date")
+    facts = table(spark, sf, "orders").select(F.concat(F.lit("b"), F.col("o_custkey") % 40).alias("entity"), F.concat(F.lit("order "), o).alias("fact"), since.alias("since"), F.when(F.col("o_orderstatus") == "F", F.date_add(since, (o % 900).cast("int"))).alias("until"), (o % 17 == 0).alias("disputed"))
+    return briefs.context_pack(asked, hits, named, facts, _TODAY)
