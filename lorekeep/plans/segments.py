@@ -93,3 +93,18 @@ def version_families(spark: SparkSession, sf: str) -> DataFrame:
     f = d.select("doc_id", text.family_key(name).alias("family"), text.revision(name).alias("rev"))
     later = f.select(F.col("doc_id").alias("replaced_by"), "family", F.col("rev").alias("later"))
     return f.join(later, "family").where("later > rev").select("doc_id", "replaced_by")
+
+
+@query(
+    "delimited_records",
+    """WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
+    SELECT o_custkey, n, CAST(o_orderkey AS VARCHAR) AS key, concat('status "', o_orderstatus, '", done') AS note, concat(o_orderpriority, chr(10), 'line 2') AS priority FROM o
+    UNION ALL SELECT DISTINCT o_custkey, 0, 'key', 'note', 'priority' FROM o""",
+)
+def delimited_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer's orders as one text of comma-separated records, with quoted line ends, doubled quotes and blank lines, and its records again."""
+    line = F.concat(F.lit("\r\n , \n"), "o_orderkey", F.lit(',"status ""'), "o_orderstatus", F.lit('"", done",  "'), "o_orderpriority", F.lit('\nline 2" '))
+    rows = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("line")))).alias("lines"))
+    body = F.concat(F.lit('key,note,"priority"'), F.array_join(F.transform("lines", lambda x: x["line"]), ""), F.lit("\n\n"))
+    found = rows.select("o_custkey", F.posexplode(text.delimited_records(body, ",")).alias("n", "r"))
+    return found.select("o_custkey", F.col("n").cast("long").alias("n"), *[F.get("r", F.lit(i)).alias(c) for i, c in enumerate(("key", "note", "priority"))])

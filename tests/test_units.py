@@ -155,3 +155,39 @@ def test_levels_with_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (1, 3), (9, 8), (None, 1)], "parent long, child long")
     got = {r["node"]: r["depth"] for r in levels(spark.createDataFrame([(1,)], "node long"), edges).collect()}
     assert got == {1: 0, 2: 1, 3: 1}
+
+
+def brute_records(text, delimiter):
+    records, record, field, quoted, i = [], [], "", False, 0
+    while i <= len(text):
+        c = text[i : i + 1]
+        if quoted and c == '"' and text[i + 1 : i + 2] == '"':
+            field, i = field + '"', i + 1
+        elif c == '"':
+            quoted = not quoted
+        elif quoted and c:
+            field += c
+        elif c == delimiter:
+            record.append(field.strip())
+            field = ""
+        elif c in ("\n", "\r", ""):
+            records.append([*record, field.strip()])
+            record, field = [], ""
+        else:
+            field += c
+        i += 1
+    return [r for r in records if any(r)]
+
+
+def test_delimited_records(spark):
+    import random
+
+    rng = random.Random(4)
+    texts = ["", "\n\n", 'a,b\n"c,d","e\nf"', '"say ""hi""",x\r\n , \n"",""\n""""', 'open "quote, to\nthe end', " a ; b |c", '"a""";b', "," * 5, 'x"y"z,1', '"' * 4 + "," + '"' * 6]
+    texts += ["".join(rng.choice('ab",\n\r;| "') for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    texts.append('"' + "long\n" * 50_000 + '",' + "a,b\n" * 50_000)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for delimiter in (",", "|"):
+        got = {r["i"]: r["r"] for r in df.select("i", text.delimited_records(F.col("t"), delimiter).alias("r")).collect()}
+        for i, t in enumerate(texts):
+            assert got[i] == brute_records(t, delimiter), repr(t)[:200]
