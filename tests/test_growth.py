@@ -27,3 +27,13 @@ def test_best_window_of_a_long_text(spark):
         return t[best : best + 260]
 
     assert got == {i: None if t is None else plain(t) for i, t in enumerate(texts)}
+
+
+def test_leaks_by_classes_of_readers(spark):
+    facts, readers = spark.range(20_000).select(F.col("id").alias("fact")), spark.range(20_000).select(F.col("id").alias("reader"))
+    memberships = readers.select("reader", F.explode(F.array(F.lit("all"), F.concat(F.lit("n"), F.col("reader") % 4), F.when(F.col("reader") < 6, "few"))).alias("acl")).where("acl is not null")
+    evidence = facts.where("fact > 0").select("fact", F.when(F.col("fact") == 7, F.array(F.lit("n1"))).otherwise(F.array(F.lit("all"))).alias("lists"))
+    granted = facts.select("fact", F.lit("all").alias("acl")).where("fact <> 7").union(facts.where("fact in (0, 7)").select("fact", F.lit("few").alias("acl")))
+    start = time.time()
+    assert sorted(map(tuple, reading.leaks(granted, memberships, evidence).collect())) == [(7, r) for r in (0, 2, 3, 4)]
+    assert time.time() - start < 60
