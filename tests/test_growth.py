@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text
-from lorekeep.operators import aliases, grants, reading
+from lorekeep.operators import aliases, grants, reading, retrieval
 
 
 def test_best_window_of_a_long_text(spark):
@@ -54,3 +54,12 @@ def test_initials_end_at_other_letters(spark):
     known = spark.createDataFrame([("e", "large anvil")], "entity string, name string")
     passages = spark.createDataFrame([(i, t) for i, t in enumerate(["ÉLA so", "LA.", "(LA)", "LAé", "LA_", "x LA", "LAX"])], "passage long, text string")
     assert [tuple(r) for r in aliases.initialisms(passages, known).collect()] == [("e", "LA", 5)]
+
+
+def test_no_pair_of_question_and_text_is_shuffled(spark):
+    d = spark.createDataFrame([(1, "a b b"), (2, "b c"), (3, None), (4, "d")], "doc_id long, text string")
+    q = spark.createDataFrame([(7, "a"), (7, "b"), (8, "c"), (9, "x")], "query_id long, term string")
+    found = retrieval.bm25(d, q, "doc_id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and "hashpartitioning(query_id" not in plan
+    assert sorted((r["query_id"], r["doc_id"]) for r in found.collect()) == [(7, 1), (7, 2), (8, 2)]
