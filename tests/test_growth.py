@@ -63,3 +63,28 @@ def test_no_pair_of_question_and_text_is_shuffled(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(doc_id" in plan and "hashpartitioning(query_id" not in plan
     assert sorted((r["query_id"], r["doc_id"]) for r in found.collect()) == [(7, 1), (7, 2), (8, 2)]
+
+
+def test_nearest_by_blocks_keeps_ties_nulls_and_late_labels(spark, monkeypatch):
+    rows = [(i, [float(i % 5), 1.0], i % 3) for i in range(60)] + [(60, [None, 1.0], 0), (61, None, 1), (62, [1.0], 2), (100, [4.0, -3.0], 9), (200, [9.0, 1.0], 2), (300, [-9.0, 0.0], 9), (400, [1.0, 1.0], None)]
+    asked = [r for r in rows if r[0] % 100 == 0]
+    kind = "id long, v array<float>, label int"
+    vectors = spark.createDataFrame(rows, kind).withColumnRenamed("id", "doc_id")
+    questions = spark.createDataFrame(asked, kind).withColumnRenamed("id", "query_id")
+
+    def score(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a or None in b:
+            return None
+        return round(sum(x * y for x, y in zip(a, b, strict=True)), 5)
+
+    for block in (1 << 14, 2):
+        monkeypatch.setattr(retrieval, "ASKED_BLOCK", block)
+        want, firsts = [], []
+        for q, v, label in asked:
+            ranked = sorted(((score(v, c), d, x) for d, c, x in rows if d != q), key=lambda s: (s[0] is None, -(s[0] or 0), s[1]))
+            want += [(q, d, s, i, None if label is None or x is None else x == label) for i, (s, d, x) in enumerate(ranked[:10], 1)]
+            good = [i for i, (_, _, x) in enumerate(ranked, 1) if x is not None and x == label]
+            firsts.append((q, good[0] if good else None, sum(i <= 10 for i in good)))
+        got = retrieval.nearest(vectors, questions, 10).select("query_id", "doc_id", "score", "rank", "good").collect()
+        assert sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in got) == sorted((q, i, d, s) for q, d, s, i, _ in want)
+        assert sorted(map(tuple, retrieval.first_good(vectors, questions, 10).select("query_id", "first", "at").collect()), key=lambda r: r[0]) == sorted(firsts, key=lambda r: r[0])
