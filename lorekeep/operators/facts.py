@@ -37,34 +37,54 @@ def timelines(facts: DataFrame, keys: list[str]) -> DataFrame:
 def consolidate(facts: DataFrame) -> DataFrame:
     """Dated versions of each (subject, predicate) put in order: duplicates folded, open ends closed, old values superseded.
 
-    Folding depends on what was folded before, so the versions of one subject and predicate are walked in order;
-    one row per version comes back: fact_id, valid_to, status, action.
+    Folding depends on what was folded before, so the versions of one subject and predicate are walked in order, once, with the next
+    version of each value and the next that stands at hand; one row per version comes back: fact_id, valid_to, status, action.
     """
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["valid_from", "fact_id"], kind="stable").to_dict("records")
+        pdf = pdf.sort_values(["valid_from", "fact_id"], kind="stable")
+        ids, values, starts, ends, status = (pdf[c].tolist() for c in ("fact_id", "value", "valid_from", "valid_to", "status"))
+        n = len(ids)
+        action, left = [""] * n, list(range(n + 1))  # left: where to look for the next version that is not folded
+        places: dict = {}
+        for i, fact in enumerate(ids):
+            places.setdefault(fact, []).append(i)
+        follower, later_start, seen = [n] * n, [n] * n, {}
+        for i in reversed(range(n)):
+            if values[i] == values[i]:
+                follower[i], seen[values[i]] = seen.get(values[i], n), i
+            if i + 1 < n:
+                later_start[i] = i + 1 if starts[i + 1] > starts[i] else later_start[i + 1]
         folded: set[int] = set()
-        for i, cur in enumerate(rows):
-            cur["action"] = cur.get("action") or ""
-            if cur["fact_id"] in folded:
+
+        def unfolded(i: int) -> int:
+            while left[i] != i:
+                left[i] = left[left[i]]
+                i = left[i]
+            return i
+
+        for i in range(n):
+            if ids[i] in folded:
                 continue
-            later = rows[i + 1 :]
-            same = next((n for n in later if n["value"] == cur["value"] and (cur["valid_to"] is None or pd.isna(cur["valid_to"]) or n["valid_from"] <= cur["valid_to"])), None)
-            if same is not None and "superseded" in (cur["status"], same["status"]):
-                dup = cur if cur["status"] == "superseded" else same
-                if dup["fact_id"] not in folded:
-                    folded.add(dup["fact_id"])
-                    dup["status"], dup["action"] = "rejected", "folded"
-                    if dup is cur:
+            same = follower[i]
+            # starts rise: where the next version of this value begins too late, all others do
+            if same < n and (pd.isna(ends[i]) or starts[same] <= ends[i]) and "superseded" in (status[i], status[same]):
+                dup = i if status[i] == "superseded" else same
+                if ids[dup] not in folded:
+                    folded.add(ids[dup])
+                    for k in places[ids[dup]]:
+                        left[k] = k + 1
+                    status[dup], action[dup] = "rejected", "folded"
+                    if dup == i:
                         continue
-            nxt = next((n for n in later if n["valid_from"] > cur["valid_from"] and n["fact_id"] not in folded), None)
-            if nxt is None:
+            following = unfolded(later_start[i])
+            if following == n or not starts[following] > starts[i]:  # rows without a start come last
                 continue
-            if pd.isna(cur["valid_to"]) or cur["valid_to"] > nxt["valid_from"]:
-                cur["valid_to"], cur["action"] = nxt["valid_from"], "closed"
-            if cur["status"] == "accepted" and cur["value"] != nxt["value"]:
-                cur["status"], cur["action"] = "superseded", (cur["action"] + " superseded").strip()
-        return pd.DataFrame(rows)[["fact_id", "valid_to", "status", "action"]]
+            if pd.isna(ends[i]) or ends[i] > starts[following]:
+                ends[i], action[i] = starts[following], "closed"
+            if status[i] == "accepted" and values[i] != values[following]:
+                status[i], action[i] = "superseded", (action[i] + " superseded").strip()
+        return pd.DataFrame({"fact_id": ids, "valid_to": pd.Series(ends, dtype=pdf["valid_from"].dtype), "status": status, "action": action})
 
     return facts.groupBy("subject", "predicate").applyInPandas(walk, "fact_id long, valid_to timestamp, status string, action string")
 

@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text
-from lorekeep.operators import aliases, grants, reading, retrieval
+from lorekeep.operators import aliases, facts, grants, reading, retrieval
 
 
 def test_best_window_of_a_long_text(spark):
@@ -88,3 +88,12 @@ def test_nearest_by_blocks_keeps_ties_nulls_and_late_labels(spark, monkeypatch):
         got = retrieval.nearest(vectors, questions, 10).select("query_id", "doc_id", "score", "rank", "good").collect()
         assert sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in got) == sorted((q, i, d, s) for q, d, s, i, _ in want)
         assert sorted(map(tuple, retrieval.first_good(vectors, questions, 10).select("query_id", "first", "at").collect()), key=lambda r: r[0]) == sorted(firsts, key=lambda r: r[0])
+
+
+def test_consolidate_many_versions_of_one_fact(spark):
+    n = 30_000
+    rows = spark.range(n).select(F.col("id").alias("fact_id"), F.lit("s").alias("subject"), F.lit("p").alias("predicate"), F.col("id").cast("string").alias("value"), F.timestamp_seconds(F.col("id") * 60).alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"), F.lit("accepted").alias("status"))
+    start = time.time()
+    got = facts.consolidate(rows).groupBy("status", "action").count().collect()
+    assert time.time() - start < 20
+    assert sorted(map(tuple, got)) == [("accepted", "", 1), ("superseded", "closed superseded", n - 1)]
