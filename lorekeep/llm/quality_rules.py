@@ -1,8 +1,9 @@
 """Quality rules: rule statistics of each text, and an isolation forest over them.
 
 Statistics come from numpy passes over whole texts in Arrow batches; no shuffle moves text. The
-forest is grown on the driver from two thirds of a bounded sample of labelled rows and its cut-off is calibrated
-on the third that it has not seen; both travel to the tasks as a few kilobytes of arrays.
+forest's splits depend on the range of all labelled rows alone; every ordinary row of two thirds of them is then
+counted in its leaves, inside tasks, and the cut-off is the exact rank of a score among all rows of the third that
+the forest has not seen. Ranges, leaf counts and bucket counts reach the driver, as many at any number of rows.
 
 Defined results: a null or empty text has zero counts and fails the base rule (fewer than 50
 words); texts of any length are counted whole; repeated doc_ids give one row each; an empty table gives no rows; without labels the
@@ -20,11 +21,9 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm.textarrays import mix, shingle_hashes, span_hashes, text_chunks, words
 from lorekeep.llm.tokens import forget
+from lorekeep.session import staged, unstage
 
-#: Bound on the labelled rows that fit and calibrate the forest.
-LABELLED_ROWS = 6000
 TREES = 150
-ROWS_PER_TREE = 256
 DEPTH = 8
 #: Share of labelled good rows that the calibrated cut-off may reject.
 GOOD_LOSS = 0.003
@@ -115,52 +114,71 @@ def rule_stats(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return counts, np.sqrt(features)
 
 
-def grow_forest(rows: np.ndarray, low: np.ndarray, high: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
-    """Isolation trees over random subsamples of ordinary rows: complete binary trees as flat arrays.
-
-    Each node splits a random feature uniformly inside the node's box, which starts as [low, high],
-    the range of all labelled rows: what lies away from every ordinary row soon falls into a branch
-    that holds none and ends there. A leaf keeps its depth plus the expected depth of its rows.
-    """
+def split_box(low: np.ndarray, high: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
+    """Complete binary trees over the box [low, high] as flat arrays: each node splits a random feature uniformly inside its own box."""
     rng = np.random.default_rng(seed)
     size = (1 << (DEPTH + 1)) - 1
     feature = np.full((TREES, size), -1, np.int16)
     split = np.zeros((TREES, size))
-    length = np.zeros((TREES, size))
     able = np.flatnonzero(high > low)
-    for t in range(TREES):
-        own = {0: (rows[rng.choice(len(rows), min(ROWS_PER_TREE, len(rows)), replace=False)], low, high)}
-        for node in range(size):
-            if node not in own:
-                continue
-            part, lo, hi = own.pop(node)
-            depth = int(np.log2(node + 1))
-            if depth == DEPTH or len(part) <= 1 or not len(able):
-                length[t, node] = depth + _expected(len(part))
-                continue
+    for t in range(TREES if len(able) else 0):
+        boxes = {0: (low, high)}
+        for node in range((1 << DEPTH) - 1):
+            lo, hi = boxes.pop(node)
             f = rng.choice(able)
             cut = rng.uniform(lo[f], hi[f])
             feature[t, node], split[t, node] = f, cut
             left_hi, right_lo = hi.copy(), lo.copy()
             left_hi[f] = right_lo[f] = cut
-            own[2 * node + 1] = part[part[:, f] < cut], lo, left_hi
-            own[2 * node + 2] = part[part[:, f] >= cut], right_lo, hi
-    return {"feature": feature, "split": split, "length": length, "norm": np.array(_expected(min(ROWS_PER_TREE, len(rows))))}
-
-
-def _expected(n: int) -> float:
-    return 0.0 if n <= 1 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+            boxes[2 * node + 1], boxes[2 * node + 2] = (lo, left_hi), (right_lo, hi)
+    return {"feature": feature, "split": split}
 
 
-def anomaly(forest: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
-    """2 ** -(mean path length / expected path length): near 1 for rows that split off early."""
-    total = np.zeros(len(rows))
+def _leaves(forest: dict[str, np.ndarray], rows: np.ndarray) -> Iterator[np.ndarray]:
+    """The node of each tree in which each row ends."""
     at_row = np.arange(len(rows))
-    for feature, split, length in zip(forest["feature"], forest["split"], forest["length"], strict=True):
+    for feature, split in zip(forest["feature"], forest["split"], strict=True):
         node = np.zeros(len(rows), np.int64)
         for _ in range(DEPTH):
             f = feature[node]
             node = np.where(f < 0, node, 2 * node + 1 + (rows[at_row, np.maximum(f, 0)] >= split[node]))
+        yield node
+
+
+def leaf_counts(forest: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """How many rows end in each node of each tree."""
+    return np.stack([np.bincount(node, minlength=forest["feature"].shape[1]) for node in _leaves(forest, rows)])
+
+
+def settle(forest: dict[str, np.ndarray], counts: np.ndarray) -> dict[str, np.ndarray]:
+    """The forest with the lengths of its paths, from how many ordinary rows end in each leaf.
+
+    What lies away from every ordinary row soon falls into a branch that holds none and ends there. A leaf keeps its
+    depth plus the expected depth of its rows.
+    """
+    held = counts.astype(np.int64)
+    for node in range((1 << DEPTH) - 2, -1, -1):
+        held[:, node] += held[:, 2 * node + 1] + held[:, 2 * node + 2]
+    depth = np.log2(np.arange(held.shape[1]) + 1).astype(np.int64)
+    feature = np.where(held <= 1, np.int16(-1), forest["feature"])
+    return {"feature": feature, "split": forest["split"], "length": depth + _expected(held), "norm": _expected(held[0, 0])}
+
+
+def grow_forest(rows: np.ndarray, low: np.ndarray, high: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
+    """Isolation trees that split the box [low, high], the range of all labelled rows, and hold all the given ordinary rows."""
+    forest = split_box(low, high, seed)
+    return settle(forest, leaf_counts(forest, rows))
+
+
+def _expected(n: np.ndarray) -> np.ndarray:
+    m = np.maximum(n, 2)
+    return np.where(n <= 1, 0.0, 2 * (np.log(m - 1) + 0.5772156649) - 2 * (m - 1) / m)
+
+
+def anomaly(forest: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """2 ** -(mean path length / expected path length): near 1 for rows that split off early."""
+    total = np.zeros(len(rows))
+    for node, length in zip(_leaves(forest, rows), forest["length"], strict=True):
         total += length[node]
     return np.exp2(-total / len(forest["feature"]) / max(float(forest["norm"]), 1e-9))
 
@@ -170,7 +188,27 @@ def calibrate(scores: np.ndarray, good: np.ndarray) -> float:
     if not good.any() or good.all():
         return float("inf")
     fine = np.sort(scores[good])
-    return float(np.nextafter(fine[max(0, int(np.ceil(len(fine) * (1 - GOOD_LOSS))) - 1)], 2))
+    return float(np.nextafter(fine[_last_kept(len(fine))], 2))
+
+
+def _last_kept(n: int) -> int:
+    """The rank (from 0) of the last of n good rows that the cut-off keeps."""
+    return max(0, int(np.ceil(n * (1 - GOOD_LOSS))) - 1)
+
+
+def ranked_score(scores: DataFrame, rank: int) -> float:
+    """The score of a rank (from 0) among all scores from 0 to 1, by counts of ever narrower buckets."""
+    low, high = 0.0, 1.0
+    while True:
+        bucket = F.floor((F.col("score") - low) / ((high - low) / 1000)).alias("bucket")
+        inside = scores.where(F.col("score").between(low, high))
+        for r in inside.groupBy(bucket).agg(F.count("*").alias("n"), F.min("score").alias("a"), F.max("score").alias("z")).orderBy("bucket").collect():
+            if rank < r["n"]:
+                break
+            rank -= r["n"]
+        low, high = r["a"], r["z"]
+        if low == high:
+            return low
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
@@ -187,38 +225,73 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int) -> DataF
 
 
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         for lo, hi, data, offs in text_chunks(batch.column("text")):
             counts, features = rule_stats(data, offs)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("good").slice(lo, hi - lo), pa.array(counts[:, 0]), pa.array(list(features), pa.list_(pa.float64()))], names=["good", "n_words", "f"]
-            )
-
-
-def fit(documents: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> tuple[dict, float]:
-    """Forest and cut-off from at most labelled_rows labelled documents (of 50 words and more)."""
-    sample = labelled_sample(documents.select("doc_id", "text"), labels, labelled_rows).select("text", (F.col("quality") > 0).alias("good"))
-    rows = sample.mapInArrow(_features_of, "good boolean, n_words long, f array<double>").where(f"n_words >= {MIN_WORDS}").collect()
-    if not rows:
-        return {}, float("inf")
-    features = np.array([r["f"] for r in rows])
-    good = np.array([r["good"] for r in rows])
-    order = np.lexsort(features.T)
-    features, good = features[order], good[order]
-    held = np.arange(len(good)) % 3 == 0  # in the order of their features, so that both parts are alike
-    if not good[~held].any():
-        return {}, float("inf")
-    forest = grow_forest(features[good & ~held], features.min(0), features.max(0))
-    return forest, calibrate(anomaly(forest, features[held]), good[held])
-
-
-def score_rules(documents: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, carry: list[str] | None = None) -> DataFrame:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(counts[:, 0]), pa.array(list(features), pa.list_(pa.float64()))], names=["doc_id", "n_words", "f"])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def fit(documents: DataFrame, labels: DataFrame) -> tuple[dict, float]:
+    """Forest and cut-off from all labelled documents of 50 words and more.
+
+    A third of them, by the hash of their ids, is held back for the cut-off.
+    """
+    spark: SparkSession = documents.sparkSession
+    kinds = dict(documents.dtypes)
+    stats = documents.select("doc_id", "text").mapInArrow(_features_of, f"doc_id {kinds['doc_id']}, n_words long, f array<double>")
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.max("quality") > 0).alias("good"))
+    rows = stats.where(f"n_words >= {MIN_WORDS}").join(known, "doc_id").select("good", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("held"), "f")
+    rows = staged(rows, "quality-features")
+    try:
+        width = range(rows.select(F.max(F.size("f"))).first()[0] or 0)
+        box = rows.agg(F.count_if(F.col("good") & ~F.col("held")).alias("n"), *[F.min(F.col("f")[i]).alias(f"a{i}") for i in width], *[F.max(F.col("f")[i]).alias(f"z{i}") for i in width]).first()
+        if not box["n"]:
+            return {}, float("inf")
+        splits = split_box(*(np.array([box[f"{side}{i}"] for i in width]) for side in "az"))
+        trees, shape = spark.sparkContext.broadcast(splits), splits["feature"].shape
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(shape, np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    total += leaf_counts(trees.value, _matrix(batch.column("f")))
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["place", "n"])
+
+        counts = np.zeros(shape, np.int64).ravel()
+        for r in rows.where("good and not held").select("f").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+            counts[r["place"]] = r["n"]
+        forest = settle(splits, counts.reshape(shape))
+        grown = spark.sparkContext.broadcast(forest)
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column("good"), pa.array(anomaly(grown.value, _matrix(batch.column("f"))))], names=["good", "score"])
+
+        scores = staged(rows.where("held").select("good", "f").mapInArrow(score, "good boolean, score double"), "quality-scores")
+        seen = scores.agg(F.count("*").alias("n"), F.count_if("good").alias("good")).first()
+        cut = float("inf")
+        if 0 < seen["good"] < seen["n"]:
+            cut = float(np.nextafter(ranked_score(scores.where("good"), _last_kept(seen["good"])), 2))
+        unstage(scores)
+        return forest, cut
+    finally:
+        unstage(rows)
+
+
+def score_rules(documents: DataFrame, labels: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Every document with its rule counts, the forest's anomaly score and the verdict.
 
     Columns: doc_id, the five STATS, base_failed, anomaly, kept, then the carried columns.
     """
     spark: SparkSession = documents.sparkSession
-    forest, cut = fit(documents, labels, labelled_rows)
+    forest, cut = fit(documents, labels)
     model = spark.sparkContext.broadcast((forest, cut))
     carry = carry or []
 
@@ -243,10 +316,10 @@ def score_rules(documents: DataFrame, labels: DataFrame, labelled_rows: int = LA
     return source.mapInArrow(run, schema)
 
 
-def filter_by_rules(documents: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
+def filter_by_rules(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns only."""
     names = [c for c in documents.columns if c != "doc_id"]
     renamed = documents.select("doc_id", *[F.col(f"`{c}`").alias("text" if c == "text" else f"own_{i}") for i, c in enumerate(names)])
-    out = score_rules(renamed, labels, labelled_rows, carry=[c for c in renamed.columns if c != "doc_id"])
+    out = score_rules(renamed, labels, carry=[c for c in renamed.columns if c != "doc_id"])
     kept = out.where("kept").select("doc_id", *[F.col("text" if c == "text" else f"own_{i}").alias(c) for i, c in enumerate(names)])
     return kept.select(*[f"`{c}`" for c in documents.columns])
