@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import text
 from lorekeep.operators import graph, resolution
 from lorekeep.plans.registry import query, table
+from lorekeep.session import dealt
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,9 +115,11 @@ def array_overlap_join(spark: SparkSession, sf: str) -> DataFrame:
 )
 def two_hop_via_events(spark: SparkSession, sf: str) -> DataFrame:
     """Customers and suppliers that meet in orders, the six closest of each."""
-    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    pairs = o.join(li, o["o_orderkey"] == li["l_orderkey"]).groupBy("o_custkey", "l_suppkey").agg(F.count_distinct("o_orderkey").alias("n"))
-    return graph.top_per_group(pairs, ["o_custkey"], [F.desc("n"), F.col("l_suppkey")], 6)
+    o, li = table(spark, sf, "orders").select("o_orderkey", "o_custkey"), table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
+    rows = li.count()
+    met = dealt(o, rows, "o_orderkey").join(dealt(li, rows, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_suppkey", "o_orderkey")
+    pairs = dealt(met, rows, "o_custkey", "l_suppkey").distinct().groupBy("o_custkey", "l_suppkey").agg(F.count("o_orderkey").alias("n"))
+    return graph.top_per_group(dealt(pairs, rows, "o_custkey"), ["o_custkey"], [F.desc("n"), F.col("l_suppkey")], 6)
 
 
 @query(

@@ -97,3 +97,18 @@ def test_consolidate_many_versions_of_one_fact(spark):
     got = facts.consolidate(rows).groupBy("status", "action").count().collect()
     assert time.time() - start < 20
     assert sorted(map(tuple, got)) == [("accepted", "", 1), ("superseded", "closed superseded", n - 1)]
+
+
+def test_tasks_of_two_hops_grow_in_number_not_in_size(spark, monkeypatch):
+    from lorekeep import session
+    from lorekeep.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    query = catalogue.QUERIES["two_hop_via_events"]
+    want = sorted(map(tuple, query(spark, sf).collect()))
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100)
+    got = query(spark, sf)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f", {-(-rows // 100)}), REPARTITION_BY_NUM") >= 4
+    assert sorted(map(tuple, got.collect())) == want
