@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lorekeep import rules
 from lorekeep.functions import text
+from lorekeep.session import staged
 
 
 def _tokens(phrase: Column) -> Column:
@@ -70,19 +71,19 @@ def link_phrases(passages: DataFrame, keys: list[str], column: str, phrases: Dat
     """(keys, entity_ids): what each passage mentions, in order of first mention; the longest phrase at a place wins and takes its words.
 
     Passages without a mention have no row. A passage's words and hits are folded in one row, so passages must be of bounded length.
+    Each word takes those that a phrase could hold after it along, so no passage is cut twice and none is shuffled for its words.
     """
-    index = phrases.select("phrase", F.col("n").alias("_size"), F.col("entity").alias("_entity"))
-    split = passages.select(*keys, F.filter(_tokens(text.normalize_phrase(F.col(column))), lambda w: w != "").alias("_words"))
+    index = staged(phrases.select("phrase", F.col("n").alias("_size"), F.col("entity").alias("_entity")), "phrases")
     heads = index.groupBy(F.split_part("phrase", F.lit(" "), F.lit(1)).alias("_word")).agg(F.collect_set("_size").alias("_lengths"))  # at most LONGEST_PHRASE
-    seen = split.select(*keys, F.explode(F.array_distinct("_words")).alias("_word")).join(heads, "_word")
-    worth = seen.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_word", "_lengths"))).alias("_worth"))
-    at = split.join(worth, keys).select(*keys, "_words", "_worth", F.posexplode("_words").alias("_at", "_word")).where(F.col("_worth")[F.col("_word")].isNotNull())
-    asked = at.select(*keys, "_words", "_at", F.explode(F.col("_worth")[F.col("_word")]).alias("_n")).where(F.col("_at") + F.col("_n") <= F.size("_words"))
-    asked = asked.select(*keys, "_at", F.array_join(F.slice("_words", F.col("_at") + 1, F.col("_n")), " ").alias("_phrase"))
+    heads = staged(heads, "heads")
+    split = passages.select(*keys, F.filter(_tokens(text.normalize_phrase(F.col(column))), lambda w: w != "").alias("_words"))
+    at = split.select(*keys, "_words", F.posexplode_outer("_words").alias("_at", "_word"))  # an inner one is preceded by a filter that splits each passage once more
+    at = at.select(*keys, "_at", "_word", F.slice("_words", F.col("_at") + 1, rules.LONGEST_PHRASE).alias("_next")).join(heads, "_word")
+    asked = at.select(*keys, "_at", "_next", F.explode("_lengths").alias("_n")).where(F.col("_n") <= F.size("_next"))
+    asked = asked.select(*keys, "_at", F.array_join(F.slice("_next", F.lit(1), F.col("_n")), " ").alias("_phrase"))
     met = asked.join(index.withColumnRenamed("phrase", "_phrase"), "_phrase")
-    hits = met.groupBy(*keys, "_at").agg(F.max_by(F.struct("_size", "_entity"), "_size").alias("_hit"))
-    at_size = F.struct(F.col("_at").alias("at"), F.col("_hit._size").alias("n"), F.col("_hit._entity").alias("entity"))
-    rows = hits.groupBy(*keys).agg(F.sort_array(F.collect_list(at_size)).alias("_hits"))
+    longest_first = F.struct(F.col("_at").alias("at"), (-F.col("_size")).alias("less"), F.col("_size").alias("n"), F.col("_entity").alias("entity"))
+    rows = met.groupBy(*keys).agg(F.sort_array(F.collect_list(longest_first)).alias("_hits"))
     none = F.array().cast("array<string>")
 
     def step(acc: Column, hit: Column) -> Column:

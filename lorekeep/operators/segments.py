@@ -31,7 +31,8 @@ def text_passages(documents: DataFrame, limit: int = 1000) -> DataFrame:
     """(doc_id, n, content): paragraphs merged to about `limit` characters, long ones cut at sentences."""
     lines = F.filter(F.transform(F.split("text", r"\n+"), lambda x: F.trim(x)), lambda x: x != "")
     sentences = F.flatten(F.transform(lines, lambda x: F.when(F.length(x) > 1600, F.split(x, r"(?<=[.!?])\s+")).otherwise(F.array(x))))
-    return documents.select("doc_id", F.posexplode(greedy(sentences, limit, "\n")).alias("n", "content"))
+    # an outer explode is not preceded by a filter that folds each text once more
+    return documents.select("doc_id", F.posexplode_outer(greedy(sentences, limit, "\n")).alias("n", "content")).where("n is not null")
 
 
 def transcript_windows(turns: DataFrame, limit: int = 1600) -> DataFrame:

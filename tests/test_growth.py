@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text
-from lorekeep.operators import aliases, facts, grants, reading, retrieval
+from lorekeep.operators import aliases, facts, grants, linking, reading, retrieval
 
 
 def test_best_window_of_a_long_text(spark):
@@ -112,3 +112,11 @@ def test_tasks_of_two_hops_grow_in_number_not_in_size(spark, monkeypatch):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count(f", {-(-rows // 100)}), REPARTITION_BY_NUM") >= 4
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_linking_cuts_a_passage_once(spark):
+    df = spark.createDataFrame([(1, "the big dairy co of acme"), (2, ""), (3, None), (4, "acme big")], "doc long, text string")
+    phrases = spark.createDataFrame([("big dairy", 2, "b"), ("big dairy co", 3, None), ("acme", 1, "a"), ("big", 1, "g"), ("acme big dairy", 3, "x")], "phrase string, n int, entity string")
+    found = linking.link_phrases(df, ["doc"], "text", phrases)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD [doc") == 1
+    assert sorted(map(tuple, found.collect())) == [(1, ["a"]), (4, ["a", "g"])]
