@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from lorekeep.llm import cotraining, minhash_dedup, packing, quality_rules, suffix_dedup
 from lorekeep.session import staged
 
+#: Bytes that a worker may remember while it packs: executors still hold what the stages before have touched.
+PACKING_CACHE = 32 << 20
+
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or that the isolation forest singles out go."""
@@ -38,7 +41,7 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the remaining documents in sequences of at most 4096 ids."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cache_bytes=PACKING_CACHE)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

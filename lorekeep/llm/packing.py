@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.textarrays import text_chunks
-from lorekeep.llm.tokens import encoder
+from lorekeep.llm.tokens import CACHE_BYTES, encoder
 
 CAPACITY = 4096
 GROUP_WINDOWS = 320
@@ -37,18 +37,21 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
     """Split items into k windows of near-equal load; each window is a list of item numbers."""
-    heap = []
-    for item, size in enumerate(sizes):
+
+    def spelled(size: int, item: int, loads: np.ndarray | None, windows: list | None) -> tuple[np.ndarray, list]:
+        if loads is not None:
+            return loads, windows
         loads = np.zeros(k, np.int64)
-        loads[-1] = size
-        windows: list = [None] * k
-        windows[-1] = item
-        heap.append((-size, item, loads, windows))
+        loads[-1] = -size
+        return loads, [None] * (k - 1) + [item]
+
+    # a single item gets its k windows when its turn comes: most of them wait, and would hold k loads each
+    heap: list[tuple] = [(-size, item, None, None) for item, size in enumerate(sizes)]
     heapq.heapify(heap)
     tick = len(sizes)
     while len(heap) > 1:
-        _, _, a, left = heapq.heappop(heap)
-        _, _, b, right = heapq.heappop(heap)
+        a, left = spelled(*heapq.heappop(heap))
+        b, right = spelled(*heapq.heappop(heap))
         loads = a + b[::-1]
         joined = [y if x is None else x if y is None else (x, y) for x, y in zip(left, reversed(right), strict=True)]
         order = np.argsort(loads, kind="stable")
@@ -66,7 +69,7 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
                 out.append(t)
         return sorted(out)
 
-    return [flat(w) for w in heap[0][3]] if heap else []
+    return [flat(w) for w in spelled(*heap[0])[1]] if heap else []
 
 
 def parts_of(rests: list[tuple[int, int, int]], size: int) -> list[list[tuple[int, int, int]]]:
@@ -123,8 +126,8 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[tuple[int, i
             size = max(1, capacity // SHORTEST_PART, size // 2)
 
 
-def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
-    """One row per piece: where it lies in its document and in its sequence."""
+def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 2, cache_bytes: int = CACHE_BYTES) -> DataFrame:
+    """One row per piece: where it lies in its document and in its sequence. cache_bytes: what a worker may remember of parts of texts."""
 
     def pieces(ids: list[int | None], encoded: list[bytes], base: int) -> pa.RecordBatch:
         rows = []
@@ -137,7 +140,7 @@ def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 2) -> Dat
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[c.split(" ")[0] for c in SCHEMA.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer), int(end_id).to_bytes(4, "little")
+        encode, end = encoder(tokenizer, cache_bytes), int(end_id).to_bytes(4, "little")
         ids, held, tokens, base = [], [], 0, TaskContext.get().partitionId() << 40
         for batch in batches:
             names = batch.column("doc_id").to_pylist()

@@ -13,6 +13,7 @@ import re
 import struct
 import unicodedata
 from array import array
+from collections.abc import Callable
 
 #: Unicode white space, as the tokenizers' \s has it.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -39,7 +40,7 @@ ENTRY_BYTES = 170
 class PieceEncoder:
     """ids of whole texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -48,11 +49,11 @@ class PieceEncoder:
         self._parts = _PARTS[self._kind]
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._model = self._tokenizer.model
-        self._known = Remembered()
+        self._known = Remembered(self._merge, cache_bytes)
 
     def _cut(self, text: str) -> tuple[list[str], bool]:
         """The parts of a text, and whether each is one word of the vocabulary's pattern."""
-        if not _LATIN.fullmatch(text) or any(s in text for s in self._special):
+        if not (text.isascii() or _LATIN.fullmatch(text)) or any(s in text for s in self._special):
             return _PIECE.findall(text), False
         if self._kind == "words":  # as the vocabulary's normaliser does
             text = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
@@ -66,20 +67,24 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         self._known.age()
         known = self._known.now
-        cut = [self._cut(t) for t in texts]
-        got = [list(map(known.get, parts)) for parts, _ in cut]
-        gaps = [_places_of_none(g) for g in got]
-        for single in (True, False):
-            new = self._known.missing({parts[i] for (parts, one), gap in zip(cut, gaps, strict=True) if one is single for i in gap})
+        out, left = [], []
+        for text in texts:
+            parts, single = self._cut(text)
             if single:
-                self._known.add({p: self._merge(p) for p in new})
-            elif new:
-                found = self._tokenizer.encode_batch_fast(new, add_special_tokens=False)
-                self._known.add({p: struct.pack(f"<{len(f.ids)}I", *f.ids) for p, f in zip(new, found, strict=True)})
-        for (parts, _), g, gap in zip(cut, got, gaps, strict=True):
+                out.append(b"".join(map(known.__getitem__, parts)))  # new words are merged as they are met
+            else:
+                left.append((len(out), parts, list(map(known.get, parts))))
+                out.append(b"")
+        gaps = [_places_of_none(g) for _, _, g in left]
+        new = self._known.missing({parts[i] for (_, parts, _), gap in zip(left, gaps, strict=True) for i in gap})
+        if new:
+            found = self._tokenizer.encode_batch_fast(new, add_special_tokens=False)
+            self._known.add({p: struct.pack(f"<{len(f.ids)}I", *f.ids) for p, f in zip(new, found, strict=True)})
+        for (k, parts, g), gap in zip(left, gaps, strict=True):
             for i in gap:
                 g[i] = known[parts[i]]
-        return [b"".join(g) for g in got]
+            out[k] = b"".join(g)
+        return out
 
 
 def _places_of_none(found: list) -> list[int]:
@@ -94,16 +99,30 @@ def _places_of_none(found: list) -> list[int]:
 
 
 class Remembered:
-    """A dictionary of what was added or asked for last, CACHE_BYTES large at most between two texts."""
+    """A dictionary of what was added or asked for last, `most` bytes large at most between two texts.
 
-    def __init__(self) -> None:
-        self.now: dict = {}
+    make: what `now` calls for a key that it is asked for by [] and that neither half holds.
+    """
+
+    def __init__(self, make: Callable | None = None, most: int = CACHE_BYTES) -> None:
+        self._make, self._most = make, most
+        self.now: dict = _Now(self)
         self._past: dict = {}
         self._size = 0
 
     def age(self) -> None:
-        if self._size > CACHE_BYTES // 2:
-            self.now, self._past, self._size = {}, self.now, 0
+        if self._size > self._most // 2:
+            self._past, self.now, self._size = dict(self.now), _Now(self), 0
+
+    def made(self, key: object) -> bytes:
+        found = self._past.get(key)
+        if found is None:
+            if self._make is None:
+                raise KeyError(key)
+            found = self._make(key)
+        self.now[key] = found
+        self._size += len(key) + len(found) + ENTRY_BYTES
+        return found
 
     def add(self, entries: dict) -> None:
         self.now.update(entries)
@@ -116,14 +135,24 @@ class Remembered:
         return [k for k in keys if k not in now]
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+class _Now(dict):
+    """The newer half, which makes what it doesn't hold."""
+
+    def __init__(self, owner: Remembered) -> None:
+        self._owner = owner
+
+    def __missing__(self, key: object) -> bytes:
+        return self._owner.made(key)
+
+
+_ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, cache_bytes: int = CACHE_BYTES) -> PieceEncoder:
     """The worker's encoder for a vocabulary file; it stays for the worker's next tasks, until forget() is called."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    if (path, cache_bytes) not in _ENCODERS:
+        _ENCODERS[path, cache_bytes] = PieceEncoder(path, cache_bytes)
+    return _ENCODERS[path, cache_bytes]
 
 
 def forget() -> None:
