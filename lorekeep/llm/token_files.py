@@ -40,6 +40,8 @@ BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 _BIT_LENGTHS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 BLOCK_IDS = 1 << 16
 RUN = 4096
+#: Bytes that a worker may remember of parts of texts: nothing else here needs much memory.
+REMEMBERED_BYTES = 288 << 20
 #: Ranges of ids for every shuffle partition, so that partitions come out even.
 SHARDS = 3
 SCHEMA = "shard int, block int, ids_before long, n_ids long, doc_ids array<long>, lengths array<long>, words binary, starts array<long>, escapes array<long>"
@@ -65,16 +67,16 @@ def pack_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         size = int(COUNTS[c])
         p = 1 << (size.bit_length() - 1)
         w = widest[p]
-        fits = np.maximum(w[:n], w[size - p : size - p + n]) <= BITS[c]
+        fits = np.maximum(w[:n], w[size - p : size - p + n]) <= np.uint8(BITS[c])
         if not fits.any() and c < 12:
             break  # the wider selectors can't fit where a narrower one didn't
-        np.copyto(code, np.uint8(c), where=fits)
-    ahead = (np.arange(n) + COUNTS[code]).tolist()
+        code[fits] = c
+    steps = COUNTS.astype(np.uint8)[code].tobytes()
     at, i = [], 0
     push = at.append
     while i < n:
         push(i)
-        i = ahead[i]
+        i += steps[i]
     at = np.array(at)
     code = code[at]
     padded = np.concatenate([ids, np.zeros(128, np.uint64)])
@@ -84,9 +86,11 @@ def pack_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for c in range(2, len(COUNTS)):
         rows = np.flatnonzero(code == c)
         if len(rows):
-            lanes = np.arange(COUNTS[c])
-            part = padded[at[rows][:, None] + lanes] << (lanes * BITS[c]).astype(np.uint64)
-            words[rows] |= np.bitwise_or.reduce(part, 1)
+            first = at[rows]
+            part = padded[first]
+            for lane in range(1, int(COUNTS[c])):
+                part |= padded[first + lane] << np.uint64(lane * int(BITS[c]))
+            words[rows] |= part
     return words, at, escapes
 
 
@@ -118,7 +122,7 @@ def _encoded(source: DataFrame, tokenizer: str, end_id: int, bounds: list[float]
     """shard, doc_id, wide, ids: the ids of each whole text with the end id, two bytes each, or four (wide)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer), int(end_id).to_bytes(4, "little")
+        encode, end = encoder(tokenizer, REMEMBERED_BYTES), int(end_id).to_bytes(4, "little")
         for batch in batches:
             texts = batch.column("text")
             for lo, hi, _, _ in text_chunks(texts):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tracemalloc
 
+import numpy as np
 import public_tokenizers
 
 from lorekeep.llm import packing, tokens
@@ -27,3 +28,15 @@ def test_encoder_with_a_small_cache_stays_small_and_equal():
     got = [small.encode([t])[0] for t in texts]
     assert got == tokens.PieceEncoder(path).encode(texts)
     assert len(small._known._past) + len(small._known.now) < 600
+
+
+def test_plain_texts_are_encoded_in_one_pass(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["A plain text, with 3 words it's met before.", "A plain text, été\n\n  twice", ""]
+    expected = [np.array(e.ids, "<u4").tobytes() for e in tokens.PieceEncoder(path)._tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def searched(found):
+        raise AssertionError("a second search")
+
+    monkeypatch.setattr(tokens, "_places_of_none", searched)
+    assert tokens.PieceEncoder(path).encode(texts) == expected
