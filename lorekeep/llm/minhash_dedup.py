@@ -42,6 +42,8 @@ ROWS = 5
 MANTISSA_BITS = 10
 #: Standard errors of the register estimate that a candidate may lie under the threshold.
 SLACK = 4.5
+#: Places (bits) of the map that tells before the shuffle which texts can't be wanted.
+PLACES = 1 << 26
 #: Rows of a bucket that meet in one group; larger buckets are dealt into pairs of blocks.
 BLOCK = 1024
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -115,9 +117,8 @@ def signatures(documents: DataFrame, k: int) -> DataFrame:
     return source.mapInArrow(run, "doc_id long, row_key long, n_shingles long, set_key binary, regs binary")
 
 
-def _rows(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+def _rows(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows with a wanted row_key (wanted: row_key, n_rows), row_key included; one each where n_rows is over 1."""
-    keyed = _keyed(documents)
     found = keyed.join(wanted.where("n_rows = 1").select("row_key"), "row_key", "left_semi").select(keyed.columns)
     repeated = wanted.where("n_rows > 1").select("row_key")
     if repeated.isEmpty():
@@ -126,22 +127,35 @@ def _rows(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.union(again.select("row.*"))
 
 
+def _maybe(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose row_key falls on the same place of a map of PLACES bits as a wanted one; PLACES / 64 words are broadcast at most."""
+    place = F.pmod("row_key", F.lit(PLACES))
+    word, bit = F.shiftright(place, 6).alias("word"), place.bitwiseAND(63).cast("int")
+    words = wanted.select(word, F.expr("shiftleft(1L, cast(pmod(row_key, 64) as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    marked = rows.withColumn("word", word).withColumn("at", bit).join(F.broadcast(words), "word")
+    return marked.where(F.getbit("bits", F.col("at")) == 1).select(rows.columns)
+
+
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """The key of each band of register rows, which holds the band's number and its registers."""
+    table = regs.reshape(len(regs), BANDS, ROWS).astype(np.uint64)
+    key = np.zeros(table.shape[:2], np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
+    for j in range(ROWS):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + table[:, :, j])
+    return key.view(np.int64)
+
+
 def _band_keys(regs: DataFrame) -> DataFrame:
-    """(key, doc_id): one row per band; the key holds the band's number and its registers."""
-    width = 2 * ROWS
+    """(key, doc_id): one row per band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(batch.num_rows, BANDS, ROWS).astype(np.uint64)
-            key = np.zeros(table.shape[:2], np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
-            for j in range(ROWS):
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + table[:, :, j])
+            key = band_keys(np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(batch.num_rows, -1))
             ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids)], names=["key", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(ids)], names=["key", "doc_id"])
 
-    assert width * BANDS == 2 * len(_SEEDS)
     return regs.select("doc_id", "regs").mapInArrow(run, "key long, doc_id long")
 
 
@@ -153,7 +167,8 @@ def _sets(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             for lo, sets in shingle_sets(batch.column("text"), k):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "s"])
 
-    rows = _rows(documents.select("doc_id", "text"), wanted).select("row_key", "text")
+    keyed = _maybe(_keyed(documents.select("doc_id", "text")), wanted)  # most texts meet no other, and aren't shuffled
+    rows = _rows(keyed, wanted).select("row_key", "text")
     return rows.join(wanted.select("doc_id", "row_key"), "row_key").select("doc_id", "text").mapInArrow(to_sets, "doc_id long, s binary")
 
 
@@ -194,11 +209,12 @@ def _cross_links(rows: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int
     """Links (a, b) between rows of one bucket with different labels, found inside bounded groups.
 
     rows: key, doc_id, label. Registers first single out the rows with a promising partner; only
-    their full sets travel, and only confirmed links come back.
+    their full sets travel, and only confirmed links come back. A pair that shares several buckets is
+    compared in the first of them only, by the number of its band.
     """
     least = _least(percent)
 
-    def candidates(own: np.ndarray, label: np.ndarray, n: np.ndarray, regs: np.ndarray, low: bool) -> Iterator[tuple[int, np.ndarray]]:
+    def candidates(own: np.ndarray, label: np.ndarray, n: np.ndarray, regs: np.ndarray, low: bool, earlier: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         for i in range(len(label)):
             fits = (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
             if not low:  # pairs inside a block belong to that block's own group
@@ -206,6 +222,7 @@ def _cross_links(rows: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int
             fits[: i + 1] = False
             at = np.flatnonzero(fits)
             if len(at):
+                at = at[~(earlier[at] == earlier[i]).any(1)]
                 at = at[estimate(regs[at], regs[i], n[at], n[i]) >= least]
                 if len(at):
                     yield i, at
@@ -214,7 +231,9 @@ def _cross_links(rows: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int
         regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(table.num_rows, -1)
         own, label, n = (table.column(c).to_numpy() for c in ("own", "label", "n"))
         same = table.column("low")[0].as_py() == table.column("high")[0].as_py()
-        return own, label, n, regs, same
+        keys = band_keys(regs)
+        band = int(np.flatnonzero(keys[0] == table.column("key")[0].as_py())[0])
+        return own, label, n, regs, same, keys[:, :band]
 
     def mark(table: pa.Table) -> pa.Table:
         hit = np.zeros(table.num_rows, bool)
@@ -226,9 +245,9 @@ def _cross_links(rows: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int
     def confirm(table: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("s")]
         ids, found = table.column("doc_id").to_numpy(), []
-        own, label, n, regs, same = arrays(table)
+        own, label, n, regs, same, earlier = arrays(table)
         label = label.copy()
-        for i, at in candidates(own, label, n, regs, same):
+        for i, at in candidates(own, label, n, regs, same, earlier):
             for j in at:
                 if label[i] != label[j] and _linked(sets[i], sets[j], percent):
                     found.append((ids[i], ids[j]))
@@ -328,4 +347,4 @@ def drop_near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) ->
     heads = _firsts(rows, links).groupBy("group").agg(F.min("first").alias("head"))
     alone = rows.where("set_id is null").select("row_key", F.when(F.col("doc_id").isNull(), 1).otherwise(F.col("n_rows")).alias("n_rows"))
     kept = staged(heads.select("head.row_key", "head.n_rows").union(alone), "kept")
-    return _rows(documents, kept).select(documents.columns)
+    return _rows(_keyed(documents), kept).select(documents.columns)

@@ -6,11 +6,25 @@ import tracemalloc
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from lorekeep.llm import packing, tokens
+from lorekeep.llm import minhash_dedup, packing, tokens
 from lorekeep.session import staged
 
 
+def _shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return sum(blocks.apply(i).name().startswith("shuffle_") for i in range(blocks.size()))
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    before = _shuffle_files(spark)
+    wide = spark.range(2000).repartition(7, "id").groupBy((F.col("id") % 13).alias("k")).count()
+    tables = [staged(wide, "left-over"), staged(wide, "left-over")]
+    assert _shuffle_files(spark) <= before
+    assert [t.agg(F.sum("count")).first()[0] for t in tables] == [2000, 2000]
+
+
 def test_differencing_holds_loads_of_merged_items_only():
     sizes = [64 + 7 * i % 448 for i in range(4000)]
     tracemalloc.start()
@@ -40,3 +54,29 @@ def test_plain_texts_are_encoded_in_one_pass(monkeypatch):
 
     monkeypatch.setattr(tokens, "_places_of_none", searched)
     assert tokens.PieceEncoder(path).encode(texts) == expected
+
+
+def test_minhash_keeps_unwanted_texts_from_the_shuffle(spark):
+    rows = spark.range(3000).select("id", F.xxhash64("id").alias("row_key"))
+    wanted = rows.where("id % 50 = 0").select("row_key")
+    kept = {r["id"] for r in minhash_dedup._maybe(rows, wanted).collect()}
+    assert {i for i in range(0, 3000, 50)} <= kept and len(kept) < 70
+
+
+def test_minhash_compares_a_pair_in_its_first_bucket_only(spark, monkeypatch):
+    """Four texts, all in the same 32 buckets and under the threshold, are marked once, not in every bucket."""
+    regs = np.arange(len(minhash_dedup._SEEDS), dtype=np.uint16)
+    keys = minhash_dedup.band_keys(regs[None, :])[0].tolist()
+    rows = spark.createDataFrame([(k, d, d) for k in keys for d in range(4)], "key long, doc_id long, label long")
+    sigs = spark.createDataFrame([(d, bytearray(regs.tobytes()), 9) for d in range(4)], "doc_id long, regs binary, n_shingles long")
+    sets = spark.createDataFrame([(d, bytearray(np.arange(9 * d, 9 * d + 9, dtype=np.uint64).tobytes())) for d in range(4)], "doc_id long, s binary")
+    marked = []
+
+    def counted(df, name):
+        out = staged(df, name)
+        marked.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "staged", counted)
+    assert minhash_dedup._cross_links(rows, sigs, sets, 80).count() == 0
+    assert marked == [4]
