@@ -43,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm.textarrays import mix, shingle_hashes, span_hashes, text_chunks, words
@@ -85,6 +85,11 @@ def sequences(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, n
         yield lo, grams, begin, np.diff(first)
 
 
+def _places(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... (size places) of each run, one run after the other."""
+    return np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+
+
 def sliding_minima(hashes: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
     """Places that are the smallest (the leftmost, on ties) of some `width` places in a row of one sequence."""
     n = len(hashes)
@@ -97,7 +102,7 @@ def sliding_minima(hashes: np.ndarray, begin: np.ndarray, width: int) -> np.ndar
     ahead = np.minimum.accumulate(grid, 1).ravel()
     behind = np.ascontiguousarray(np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1]).ravel()
     low = (np.minimum(behind[: n - width + 1], ahead[width - 1 : n]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    low = low[np.arange(size.sum()) + np.repeat(begin[:-1] - np.cumsum(size) + size, size)]
+    low = low[_places(begin[:-1], size)]
     return low[np.concatenate([[True], low[1:] != low[:-1]])]
 
 
@@ -154,7 +159,8 @@ def signatures(grams: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.nda
         own = np.maximum(left, centre - WIDTH + 1) - begin[text] + starts[text]
         cuts.append(own)
         found.append((own, centre))
-    lo = np.unique(np.concatenate(cuts))
+    lo = np.sort(np.concatenate(cuts), kind="stable")  # runs in order are merged
+    lo = lo[np.append(True, lo[1:] != lo[:-1])[: len(lo)]]
     hi = np.append(lo[1:], starts[-1]) - 1
     key, first = np.zeros(len(lo), np.uint64), None
     for own, centre in found:
@@ -166,21 +172,42 @@ def signatures(grams: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _run_digests(grams: np.ndarray, width: int) -> np.ndarray:
-    """A digest of every `width` shingles in a row of one text."""
-    n = len(grams) - width + 1
-    out = np.zeros(max(n, 0), np.uint64)
-    for j in range(width if n > 0 else 0):
-        out = out * _ODD[-1] + grams[j : j + n]
-    return mix(out, width)
-
-
-ROW = ["key", "text", "at", "lo", "hi"]
-SEED = ["key", "a", "a_at", "a_lo", "a_hi", "b", "b_at", "b_lo", "b_hi"]
-_SEED_SCHEMA = ", ".join(f"{c} {'long' if c in ('key', 'a', 'b') else 'int'}" for c in SEED)
-#: What a task sends: rows that go on (0), seeds (1), and the words of each text (2: a, a_at).
+    """A digest of every `width` shingles in a row; runs are put together from runs of half the width."""
+
+    def digests(width: int) -> np.ndarray:
+        if width == 1:
+            return grams
+        half = width // 2
+        part = digests(half)
+        out = part[:-half] * _ODD[-1] ** np.uint64(half) + part[half:]
+        return out if width % 2 == 0 else out[:-1] * _ODD[-1] + grams[width - 1 :]
+
+    return mix(digests(width), width) if len(grams) >= width else np.zeros(0, np.uint64)
+
+
+#: A run is one number (packed): the rows and seeds of all texts are what the operator moves.
+ROW = ["key", "text", "run"]
+SEED = ["key", "a", "a_run", "b", "b_run"]
+_SEED_SCHEMA = ", ".join(f"{c} long" for c in SEED)
+#: What a task sends: rows that go on (0), seeds (1), and the words of each text (2: a, a_run).
 _MET_SCHEMA = "kind byte, " + _SEED_SCHEMA
 
 
+def packed(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Runs as numbers, in the order of lo; at and hi lie less than WIDTH places behind it."""
+    return lo << 16 | at - lo << 8 | hi - lo
+
+
+def unpacked(run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(at, lo, hi) of packed runs."""
+    lo = run >> 16
+    return lo + (run >> 8 & 255), lo, lo + (run & 255)
+
+
+def _at(run: str) -> Column:
+    return F.shiftright(run, 16) + F.shiftright(run, 8).bitwiseAND(255)
+
+
 def meet(rows: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Seeds between rows (ROW) of one key, and the first row of each key; the rows of a text follow each other.
 
@@ -188,7 +215,7 @@ def meet(rows: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     that lies a passage before it, or else the first one.
     """
     order = np.argsort(rows[0], kind="stable")
-    key, text, at, lo, hi = rows = [x[order] for x in rows]
+    key, text, run = rows = [x[order] for x in rows]
     n = len(key)
     new_key, new_text = np.ones(n, bool), np.ones(n, bool)
     new_key[1:] = key[1:] != key[:-1]
@@ -197,9 +224,9 @@ def meet(rows: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     own = np.flatnonzero(new_text)[np.cumsum(new_text)[b] - 1]
     a = np.where(own == b, np.flatnonzero(new_key)[np.cumsum(new_key)[b] - 1], own)
     again = np.flatnonzero(own < b)
-    run = np.cumsum(new_text) << 32 | at
-    a[again] = np.maximum(own[again], np.searchsorted(run, run[b[again]] - MIN_WORDS, "right") - 1)
-    seeds = [key[b], text[a], at[a], lo[a], hi[a], text[b], at[b], lo[b], hi[b]]
+    place = np.cumsum(new_text) << 32 | unpacked(run)[0]
+    a[again] = np.maximum(own[again], np.searchsorted(place, place[b[again]] - MIN_WORDS, "right") - 1)
+    seeds = [key[b], text[a], run[a], text[b], run[b]]
     return seeds, [x[new_key] for x in rows]
 
 
@@ -208,23 +235,29 @@ def _batch(kind: int, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(cols[0]), 100_000):
         part = [c[at : at + 100_000] for c in cols]
         n = len(part[0])
-        arrays = [pa.array(c.astype(np.int64) if name in ("key", "a", "b") else c.astype(np.int32)) for name, c in zip(SEED, part, strict=False)]
-        arrays += [pa.nulls(n, pa.int64() if name == "b" else pa.int32()) for name in SEED[len(part) :]]
+        arrays = [*map(pa.array, part), *[pa.nulls(n, pa.int64())] * (len(SEED) - len(part))]
         yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), *arrays], names=["kind", *SEED])
 
 
-def _gathered(parts: Iterator[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Lets the rows of a task meet, LOCAL_ROWS at a time; the first row of each key goes on."""
+def _gathered(parts: Iterator[list[np.ndarray]], apart: bool = False) -> Iterator[pa.RecordBatch]:
+    """Lets the rows of a task meet, LOCAL_ROWS at a time; the first row of each key goes on.
+
+    apart: seeds inside one text that lie less than a passage apart are left out.
+    """
     held, n = [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         seeds, firsts = meet([np.concatenate(x) for x in zip(*held, strict=True)])
+        if apart:
+            _, a, a_run, b, b_run = seeds
+            far = (a != b) | (unpacked(b_run)[0] - unpacked(a_run)[0] >= MIN_WORDS)
+            seeds = [x[far] for x in seeds]
         yield from _batch(1, seeds)
         yield from _batch(0, firsts)
 
     for part in parts:
-        if len(part) == 3:  # words of texts
-            yield from _batch(2, part)
+        if len(part) == 2:  # words of texts
+            yield from _batch(2, [np.zeros_like(part[1]), *part])
             continue
         held.append(part)
         n += len(part[0])
@@ -251,9 +284,9 @@ def _signature_rows(texts: DataFrame) -> DataFrame:
                 del recent[next(iter(recent))]
             names = names[fresh]
             for lo, grams, begin, n_words in sequences(batch.column("text").take(pa.array(fresh, pa.int64()))):
-                yield [np.zeros(len(n_words), np.int64), names[lo : lo + len(n_words)], n_words]
-                key, text, at, first, last = signatures(grams, begin)
-                yield [key.view(np.int64), names[lo + text], at, first, last]
+                yield [names[lo : lo + len(n_words)], n_words]
+                key, text, *run = signatures(grams, begin)
+                yield [key.view(np.int64), names[lo + text], packed(*run)]
 
     return texts.mapInArrow(lambda batches: _gathered(rows(batches)), _MET_SCHEMA)
 
@@ -263,51 +296,53 @@ def _asked(docs: DataFrame, heads: DataFrame, asks: DataFrame) -> DataFrame:
     return docs.join(asks.join(heads.select("text_key", "doc_id"), "text_key"), ["text_key", "doc_id"])
 
 
-def repeated_runs(n: int, lo: np.ndarray, hi: np.ndarray, mixed: np.ndarray) -> np.ndarray:
-    """Places of n where a run of MIN_SHINGLES may stand again: all its signatures are repeated (lo..hi), one at least in a mixed group."""
-    size = n - MIN_SHINGLES + 1
-    if size <= 0:
-        return np.zeros(0, np.int64)
+def repeated_runs(begin: np.ndarray, lo: np.ndarray, hi: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+    """Places where a run of MIN_SHINGLES in one text may stand again: all its signatures are repeated (lo..hi), one at least in a mixed group.
+
+    begin: the first place of each text, with an end; lo and hi count over all texts.
+    """
+    n = begin[-1]
+    places = _places(begin[:-1], np.maximum(np.diff(begin) - MIN_SHINGLES + 1, 0))
 
     def covered(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         edge = np.bincount(lo, minlength=n + 1)[: n + 1] - np.bincount(hi + 1, minlength=n + 1)[: n + 1]
         sums = np.zeros(n + 2, np.int64)
         np.cumsum(np.cumsum(edge) > 0, out=sums[1:])
-        span = MIN_SHINGLES - WIDTH + 1
-        return sums[span : span + size] - sums[:size]
+        return sums[places + MIN_SHINGLES - WIDTH + 1] - sums[places]
 
-    return np.flatnonzero((covered(lo, hi) == MIN_SHINGLES - WIDTH + 1) & (covered(lo[mixed], hi[mixed]) > 0))
+    return places[(covered(lo, hi) == MIN_SHINGLES - WIDTH + 1) & (covered(lo[mixed], hi[mixed]) > 0)]
 
 
-def longer_keys(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
-    """Rows (ROW without text) of one text: the signatures with these runs, each with the minima NEAR to FAR places away.
+def longer_keys(x: np.ndarray, begin: np.ndarray, text: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
+    """Rows (ROW; text as its number) of texts: the signatures with these runs, each with the minima NEAR to FAR places away.
 
-    Keys are even; a row that occurs twice is sent once.
+    begin: the first shingle of each text, with an end; text, lo, hi: the runs. Keys are even; a row that occurs twice is sent once.
     """
-    ends = np.array([0, len(x)])
-    key, _, at, first, last = signatures(x, ends)
-    own = np.isin(first << 32 | last, lo.astype(np.int64) << 32 | hi)
-    key, at, first, last = key[own], at[own], first[own], last[own]
+    key, own, at, first, last = signatures(x, begin)
+    runs, asked = own << 32 | first, text << 32 | lo
+    found = np.minimum(np.searchsorted(runs, asked), max(len(runs) - 1, 0))
+    found = np.unique(found[(runs[found] == asked) & (last[found] == hi)]) if len(runs) else found[:0]
+    key, own, at, first, last = (c[found] for c in (key, own, at, first, last))
+    place = at + begin[own]
     h = x * _ODD[HASHES]
-    fine = np.unique(sliding_minima((h ^ h >> np.uint64(32)) * _ODD[0], ends, FINE))
+    fine = sliding_minima((h ^ h >> np.uint64(32)) * _ODD[0], begin, FINE)
     out = []
     for side, (near, far) in enumerate(((NEAR, FAR), (-FAR, -NEAR))):
-        begin, end = np.searchsorted(fine, at + near), np.searchsorted(fine, at + far, "right")
-        sizes = end - begin
-        row = np.repeat(np.arange(len(at)), sizes)
-        place = fine[np.arange(len(row)) + np.repeat(begin - np.cumsum(sizes) + sizes, sizes)]
-        out.append((mix(key[row] * _ODD[-1] + x[place], side + 1) & ~np.uint64(1), row))
+        low = np.searchsorted(fine, np.maximum(place + near, begin[own]))
+        size = np.maximum(np.searchsorted(fine, np.minimum(place + far, begin[own + 1] - 1), "right") - low, 0)
+        row = np.repeat(np.arange(len(at)), size)
+        out.append((mix(key[row] * _ODD[-1] + x[fine[_places(low, size)]], side + 1) & ~np.uint64(1), row))
     longer, row = (np.concatenate(c) for c in zip(*out, strict=True))
-    order = np.lexsort((longer, at[row]))
+    order = np.lexsort((longer, place[row]))
     longer, row = longer[order], row[order]
     new = np.ones(len(row), bool)
-    new[1:] = (longer[1:] != longer[:-1]) | (at[row[1:]] != at[row[:-1]])
+    new[1:] = (longer[1:] != longer[:-1]) | (place[row[1:]] != place[row[:-1]])
     row = row[new]
-    return [longer[new].view(np.int64), at[row], first[row], last[row]]
+    return [longer[new].view(np.int64), own[row], at[row], first[row], last[row]]
 
 
 def _refined_rows(docs: DataFrame, heads: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Like _signature_rows, for texts with rows of mixed groups (ranges: text_key, lo, hi, mixed).
+    """Like _signature_rows, for texts with rows of mixed groups (ranges: text_key, run, mixed).
 
     Even keys are the longer ones of the rows of mixed groups, odd ones the digests of the texts' repeated_runs.
     """
@@ -317,21 +352,22 @@ def _refined_rows(docs: DataFrame, heads: DataFrame, ranges: DataFrame) -> DataF
             names = batch.column("text_key").to_numpy()
             spans = batch.column("spans")
             for lo, grams, begin, n_words in sequences(batch.column("text")):
-                for k in range(len(n_words)):
-                    own = spans[lo + k].values
-                    first, last, mixed = (own.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi", "mixed"))
-                    x = grams[begin[k] : begin[k + 1]]
-                    key, at, run_lo, run_hi = longer_keys(x, first[mixed], last[mixed])
-                    if len(key):
-                        yield [key, np.full(len(key), names[lo + k]), at, run_lo, run_hi]
-                    at = repeated_runs(len(x), first, last, mixed)
-                    if len(at):
-                        digests = _run_digests(x, MIN_SHINGLES)[at] | np.uint64(1)
-                        yield [digests.view(np.int64), np.full(len(at), names[lo + k]), at, at, at]
-
-    spans = ranges.groupBy("text_key").agg(F.collect_list(F.struct("lo", "hi", "mixed")).alias("spans"), F.max("mixed").alias("any")).where("any").drop("any")
+                held = spans.slice(lo, len(n_words))
+                text = np.repeat(np.arange(len(n_words)), held.value_lengths().to_numpy())
+                run, mixed = (held.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("run", "mixed"))
+                _, first, last = unpacked(run)
+                key, own, *run = longer_keys(grams, begin, text[mixed], first[mixed], last[mixed])
+                if len(key):
+                    yield [key, names[lo + own], packed(*run)]
+                place = repeated_runs(begin, first + begin[text], last + begin[text], mixed)
+                if len(place):
+                    own = np.searchsorted(begin, place, "right") - 1
+                    at = place - begin[own]
+                    yield [(_run_digests(grams, MIN_SHINGLES)[place] | np.uint64(1)).view(np.int64), names[lo + own], packed(at, at, at)]
+
+    spans = ranges.groupBy("text_key").agg(F.collect_list(F.struct("run", "mixed")).alias("spans"), F.max("mixed").alias("any")).where("any").drop("any")
     asked = _asked(docs, heads, spans).select("text_key", "text", "spans")
-    return asked.mapInArrow(lambda batches: _gathered(rows(batches)), _MET_SCHEMA)
+    return asked.mapInArrow(lambda batches: _gathered(rows(batches), apart=True), _MET_SCHEMA)
 
 
 def _seeds(rows: DataFrame) -> DataFrame:
@@ -350,13 +386,13 @@ def _seeds(rows: DataFrame) -> DataFrame:
             first = np.flatnonzero(new)[np.cumsum(new) - 1]
             b = np.flatnonzero(cols[1] != cols[1][first])
             a = first[b]
-            key, text, at, lo, hi = cols
-            for part in _batch(1, [key[b], text[a], at[a], lo[a], hi[a], text[b], at[b], lo[b], hi[b]]):
+            key, text, run = cols
+            for part in _batch(1, [key[b], text[a], run[a], text[b], run[b]]):
                 yield part.drop_columns(["kind"])
             lead = [c[first[-1] : first[-1] + 1] for c in cols]
 
-    firsts = rows.where("kind = 0").select("key", F.col("a").alias("text"), F.col("a_at").alias("at"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi"))
-    met = firsts.repartition("key").sortWithinPartitions("key", "text", "at").mapInArrow(sweep, _SEED_SCHEMA)
+    firsts = rows.where("kind = 0").select("key", F.col("a").alias("text"), F.col("a_run").alias("run"))
+    met = firsts.repartition("key").sortWithinPartitions("key", "text", "run").mapInArrow(sweep, _SEED_SCHEMA)
     return rows.where("kind = 1").select(SEED).union(met)
 
 
@@ -401,14 +437,15 @@ def _regions(seeds: DataFrame) -> DataFrame:
     Pairs are dealt by both texts and sorted; a batch's last pair waits for the next batch, so that memory
     holds a batch and one pair, whose rows two texts bound.
     """
-    names = ("a", "b", "a_at", "shift", "a_lo", "a_hi")
     out = ["a", "b", "a_lo", "a_hi", "b_lo", "b_hi"]
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         emit = lambda rows: pa.RecordBatch.from_arrays([pa.array(x) for x in regions(*rows)], names=out)
         for batch in batches:
-            rows = [batch.column(c).to_numpy().astype(np.int64) for c in names]
+            a, a_run, b, b_run = (batch.column(c).to_numpy() for c in SEED[1:])
+            at, lo, hi = unpacked(a_run)
+            rows = [a, b, at, unpacked(b_run)[0] - at, lo, hi]
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
             if not len(rows[0]):
@@ -421,7 +458,7 @@ def _regions(seeds: DataFrame) -> DataFrame:
         if held is not None and len(held[0]):
             yield emit(held)
 
-    placed = seeds.where(f"a <> b or b_at - a_at >= {MIN_WORDS}").select("a", "b", "a_at", (F.col("b_at") - F.col("a_at")).alias("shift"), "a_lo", "a_hi")
+    placed = seeds.where((F.col("a") != F.col("b")) | (_at("b_run") - _at("a_run") >= MIN_WORDS)).select(SEED[1:])
     return placed.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(sweep, ", ".join(f"{c} long" for c in out))
 
 
@@ -431,18 +468,20 @@ def longest_stretch(shared: np.ndarray, least: int, density: float) -> list[tupl
     From each place on, the furthest end that holds the share; the first place with one of `least` places
     counts, and the search goes on behind it. Where in a stretch the edits lie makes no difference.
     """
+    begins = shared.nonzero()[0]
+    if len(begins) < density * least - 1 or begins[-1] - begins[0] + 1 < least:
+        return []
     sums = np.zeros(len(shared) + 1)
-    np.cumsum(np.where(shared, 1 - density, -density), out=sums[1:])
-    after = np.maximum.accumulate(sums[::-1])[::-1]  # the highest total from here on
-    begins = np.flatnonzero(shared)
-    ends = np.searchsorted(-after, -(sums[begins] - 1e-9), "right") - 2
-    ends = begins[np.searchsorted(begins, ends, "right") - 1]  # back to a shared place
+    np.cumsum(shared - density, out=sums[1:])
+    after = np.maximum.accumulate(sums[::-1])  # the highest total from here on, last place first
+    ends = len(shared) - after.searchsorted(sums[begins] - 1e-9)
+    ends = begins[begins.searchsorted(ends - 1, "right") - 1]  # back to a shared place
     long = ends - begins + 1 >= least
     begins, ends = begins[long], ends[long]
     out, k = [], 0
     while k < len(begins):
         out.append((int(begins[k]), int(ends[k])))
-        k = int(np.searchsorted(begins, ends[k], "right"))
+        k = int(begins.searchsorted(ends[k], "right"))
     return out
 
 
@@ -452,32 +491,51 @@ def verify(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int]]:
     Each side of a passage holds a share of SIMILARITY at least, and two sides that both hold the last of the
     DENSITIES are one in any case: stretches are sought by rising shares until the Jaccard is met.
     """
+    return _passages(*_numbered(x, y))
+
+
+def _numbered(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The shingles of x and y as numbers, and how many there are."""
+    both = np.concatenate([x, y])
+    order = both.argsort()
+    ranked = both[order]
+    number = np.zeros(len(both), np.int64)
+    (ranked[1:] != ranked[:-1]).cumsum(out=number[1:])
+    codes = np.empty_like(number)
+    codes[order] = number
+    return codes[: len(x)], codes[len(x) :], int(number[-1]) + 1 if len(number) else 0
+
+
+def _passages(x: np.ndarray, y: np.ndarray, n: int) -> list[tuple[int, int, int, int]]:
+    """verify() for shingles that are numbered up to n."""
     found: list[tuple[int, int, int, int]] = []
-    distinct, codes = np.unique(np.concatenate([x, y]), return_inverse=True)
-    x, y = codes[: len(x)], codes[len(x) :]
 
     def holds(part: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(distinct), bool)
+        out = np.zeros(n, bool)
         out[part] = True
         return out
 
     in_y = holds(y)[x]
-    if in_y.sum() < SIMILARITY * MIN_SHINGLES:
+    if np.count_nonzero(in_y) < SIMILARITY * MIN_SHINGLES:
         return found
     for density in DENSITIES:
+        stretches = longest_stretch(in_y, MIN_SHINGLES, density)
+        if not stretches:  # nor is there one of a higher share
+            break
         missed = False
-        for a, b in longest_stretch(in_y, MIN_SHINGLES, density):
+        for a, b in stretches:
             if any(f[0] <= a and b <= f[1] for f in found):
                 continue
             part = x[a : b + 1]
-            for c, d in longest_stretch(holds(part)[y], MIN_SHINGLES, density):
+            in_part = holds(part)[y]
+            for c, d in longest_stretch(in_part, MIN_SHINGLES, density):
                 other = y[c : d + 1]
                 # trim to what both sides hold
-                mine, theirs = np.flatnonzero(holds(other)[part]), np.flatnonzero(holds(part)[other])
+                mine, theirs = holds(other)[part].nonzero()[0], in_part[c : d + 1].nonzero()[0]
                 p, q = part[mine[0] : mine[-1] + 1], other[theirs[0] : theirs[-1] + 1]
                 u, v = holds(p), holds(q)
-                both = int((u & v).sum())
-                if min(len(p), len(q)) >= MIN_SHINGLES and both >= SIMILARITY * (int(u.sum()) + int(v.sum()) - both):
+                both = np.count_nonzero(u & v)
+                if min(len(p), len(q)) >= MIN_SHINGLES and both >= SIMILARITY * np.count_nonzero(u | v):
                     found.append((a + int(mine[0]), a + int(mine[-1]), c + int(theirs[0]), c + int(theirs[-1])))
                 else:
                     missed = True
@@ -492,10 +550,11 @@ def verify_apart(x: np.ndarray, y: np.ndarray, ahead: int) -> list[tuple[int, in
     The middle of the overlap is tried first; while a passage ends at the cut, the cut moves on to where it may reach further.
     """
     out: list[tuple[int, int, int, int]] = []
+    x, y, n = _numbered(x, y)
     cut = (ahead + len(x)) // 2
     up, down = list(range(cut + CUT_STEP, len(x) + 1, CUT_STEP)), list(range(cut - CUT_STEP, ahead - 1, -CUT_STEP))
     while True:
-        found = verify(x[:cut], y[cut - ahead :])
+        found = _passages(x[:cut], y[cut - ahead :], n)
         out += [(p, q, r + cut - ahead, s + cut - ahead) for p, q, r, s in found]
         if found:
             left, right = any(q == cut - 1 for _, q, _, _ in found), any(r == 0 for _, _, r, _ in found)
@@ -515,27 +574,20 @@ def _verified(found: DataFrame, docs: DataFrame, heads: DataFrame) -> DataFrame:
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-
-        def flush(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=["pair", "side", "text", "at", "body"])
-
         for batch in batches:
-            out, size = [], 0
-            names, asked = batch.column("text_key").to_pylist(), batch.column("asks")
-            for k, text in enumerate(names):
-                _, _, data, offs = next(text_chunks(batch.column("text").slice(k, 1)))
-                starts, ends, _ = words(data, offs)
-                for ask in asked[k].as_py():
-                    at = ask["lo"]
-                    body = data[starts[at] : ends[min(ask["hi"] + SHINGLE, len(ends)) - 1]].tobytes()
-                    out.append((ask["pair"], ask["side"], text, at, body))
-                    size += len(body)
-                    if size > CUT_BYTES:
-                        yield flush(out)
-                        out, size = [], 0
-            if out:
-                yield flush(out)
+            names, asked = batch.column("text_key").to_numpy(), batch.column("asks")
+            for lo, hi, data, offs in text_chunks(batch.column("text")):
+                starts, ends, first = words(data, offs)
+                held = asked.slice(lo, hi - lo)
+                text = np.repeat(np.arange(hi - lo), held.value_lengths().to_numpy())
+                pair, side, at, last = (held.flatten().field(c).to_numpy() for c in ("pair", "side", "lo", "hi"))
+                begin = starts[first[text] + at]
+                end = ends[np.minimum(first[text] + last + SHINGLE, first[text + 1]) - 1]
+                full = np.flatnonzero(np.diff(np.cumsum(end - begin) // CUT_BYTES)) + 1
+                for k in np.split(np.arange(len(text)), full):
+                    bodies = [data[i:j].tobytes() for i, j in zip(begin[k].tolist(), end[k].tolist(), strict=True)]
+                    cols = [pa.array(x) for x in (pair[k], side[k], names[lo + text[k]], at[k])]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(bodies, pa.binary())], names=["pair", "side", "text", "at", "body"])
 
     # a text travels once for every ASKS of its regions, however many it has
     spread = sides.groupBy("text_key").agg(F.ceil(F.count("*") / ASKS).alias("parts"))
@@ -567,6 +619,7 @@ def _verified(found: DataFrame, docs: DataFrame, heads: DataFrame) -> DataFrame:
 
 def _outside(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """The seeds that lie in no verified passage of their pair; inside one text, those with a side in no passage of the text with itself."""
+    seeds = seeds.select("*", _at("a_run").alias("a_at"), _at("b_run").alias("b_at"))
     passages = links.select(F.col("a").alias("pa"), F.col("b").alias("pb"), *(F.col(c).alias(f"p{c}") for c in ("a_lo", "a_hi", "b_lo", "b_hi")))
     inside = F.col("a_at").between(F.col("pa_lo"), F.col("pa_hi")) & F.col("b_at").between(F.col("pb_lo"), F.col("pb_hi"))
     two = seeds.where("a <> b").join(passages.where("pa <> pb"), (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")) & inside, "left_anti")
@@ -574,15 +627,15 @@ def _outside(seeds: DataFrame, links: DataFrame) -> DataFrame:
     spans = _merged(own.select(F.col("a").alias("text_key"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi")).union(own.select("a", "b_lo", "b_hi")))
     held = lambda rows, at: rows.join(spans, (F.col("a") == F.col("text_key")) & F.col(at).between(F.col("lo"), F.col("hi")), "left").withColumn(f"{at}_in", F.col("lo").isNotNull()).drop(*spans.columns)
     one = held(held(seeds.where(f"a = b and b_at - a_at >= {MIN_WORDS}"), "a_at"), "b_at").where("not (a_at_in and b_at_in)")
-    return two.unionByName(one.drop("a_at_in", "b_at_in"))
+    return two.unionByName(one.drop("a_at_in", "b_at_in")).select(SEED)
 
 
 def _ranges(seeds: DataFrame, links: DataFrame) -> DataFrame:
-    """(text_key, lo, hi, mixed): the runs of all seeds; mixed where a seed of the group lies in no verified passage of its pair."""
+    """(text_key, run, mixed): the runs of all seeds; mixed where a seed of the group lies in no verified passage of its pair."""
     alone = _outside(seeds, links).select("key").distinct()
     marked = seeds.join(alone.withColumn("mixed", F.lit(True)), "key", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)))
-    sides = marked.select(F.col("a").alias("text_key"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi"), "mixed").union(marked.select("b", "b_lo", "b_hi", "mixed"))
-    return sides.groupBy("text_key", "lo", "hi").agg(F.max("mixed").alias("mixed"))
+    sides = marked.select(F.col("a").alias("text_key"), F.col("a_run").alias("run"), "mixed").union(marked.select("b", "b_run", "mixed"))
+    return sides.groupBy("text_key", "run").agg(F.max("mixed").alias("mixed"))
 
 
 def _links(docs: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -592,7 +645,7 @@ def _links(docs: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     rows = staged(_signature_rows(docs.select("text_key", "text")), "signatures")
     seeds = staged(_seeds(rows), "seeds")
-    copied = rows.where("kind = 2").select(F.col("a").alias("text_key"), F.col("a_at").cast("long").alias("n_words")).distinct()
+    copied = rows.where("kind = 2").select(F.col("a").alias("text_key"), F.col("a_run").alias("n_words")).distinct()
     copied = staged(copied.join(heads.where("copies > 1").select("text_key"), "text_key"), "copied")
     unstage(rows)
     links = staged(_verified(_regions(seeds), docs, heads), "passages")
@@ -602,9 +655,8 @@ def _links(docs: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
     unstage(rows)
     longer = _outside(again.where("key & 1 = 0"), links)
     links = staged(links.union(_verified(_regions(longer), docs, heads)).distinct(), "passages")
-    end = lambda c: (F.col(c) + MIN_SHINGLES - 1).cast("long")
-    equal = again.where(f"key & 1 = 1 and (a <> b or b_at - a_at >= {MIN_WORDS})")
-    equal = equal.select("a", F.col("a_at").cast("long").alias("a_lo"), end("a_at").alias("a_hi"), "b", F.col("b_at").cast("long").alias("b_lo"), end("b_at").alias("b_hi"))
+    places = lambda x: (_at(f"{x}_run").alias(f"{x}_lo"), (_at(f"{x}_run") + MIN_SHINGLES - 1).alias(f"{x}_hi"))
+    equal = again.where("key & 1 = 1").select("a", *places("a"), "b", *places("b"))
     # runs of a pair on one diagonal that follow each other are one
     order = Window.partitionBy("a", "b", F.col("b_lo") - F.col("a_lo")).orderBy("a_lo")
     nr = F.sum(F.when(F.col("a_lo") - F.lag("a_lo").over(order) <= MIN_SHINGLES, 0).otherwise(1)).over(order)

@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lorekeep.llm import minhash_dedup, packing, tokens
+from lorekeep.llm import compact_windows, minhash_dedup, packing, tokens
 from lorekeep.session import staged
 
 
@@ -80,3 +80,34 @@ def test_minhash_compares_a_pair_in_its_first_bucket_only(spark, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "staged", counted)
     assert minhash_dedup._cross_links(rows, sigs, sets, 80).count() == 0
     assert marked == [4]
+
+
+def test_compact_windows_makes_longer_keys_of_many_texts_at_once():
+    rng = np.random.default_rng(3)
+    sizes = [0, 30, 200, 45, 90]
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    x = rng.integers(0, 1 << 62, begin[-1], dtype=np.uint64)
+    _, text, _, lo, hi = compact_windows.signatures(x, begin)
+    got = compact_windows.longer_keys(x, begin, text, lo, hi)
+    want = []
+    for k, n in enumerate(sizes):
+        own = text == k
+        key, _, *run = compact_windows.longer_keys(x[begin[k] : begin[k + 1]], np.array([0, n]), np.zeros(own.sum(), np.int64), lo[own], hi[own])
+        want += zip(key.tolist(), [k] * len(key), *(c.tolist() for c in run))
+    assert want and [*zip(*(c.tolist() for c in got))] == want
+    places = compact_windows.repeated_runs(begin, lo + begin[text], hi + begin[text], np.ones(len(lo), bool))
+    assert places.tolist() == [p for k, n in enumerate(sizes) for p in range(begin[k], begin[k] + n - compact_windows.MIN_SHINGLES + 1)]
+
+
+def test_compact_windows_moves_a_run_as_one_number():
+    at, lo, hi = np.array([5, 70_019, 9]), np.array([5, 70_000, 3]), np.array([5, 70_019, 9])
+    for got, want in zip(compact_windows.unpacked(compact_windows.packed(at, lo, hi)), (at, lo, hi), strict=True):
+        assert got.tolist() == want.tolist()
+    assert len(compact_windows.SEED) == 5
+
+
+def test_compact_windows_leaves_out_seeds_less_than_a_passage_apart():
+    places = np.array([0, 20, 300])
+    rows = [np.full(3, 8), np.full(3, 1), compact_windows.packed(places, places, places)]
+    seeds = [b for b in compact_windows._gathered(iter([rows]), apart=True) if b.column("kind")[0].as_py() == 1]
+    assert [r["b_run"] >> 16 for b in seeds for r in b.to_pylist()] == [300]
