@@ -167,9 +167,20 @@ def _sets(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             for lo, sets in shingle_sets(batch.column("text"), k):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "s"])
 
-    keyed = _maybe(_keyed(documents.select("doc_id", "text")), wanted)  # most texts meet no other, and aren't shuffled
-    rows = _rows(keyed, wanted).select("row_key", "text")
-    return rows.join(wanted.select("doc_id", "row_key"), "row_key").select("doc_id", "text").mapInArrow(to_sets, "doc_id long, s binary")
+    return _wanted_texts(documents, wanted).mapInArrow(to_sets, "doc_id long, s binary")
+
+
+def _wanted_texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text) of each wanted row (wanted: doc_id, row_key, n_rows).
+
+    Most texts meet no other, and aren't shuffled. The joins are inner ones: Spark would move a semi join below the
+    map of _maybe, and shuffle all texts for it.
+    """
+    keyed = _maybe(_keyed(documents.select("doc_id", "text")), wanted).select("row_key", "text")
+    side = lambda rows: keyed.join(rows.select("row_key", "doc_id"), "row_key").select("doc_id", "text")
+    repeated = wanted.where("n_rows > 1")
+    found = side(wanted.where("n_rows = 1"))
+    return found if repeated.isEmpty() else found.union(side(repeated).groupBy("doc_id").agg(F.min("text").alias("text")))
 
 
 def _linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
@@ -292,7 +303,8 @@ def _linked_sets(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame,
     """Rows (doc_id, row_key, set_id, n_shingles, n_rows), one for equal ones, and the links (a, b) between their sets."""
     sigs = staged(signatures(documents, k).withColumn("set_id", F.when(F.col("set_key").isNotNull(), F.xxhash64("set_key"))).drop("set_key"), "minhash")
     rows = staged(sigs.groupBy("doc_id", "row_key", "set_id").agg(F.max("n_shingles").alias("n_shingles"), F.count("*").alias("n_rows")), "rows")
-    reps = sigs.where("set_id is not null").select(F.col("set_id").alias("doc_id"), "n_shingles", "regs").dropDuplicates(["doc_id"])
+    reps = staged(sigs.where("set_id is not null").select(F.col("set_id").alias("doc_id"), "n_shingles", "regs").dropDuplicates(["doc_id"]), "reps")
+    unstage(sigs)
 
     keys = _band_keys(reps)
     shared = keys.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")

@@ -111,3 +111,20 @@ def test_compact_windows_leaves_out_seeds_less_than_a_passage_apart():
     rows = [np.full(3, 8), np.full(3, 1), compact_windows.packed(places, places, places)]
     seeds = [b for b in compact_windows._gathered(iter([rows]), apart=True) if b.column("kind")[0].as_py() == 1]
     assert [r["b_run"] >> 16 for b in seeds for r in b.to_pylist()] == [300]
+
+
+def test_minhash_filters_texts_before_they_are_shuffled(spark, tmp_path):
+    spark.range(200).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), 40) as text").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    keyed = minhash_dedup._keyed(docs)
+    wanted = staged(keyed.where("doc_id < 20").selectExpr("doc_id + 1000 as doc_id", "row_key", "1L as n_rows"), "wanted")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the wanted rows are many
+    try:
+        found = minhash_dedup._sets(docs, wanted, 4)
+        assert {r["doc_id"] for r in found.collect()} == set(range(1000, 1020))
+        lines = found._jdf.queryExecution().sparkPlan().toString().split("\n")
+        place = next(k for k, x in enumerate(lines) if "BroadcastHashJoin" in x)
+        assert not any("SortMergeJoin" in x for x in lines[place:])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
