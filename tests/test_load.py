@@ -84,3 +84,14 @@ def test_empty_tables_and_promoted_links(spark, tables):
     row = both.entities.where("type = 'Customer' and name like 'Kemper%'").first()
     assert row["origin"] == "structured" and row["name"] == "Kemper Molding Co. · 40"
     assert both.identifiers.where(F.col("value") == "40").count() == 1
+
+
+def test_long_cells_stay_whole(spark):
+    name, note, job = "Pump " + "x" * 400, "n" * 700, "J" + "1" * 350
+    things = spark.createDataFrame([(1, "T1", name, note)], "line int, tag string, label string, note string")
+    jobs = spark.createDataFrame([(1, job, note, name + " twin")], "line int, job string, note string, thing string")
+    mappings = [Mapping("things", "entities", "Thing", "s", "line", "tag", "label", ("note",)), Mapping("jobs", "events", "Job", "s", "line", "job", None, ("note",), (Link("thing", "on", "Thing", None, "name"),))]
+    g = load_structured(spark, {"things": things, "jobs": jobs}, mappings)
+    found = {r["name"]: r["properties"].get("note") for r in g.entities.collect()}
+    assert found == {name: note, f"Job {job}": note, name + " twin": None}
+    assert [r["quote"] for r in g.evidence.collect()] == [f"1 | T1 | {name} | {note}"]
