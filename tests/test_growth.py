@@ -120,3 +120,14 @@ def test_linking_cuts_a_passage_once(spark):
     found = linking.link_phrases(df, ["doc"], "text", phrases)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD [doc") == 1
     assert sorted(map(tuple, found.collect())) == [(1, ["a"]), (4, ["a", "g"])]
+
+
+def test_scores_of_fields_meet_by_numbers(spark):
+    docs = spark.createDataFrame([(1, "alpha beta", "gamma alpha alpha"), (2, "beta", "alphas delta"), (3, None, "x")], "id long, title string, content string")
+    asked = spark.createDataFrame([(7, "alpha"), (7, "alpha"), (8, "beta"), (8, "gamma")], "query_id long, term string")
+    found = retrieval.field_search(docs, asked, "id", {"title": 2.0, "content": 1.0}, ["content"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert [line for line in plan.splitlines() if "Aggregate [" in line and "asked" in line]
+    assert not [line for line in plan.splitlines() if "Aggregate [" in line and "term" in line and "asked" in line]
+    assert plan.count("Aggregate [") == 2 and "bround" not in plan and "round(" not in plan
+    assert {(r["query_id"], r["id"]) for r in found.collect()} == {(7, 1), (7, 2), (8, 1), (8, 2)}
